@@ -1 +1,87 @@
-"""To be filled."""
+"""Attribution queries: states, gates, cells and ordered rules, on analogues of providers (segments) and cells (nations)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import rules
+from ..operators.timeline import seconds
+from ..sources.tables import table
+from .registry import query
+
+LAST = "ls AS (SELECT c_custkey, c_mktsegment AS csp, c_nationkey::BIGINT AS cell, floor(epoch(TIMESTAMP '2024-01-30 12:00:00'))::BIGINT - floor(epoch(t))::BIGINT AS age FROM customer LEFT JOIN (SELECT user_id, max(ts) AS t FROM events WHERE event_type <> 'error' GROUP BY 1) ON user_id = c_custkey)"
+STATE = "st AS (SELECT *, CASE WHEN age IS NULL OR age < 0 THEN 'UNKNOWN' WHEN age >= 43200 THEN 'DOWN' ELSE 'UP' END AS state FROM ls)"
+SHARE = "sh AS (SELECT csp, count(*) FILTER (state = 'DOWN') AS down, count(*) FILTER (state = 'UP') AS up, count(*) FILTER (state = 'UNKNOWN') AS unknown, count(*) AS eligible FROM st WHERE age IS NOT NULL GROUP BY csp)"
+CELLS = "cs AS (SELECT csp, cell, count(*) AS n, count(*) FILTER (state = 'DOWN') AS down, CASE WHEN count(*) FILTER (state = 'DOWN') * 1000 >= count(*) * 700 THEN 'DOWN' ELSE 'UP' END AS state FROM st WHERE age IS NOT NULL GROUP BY 1, 2)"
+TARGET = "tg AS (SELECT csp, cell, n, down, state, pd AS providers_down FROM (SELECT *, row_number() OVER (PARTITION BY csp ORDER BY CASE WHEN state = 'DOWN' THEN 0 ELSE 1 END, pd DESC, down::DOUBLE / n DESC, cell) AS k FROM (SELECT *, count(*) FILTER (state = 'DOWN') OVER (PARTITION BY cell) AS pd FROM cs)) WHERE k = 1)"
+
+
+def states(spark, sf_dir):
+    last = table(spark, sf_dir, "events").where("event_type <> 'error'").groupBy(F.col("user_id").alias("c_custkey")).agg(F.max("ts").alias("t"))
+    age = seconds(F.lit("2024-01-30 12:00:00").cast("timestamp_ntz")) - seconds("t")
+    x = table(spark, sf_dir, "customer").join(last, "c_custkey", "left").select("c_custkey", F.col("c_mktsegment").alias("csp"), F.col("c_nationkey").cast("long").alias("cell"), age.alias("age"))
+    return x.withColumn("state", rules.device_state(F.col("age"), 43_200))
+
+
+@query("d4_device_state", f"WITH {LAST}, {STATE} SELECT c_custkey, state FROM st")
+def d4(spark, sf_dir):
+    return states(spark, sf_dir).select("c_custkey", "state")
+
+
+@query("d5_provider_gate", f"WITH {LAST}, {STATE}, {SHARE} SELECT *, round(down::DOUBLE / eligible, 4) AS down_share, CASE WHEN round(down::DOUBLE / eligible, 4) >= 0.7 THEN 'ISP_OLT_CSP_SIDE' ELSE 'UNKNOWN' END AS cause FROM sh")
+def d5(spark, sf_dir):
+    x = rules.shares(states(spark, sf_dir).where("age IS NOT NULL"), ["csp"])
+    return x.withColumn("cause", F.when(F.col("down_share") >= 0.7, "ISP_OLT_CSP_SIDE").otherwise("UNKNOWN"))
+
+
+def cells(spark, sf_dir):
+    return rules.cell_states(states(spark, sf_dir).where("age IS NOT NULL").withColumn("hit", F.col("state") == "DOWN"), "csp", "cell", "hit")
+
+
+@query("d11_cell_states", f"WITH {LAST}, {STATE}, {CELLS} SELECT * FROM cs")
+def d11(spark, sf_dir):
+    return cells(spark, sf_dir)
+
+
+@query("d13_target_cell", f"WITH {LAST}, {STATE}, {CELLS}, {TARGET} SELECT * FROM tg")
+def d13(spark, sf_dir):
+    return rules.target_cells(cells(spark, sf_dir), "csp", "cell")
+
+
+LOCAL = "lo AS (SELECT cell, csp, n, down, state, count(*) OVER (PARTITION BY cell) - 1 AS peers, max(round(down::DOUBLE / n, 4)) OVER (PARTITION BY cell) AS top, count(*) FILTER (n >= 3) OVER (PARTITION BY cell) AS qualified, min(CASE WHEN n >= 3 THEN round(down::DOUBLE / n, 4) END) OVER (PARTITION BY cell) AS low FROM cs)"
+
+
+@query("d6_local_rules", f"WITH {LAST}, {STATE}, {CELLS}, {LOCAL} SELECT csp, cell, CASE WHEN peers > 0 AND down * 10 >= n * 8 AND top <= 0.2 THEN '2A' WHEN peers = 0 AND down * 10 >= n * 9 THEN '2B' WHEN qualified >= 2 AND low >= 0.7 THEN '3A' WHEN peers = 0 AND down * 10 >= n * 7 THEN '3B' ELSE 'UNKNOWN' END AS rule FROM lo")
+def d6(spark, sf_dir):
+    from pyspark.sql.window import Window
+
+    w = Window.partitionBy("cell")
+    share = F.round(F.col("down") / F.col("n"), 4)
+    x = cells(spark, sf_dir).withColumns({"peers": F.count("*").over(w) - 1, "top": F.max(share).over(w), "qualified": F.count_if(F.col("n") >= 3).over(w), "low": F.min(F.when(F.col("n") >= 3, share)).over(w)})
+    e = F.expr
+    return x.select("csp", "cell", rules.decide([("2A", e("peers > 0 AND down * 10 >= n * 8 AND top <= 0.2")), ("2B", e("peers = 0 AND down * 10 >= n * 9")), ("3A", e("qualified >= 2 AND low >= 0.7")), ("3B", e("peers = 0 AND down * 10 >= n * 7"))], "UNKNOWN").alias("rule"))
+
+
+@query("d10_rollup", f"WITH {LAST}, {STATE}, {CELLS} SELECT cell, CASE WHEN count(DISTINCT state) = 1 THEN min(state) ELSE 'LOCAL_GROUPS_DISAGREE' END AS outcome, min(down * 100 // n)::BIGINT AS confidence FROM cs GROUP BY cell")
+def d10(spark, sf_dir):
+    x = cells(spark, sf_dir).groupBy("cell").agg(F.count_distinct("state").alias("d"), F.min("state").alias("s"), F.min(F.expr("down * 100 div n")).alias("confidence"))
+    return x.select("cell", F.when(F.col("d") == 1, F.col("s")).otherwise("LOCAL_GROUPS_DISAGREE").alias("outcome"), "confidence")
+
+
+@query("d14_rule_chain", f"""WITH {LAST}, {STATE}, {CELLS}, {TARGET}, {SHARE}
+SELECT csp, cell, CASE WHEN cell % 13 = 0 THEN 'R0_GEOMETRY_FAILED' WHEN sh.down * 10 >= eligible * 8 THEN 'R0_CSP_DOWN_SHARE' WHEN tg.n < 2 THEN 'R1_NOISE' WHEN providers_down >= 3 THEN 'R2_AREA_SHARED' WHEN tg.state = 'DOWN' AND providers_down = 2 THEN 'R3_REGIONAL' WHEN tg.state = 'DOWN' AND tg.down = tg.n THEN 'R4_ISP_OLT' WHEN tg.state = 'DOWN' THEN 'R5_LOCAL' ELSE 'R6_UNKNOWN' END AS rule_matched,
+CASE WHEN tg.down * 10 > tg.n * 7 THEN 'HIGH' ELSE 'LOW' END AS confidence FROM tg JOIN sh USING (csp)""")
+def d14(spark, sf_dir):
+    t = rules.target_cells(cells(spark, sf_dir), "csp", "cell")
+    s = rules.shares(states(spark, sf_dir).where("age IS NOT NULL"), ["csp"]).select("csp", F.col("down").alias("all_down"), "eligible")
+    e = F.expr
+    chain = [("R0_GEOMETRY_FAILED", e("cell % 13 = 0")), ("R0_CSP_DOWN_SHARE", e("all_down * 10 >= eligible * 8")), ("R1_NOISE", e("n < 2")), ("R2_AREA_SHARED", e("providers_down >= 3")), ("R3_REGIONAL", e("state = 'DOWN' AND providers_down = 2")), ("R4_ISP_OLT", e("state = 'DOWN' AND down = n")), ("R5_LOCAL", e("state = 'DOWN'"))]
+    return t.join(s, "csp").select("csp", "cell", rules.decide(chain, "R6_UNKNOWN").alias("rule_matched"), F.when(e("down * 10 > n * 7"), "HIGH").otherwise("LOW").alias("confidence"))
+
+
+@query("j21_relevant_cells", "WITH a AS (SELECT DISTINCT c_mktsegment AS csp, c_nationkey AS cell FROM customer JOIN events ON user_id = c_custkey AND event_type = 'error' AND ts < TIMESTAMP '2024-01-01 12:00:00'), p AS (SELECT DISTINCT c_mktsegment AS csp, c_nationkey AS cell FROM customer) SELECT csp, cell::BIGINT AS cell FROM p WHERE csp IN (SELECT csp FROM a) UNION SELECT csp, cell FROM p WHERE cell IN (SELECT cell FROM a)")
+def j21(spark, sf_dir):
+    p = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"), F.col("c_mktsegment").alias("csp"), F.col("c_nationkey").cast("long").alias("cell"))
+    hit = table(spark, sf_dir, "events").where("event_type = 'error' AND ts < timestamp_ntz'2024-01-01 12:00:00'")
+    a, every = p.join(hit, "user_id", "left_semi").select("csp", "cell").distinct(), p.select("csp", "cell").distinct()
+    return every.join(a, "csp", "left_semi").union(every.join(a, "cell", "left_semi").select("csp", "cell")).distinct()
