@@ -41,7 +41,7 @@ def one_to_one(pairs: DataFrame, left: str, right: str) -> DataFrame:
     """Pairs whose both sides occur with one partner only. Degrees are aggregates, not gathered sets."""
     p = pairs.where(F.col(left).isNotNull() & F.col(right).isNotNull()).select(left, right).distinct()
     single = lambda c: p.groupBy(c).agg(F.count("*").alias("d")).where("d = 1").select(c)
-    return p.join(single(left), left, "left_semi").join(single(right), right, "left_semi")
+    return p.join(single(left), left, "left_semi").join(single(right), right, "left_semi").select(left, right)
 
 
 def pseudonyms(df: DataFrame, ident: str, prefix: str = "D", digits: int = 6) -> DataFrame:
