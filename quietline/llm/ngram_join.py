@@ -9,10 +9,12 @@ A set is the distinct word shingles of a text. Equal sets are one class from the
    n - ceil(t n) + 1; what is posted of those is (token, set, position, size).
 3. Set relations. Round 1 verifies each set against one candidate only: the one met most often among the smallest of its
    lists. A set at the threshold becomes a member of that one's family, with its distance to it. Lists are then read a family at a time,
-   not a set at a time. The distance 1 - J obeys the triangle inequality: with d between two centres and a, b the distances
-   of two members to theirs, the members are at least d - a - b apart. So a family's answers follow from its centre's: whole
-   pairs of families are skipped where d exceeds the threshold's distance by both radii; else centres against members, then
-   members against members, each time only those that the bound leaves and that aren't connected yet.
+   not a set at a time, and a family's answers follow from its centre's. Two bounds skip pairs. The distance 1 - J obeys the
+   triangle inequality: with d between two centres and a, b the distances of two members to theirs, the members are at
+   least d - a - b apart. And a token that two members share lies in both centres, or in what one of the two shares
+   outside its centre, so their overlap is at most the centres' plus those two counts. Whole pairs of families are skipped
+   by their largest such numbers; else centres against members, then members against members, each time only those that
+   the bounds leave and that aren't connected yet.
    Lists are skipped by position in blocks: sets of a list lie in blocks of positions and of sizes, and a pair of blocks is
    skipped if even its largest size and smallest position can't reach the overlap.
 4. Components of the links.
@@ -72,6 +74,7 @@ def _send(parts: int, words: int):
 
 
 NAMES = ["part", "nodes", "sizes", "counts", "tokens"]
+BACK = [*NAMES, "kinds"]
 
 
 def _dealt(held: list, parts: int) -> pa.RecordBatch:
@@ -96,8 +99,8 @@ def _dealt(held: list, parts: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(rows[n], pa.int64() if n == "part" else pa.binary()) for n in NAMES], names=NAMES)
 
 
-def _meet(batches):
-    """Tokens of one partition: rows (node, n, tokens, classes) of those that several sets hold.
+def _meet(batches, parts: int):
+    """Tokens of one partition that several sets hold, sent back to where their sets are gathered, packed set by set.
 
     The class of a token is the logarithm of the number of its sets, in eighths; ties in it are broken by the token.
     """
@@ -126,18 +129,19 @@ def _meet(batches):
         if not len(token):
             continue
         kind = np.minimum(255, np.ceil(8 * np.log2(count))).astype(np.uint8)
-        order = np.argsort(node, kind="stable")
-        token, node, size, kind = token[order], node[order], size[order], kind[order]
-        heads = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
-        tails = np.concatenate([heads[1:], [len(node)]])
         # The partition takes the place of the bits that were left off.
         full = token | (np.uint64(p) << np.uint64(48) if p < 1 << 16 else np.uint64(0))
-        for i in range(0, len(heads), 5000):
-            hs, ts = heads[i : i + 5000], tails[i : i + 5000]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(node[hs], pa.int64()), pa.array(size[hs].astype(np.int64), pa.int64()), pa.array((ts - hs).astype(np.int64), pa.int64()), pa.array([full[a:b].tobytes() for a, b in zip(hs, ts, strict=True)], pa.binary()), pa.array([kind[a:b].tobytes() for a, b in zip(hs, ts, strict=True)], pa.binary())],
-                names=["node", "n", "m", "tokens", "kinds"],
-            )
+        to = ((node.view(np.uint64) >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+        order = np.lexsort((node, to))
+        full, node, size, kind, to = full[order], node[order], size[order], kind[order], to[order]
+        edges = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1], [True]]))
+        out = {n: [] for n in BACK}
+        for i, j in zip(edges[:-1], edges[1:], strict=True):
+            heads = i + np.flatnonzero(np.concatenate([[True], node[i + 1 : j] != node[i : j - 1]]))
+            counts = np.diff(np.concatenate([heads, [j]])).astype(np.int32)
+            for n, x in zip(BACK, (to[i], node[heads].tobytes(), size[heads].tobytes(), counts.tobytes(), full[i:j].tobytes(), kind[i:j].tobytes()), strict=True):
+                out[n].append(x)
+        yield pa.RecordBatch.from_arrays([pa.array(out[n], pa.int64() if n == "part" else pa.binary()) for n in BACK], names=BACK)
 
 
 def needed(n, percent: int):
@@ -152,22 +156,32 @@ def shared_tokens(docs: DataFrame, total: int, words: int, percent: int, text: s
     """
     parts = max(tasks(docs.sparkSession), -(-total // TOKENS_A_PARTITION))
     sent = docs.select(F.col(text).alias("text")).mapInArrow(_send(parts, words), "part long, nodes binary, sizes binary, counts binary, tokens binary")
-    met = sent.repartitionById(parts, F.col("part").cast("int")).mapInArrow(_meet, "node long, n long, m long, tokens binary, kinds binary")
-    whole = met.groupBy("node").agg(F.first("n").alias("n"), F.sum("m").alias("m"), F.collect_list(F.struct("tokens", "kinds")).alias("all"))
+    met = sent.repartitionById(parts, F.col("part").cast("int")).mapInArrow(lambda batches: _meet(batches, parts), "part long, nodes binary, sizes binary, counts binary, tokens binary, kinds binary")
 
     def order(batches):
-        for b in batches:
-            out = []
-            for n, rows in zip(b["n"].to_pylist(), b["all"].to_pylist(), strict=True):
-                token = np.concatenate([np.frombuffer(r["tokens"], "<u8") for r in rows])
-                kind = np.concatenate([np.frombuffer(r["kinds"], np.uint8) for r in rows])
-                own, prefix = n - len(token), n - needed(n, percent) + 1
-                rare = np.lexsort((token, kind))[: max(0, prefix - own)]
-                out.append((np.sort(token).tobytes(), token[rare].astype(np.int64), own))
-            yield pa.RecordBatch.from_arrays([b["node"], b["n"], pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.list_(pa.int64())), pa.array([x[2] for x in out], pa.int64())], names=["node", "n", "tokens", "post", "first"])
-
-    enough = F.col("m") >= F.ceil(F.col("n") * percent / 100)
-    return whole.where(enough).select("node", "n", "all").mapInArrow(order, "node long, n long, tokens binary, post array<long>, first long")
+        rows = [[b[c][r].as_py() for c in BACK[1:]] for b in batches for r in range(b.num_rows)]
+        if not rows:
+            return
+        counts = np.concatenate([np.frombuffer(r[2], np.int32) for r in rows])
+        node, size = (np.repeat(np.concatenate([np.frombuffer(r[k], kind) for r in rows]), counts) for k, kind in ((0, np.int64), (1, np.int32)))
+        token, kind = (np.concatenate([np.frombuffer(r[k], of) for r in rows]) for k, of in ((3, "<u8"), (4, np.uint8)))
+        by = np.argsort(node, kind="stable")
+        node, size, token, kind = node[by], size[by], token[by], kind[by]
+        heads = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
+        out = []
+        for i, j in zip(heads, [*heads[1:], len(node)], strict=True):
+            n = int(size[i])
+            if j - i >= needed(n, percent):
+                own, prefix = n - (j - i), n - needed(n, percent) + 1
+                rare = np.lexsort((token[i:j], kind[i:j]))[: max(0, prefix - own)]
+                out.append((int(node[i]), n, np.sort(token[i:j]).tobytes(), token[i:j][rare].astype(np.int64), int(own)))
+            if len(out) >= 1000 or j == len(node) and out:
+                columns = list(zip(*out, strict=True))
+                kinds = (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=["node", "n", "tokens", "post", "first"])
+                out = []
+
+    return met.repartitionById(parts, F.col("part").cast("int")).mapInArrow(order, "node long, n long, tokens binary, post array<long>, first long")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -192,21 +206,25 @@ def distance(inter, nx, ny):
 def links(sets: DataFrame, percent: int) -> DataFrame:
     """(a, b): links that connect what the links of all pairs connect."""
     far = 1 - percent / 100 + 1e-9  # distance of the threshold, with room for rounding; decisions are by integers
-    posted = sets.where(F.size("post") > 0).select("node", "n", "first", F.posexplode("post").alias("k", "token")).select("token", "node", "n", (F.col("first") + F.col("k")).alias("pos"))
+    posted = sets.where(F.size("post") > 0).select("node", "n", "first", F.posexplode("post").alias("k", "token")).select("token", "node", "n", "first", (F.col("first") + F.col("k")).alias("pos"))
     posted = stored(posted)
-    lists = posted.groupBy("token").agg(F.min("node").alias("y"), F.count("*").alias("c")).where("c > 1").select("token", "y")
+    # The centre of a list is its set with the fewest tokens of its own: of a text and its edited copies, that is the text.
+    lists = posted.groupBy("token").agg(F.min(F.struct("first", "node")).alias("m"), F.count("*").alias("c")).where("c > 1").select("token", F.col("m.node").alias("y"))
 
     # Round 1: one candidate for each set.
     met = posted.join(lists, "token").where("node != y").groupBy(F.col("node").alias("x"), "y").agg(F.count("*").alias("c"))
     best = met.groupBy("x").agg(F.max(F.struct("c", F.bitwise_not("y").alias("y"))).alias("m")).select("x", F.bitwise_not("m.y").alias("y"))
-    first = stored(verified(best, sets, percent).where("linked").select("x", "y", distance(F.col("inter"), F.col("nx"), F.col("ny")).alias("d")))
+    own = sets.select(F.col("node").alias("x"), F.col("first").alias("own"))
+    linked = verified(best, sets, percent).where("linked").join(own, "x")
+    first = stored(linked.select("x", "y", distance(F.col("inter"), F.col("nx"), F.col("ny")).alias("d"), (F.col("nx") - F.col("own") - F.col("inter")).alias("e")))
     roots = stored(components(first.select(F.col("x").alias("a"), F.col("y").alias("b"))))
 
     # What is left: lists whose sets aren't connected yet.
-    member = first.select(F.col("x").alias("node"), F.col("y").alias("fam"), F.col("d").alias("a"))
-    state = sets.select("node").join(member, "node", "left").join(roots, "node", "left").select("node", F.coalesce("fam", "node").alias("fam"), F.coalesce("a", F.lit(0.0)).alias("a"), F.coalesce("root", "node").alias("root"))
+    # e: tokens that a member shares with anything but its centre.
+    member = first.select(F.col("x").alias("node"), F.col("y").alias("fam"), F.col("d").alias("a"), "e")
+    state = sets.select("node", "n", (F.col("n") - F.col("first")).alias("m")).join(member, "node", "left").join(roots, "node", "left").select("node", "n", "m", F.coalesce("fam", "node").alias("fam"), F.coalesce("a", F.lit(0.0)).alias("a"), F.coalesce("e", F.lit(0)).alias("e"), F.coalesce("root", "node").alias("root"))
     state = stored(state)
-    at = posted.join(state, "node")
+    at = posted.join(state.drop("n", "m"), "node")
     open_ = at.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("token")
     # A family in a list, by blocks of size (in powers of the threshold) and of what follows the position.
     step = float(np.log(100 / percent))
@@ -220,36 +238,51 @@ def links(sets: DataFrame, percent: int) -> DataFrame:
     pairs = pairs.select(F.least("l.fam", "r.fam").alias("x"), F.greatest("l.fam", "r.fam").alias("y")).distinct()
     pairs = stored(pairs)
     centre = verified(pairs.where("x != y"), sets, percent)
-    radius = state.groupBy("fam").agg(F.max("a").alias("radius"))
-    centre = centre.join(radius.select(F.col("fam").alias("x"), F.col("radius").alias("rx")), "x").join(radius.select(F.col("fam").alias("y"), F.col("radius").alias("ry")), "y")
-    # The integers at the threshold decide whether two centres link; the bound by distances only skips.
-    centre = stored(centre.select("x", "y", "linked", distance(F.col("inter"), F.col("nx"), F.col("ny")).alias("d"), "rx", "ry").where(f"linked OR d <= {far} + rx + ry"))
-    same = pairs.where("x = y").select("x", "y", F.lit(0.0).alias("d"), F.lit(0.0).alias("rx"), F.lit(0.0).alias("ry"))
+    # A set has itself for a centre, too, so that a family's bounds hold for its centre.
+    family = state.select("fam", "a", "e", "n").unionByName(state.select(F.col("node").alias("fam"), F.lit(0.0).alias("a"), F.lit(0).cast("long").alias("e"), "n"))
+    family = family.groupBy("fam").agg(F.max("a").alias("r"), F.max("e").alias("e"), F.min("n").alias("low"))
+    side = lambda c: family.select(F.col("fam").alias(c), *(F.col(k).alias(k + c) for k in ("r", "e", "low")))
+    centre = centre.join(side("x"), "x").join(side("y"), "y")
+    # Integers at the threshold decide whether two centres link; the bounds only skip.
+    centre = stored(centre.withColumn("d", distance(F.col("inter"), F.col("nx"), F.col("ny"))).where(f"linked OR (d <= {far} + rx + ry AND {reaches('inter + ex + ey', 'lowx + lowy', percent)})").select("x", "y", "linked", "inter", "d", "rx", "ry", "ex", "ey", "lowx", "lowy"))
     edges = first.select(F.col("x").alias("a"), F.col("y").alias("b")).unionByName(centre.where("linked").select(F.col("x").alias("a"), F.col("y").alias("b")))
-    border = stored(centre.where("NOT linked").select("x", "y", "d", "rx", "ry").unionByName(same))
+    # Families that are connected by now are done: their members are connected to their centres.
+    roots = stored(components(edges))
+    of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"o{c}"))
+    apart = centre.where("NOT linked").join(of("x"), "x", "left").join(of("y"), "y", "left").where("coalesce(ox, x) != coalesce(oy, y)")
+    border = stored(apart.drop("linked", "ox", "oy"))
     if border.isEmpty():
         return edges
 
     # Centres against members, then members against members: only what the bounds leave and what isn't connected.
-    for level in (1, 2):
-        roots = stored(components(edges))
-        now = stored(state.select("node", "fam", "a").join(roots, "node", "left").select("node", "fam", "a", F.coalesce("root", "node").alias("root")))
-        if level == 1:
-            turned = border.select("x", "y", "d", F.col("ry").alias("r")).unionByName(border.select(F.col("y").alias("x"), F.col("x").alias("y"), "d", F.col("rx").alias("r"))).where("x != y")
-            centres = now.select(F.col("node").alias("y"), F.col("root").alias("oy"))
-            ask = turned.join(now.select(F.col("fam").alias("x"), F.col("node").alias("u"), "a", "root"), "x").where(f"u != x AND a + r >= d - {far}").join(centres, "y").where("root != oy").select(F.col("u").alias("x"), "y").distinct()
-            ask = stored(ask)
-            near_ = stored(verified(ask, sets, percent).select("x", "y", "linked", distance(F.col("inter"), F.col("nx"), F.col("ny")).alias("d")))
-            edges = stored(edges.unionByName(near_.where("linked").select(F.col("x").alias("a"), F.col("y").alias("b"))))
-        else:
-            u = now.select(F.col("fam").alias("x"), F.col("node").alias("u"), F.col("a").alias("au"), F.col("root").alias("ou"))
-            v = now.select(F.col("fam").alias("y"), F.col("node").alias("v"), F.col("a").alias("av"), F.col("root").alias("ov"))
-            to_y = near_.select(F.col("x").alias("u"), "y", F.col("d").alias("duy"))
-            two = border.select("x", "y", "d").join(u, "x").join(to_y, ["u", "y"], "left").join(v, "y").where(f"ou != ov AND u != v AND au + av >= d - {far} AND (duy IS NULL OR av >= duy - {far})")
-            # Lists must meet, too: members that share no posted token are no pair at the threshold.
-            two = stored(two.select(F.least("u", "v").alias("x"), F.greatest("u", "v").alias("y")).distinct())
-            edges = stored(edges.unionByName(verified(two, sets, percent).where("linked").select(F.col("x").alias("a"), F.col("y").alias("b"))))
-    return edges
+    now = stored(state.drop("root").join(roots, "node", "left").select("node", "n", "m", "fam", "a", "e", F.coalesce("root", "node").alias("root")))
+    swap = {"x": "y", "y": "x", "rx": "ry", "ry": "rx", "ex": "ey", "ey": "ex", "lowx": "lowy", "lowy": "lowx"}
+    turned = border.unionByName(border.select(*(F.col(c).alias(swap.get(c, c)) for c in border.columns)))
+    inside = now.select(F.col("fam").alias("x"), F.col("node").alias("u"), F.col("n").alias("nu"), F.col("m").alias("mu"), "a", "e", "root").where("u != x")
+    ends = now.select(F.col("node").alias("y"), F.col("root").alias("oy"), F.col("m").alias("my"))
+    # In the centre a member and y share no more than either shares with it; outside, no more than either has there.
+    most = "least(inter, mu - e) + least(e, my - inter) + ey"
+    bound = f"root != oy AND a + ry >= d - {far} AND {reaches(most, 'nu + lowy', percent)}"
+    ask = stored(turned.join(ends, "y").join(inside, "x").where(bound).select(F.col("u").alias("x"), "y").distinct())
+    asked = stored(verified(ask, sets, percent).select("x", "y", "linked", "inter", distance(F.col("inter"), F.col("nx"), F.col("ny")).alias("d")))
+    edges = stored(edges.unionByName(asked.where("linked").select(F.col("x").alias("a"), F.col("y").alias("b"))))
+
+    roots = stored(components(edges))
+    now = stored(state.drop("root").join(roots, "node", "left").select("node", "n", "m", "fam", "a", "e", F.coalesce("root", "node").alias("root")))
+    one = now.select(F.col("fam").alias("x"), F.col("node").alias("u"), F.col("n").alias("nu"), F.col("e").alias("eu"), F.col("root").alias("ou"))
+    # What is known of a member and the other centre: the centre's own overlap if it is the centre, else what was asked.
+    of_centre = border.select("x", "y", F.col("x").alias("u"), "inter", "d", F.col("inter").alias("between")).join(now.select(F.col("node").alias("u"), F.col("n").alias("nu"), F.col("root").alias("ou")), "u").select("x", "y", "u", "inter", "d", "between", "nu", F.lit(0).cast("long").alias("eu"), "ou")
+    of_member = border.select("x", "y", F.col("inter").alias("between")).join(one, "x").join(asked.select(F.col("x").alias("u"), "y", "inter", "d"), ["u", "y"]).select(of_centre.columns)
+    other = now.select(F.col("fam").alias("y"), F.col("node").alias("v"), F.col("n").alias("nv"), F.col("a").alias("av"), F.col("e").alias("ev"), F.col("root").alias("ov"))
+    bound = f"ou != ov AND u != v AND av >= d - {far} AND {reaches('inter + ev', 'nu + nv', percent)} AND {reaches('between + eu + ev', 'nu + nv', percent)}"
+    two = of_centre.unionByName(of_member).join(other, "y").where(bound)
+    two = stored(two.select(F.least("u", "v").alias("x"), F.greatest("u", "v").alias("y")).distinct())
+    return edges.unionByName(verified(two, sets, percent).where("linked").select(F.col("x").alias("a"), F.col("y").alias("b")))
+
+
+def reaches(overlap: str, sizes: str, percent: int) -> str:
+    """SQL: whether an overlap, or a bound of it, reaches the threshold for two sets of `sizes` tokens together."""
+    return f"({overlap}) * {100 + percent} >= ({sizes}) * {percent}"
 
 
 def joined(docs: DataFrame, words: int = 5, percent: int = 75, text: str = "text") -> DataFrame:
