@@ -81,6 +81,7 @@ class Encoder:
         self.tokenizer, self.end_id = Tokenizer.from_file(path), end_id
         self.tokenizer.encode_special_tokens = True
         self.kept: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.vocabulary = max(self.tokenizer.get_vocab_size(), end_id + 1)
 
     @staticmethod
@@ -106,9 +107,11 @@ class Encoder:
         lead = pc.if_else(pa.array(first), "", " ")
         coded = pc.binary_join_element_wise(lead.cast(pa.large_string()), pieces, pa.scalar("", pa.large_string())).dictionary_encode()
         words = coded.dictionary.to_pylist()
-        if len(self.kept) > CACHE:
-            self.kept.clear()
-        if new := [w for w in words if w not in self.kept]:
+        if len(self.kept) > CACHE // 2:  # what has been used since the last time stays
+            self.older, self.kept = self.kept, {}
+        missing = [w for w in words if w not in self.kept]
+        self.kept.update((w, self.older[w]) for w in missing if w in self.older)
+        if new := [w for w in missing if w not in self.older]:
             self.kept.update((w, i.tobytes()) for w, i in zip(new, self.whole(new), strict=True))
         parts = [self.kept[w] for w in words]
         codes = coded.indices.to_numpy(zero_copy_only=False)
@@ -207,7 +210,8 @@ def read(spark: SparkSession, path: str, **digests) -> DataFrame:
                 columns += [pa.array([ids[i:j].astype("<i4") for i, j in zip(at[:-1], at[1:], strict=True)], pa.list_(pa.int32()))] * keep
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return blocks.join(starts, "shard").select("base", "before", "n_ids", "bits", "docs", "sizes", "payload").mapInArrow(decode, schema)
+    # One row a shard, and the writer sets how many there are: two for each shuffle partition.
+    return blocks.join(F.broadcast(starts), "shard").select("base", "before", "n_ids", "bits", "docs", "sizes", "payload").mapInArrow(decode, schema)
 
 
 def document(store: DataFrame, doc_id: int) -> DataFrame:
