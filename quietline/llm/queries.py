@@ -139,3 +139,6 @@ FROM d LEFT JOIN p ON p.doc_id = d.doc_id LEFT JOIN t ON t.doc_id = d.doc_id
 
 def oracle_sql() -> dict[str, str]:
     return {"op1_ngram_join": OP1, "op3_quality": OP3, "op9_line_dedup": OP9, "op10_decontaminate": OP10}
+
+
+ORACLE_NAMES = tuple(sorted(oracle_sql()))
