@@ -36,7 +36,7 @@ from .texthash import shingles, signature, slices
 #: Tokens are told apart by this many bits where they meet; the share of partitions takes the rest.
 TOKENS_A_PARTITION = 4_000_000
 #: Tokens that a task holds before it sends them on.
-TOKENS_HELD = 1_000_000
+TOKENS_HELD = 600_000
 
 
 def documents_of(docs: DataFrame, words: int, text: str = "text") -> DataFrame:
@@ -271,8 +271,8 @@ def links(sets: DataFrame, percent: int) -> DataFrame:
     now = stored(state.drop("root").join(roots, "node", "left").select("node", "n", "m", "fam", "a", "e", F.coalesce("root", "node").alias("root")))
     one = now.select(F.col("fam").alias("x"), F.col("node").alias("u"), F.col("n").alias("nu"), F.col("e").alias("eu"), F.col("root").alias("ou"))
     # What is known of a member and the other centre: the centre's own overlap if it is the centre, else what was asked.
-    of_centre = border.select("x", "y", F.col("x").alias("u"), "inter", "d", F.col("inter").alias("between")).join(now.select(F.col("node").alias("u"), F.col("n").alias("nu"), F.col("root").alias("ou")), "u").select("x", "y", "u", "inter", "d", "between", "nu", F.lit(0).cast("long").alias("eu"), "ou")
-    of_member = border.select("x", "y", F.col("inter").alias("between")).join(one, "x").join(asked.select(F.col("x").alias("u"), "y", "inter", "d"), ["u", "y"]).select(of_centre.columns)
+    of_centre = turned.select("x", "y", F.col("x").alias("u"), "inter", "d", F.col("inter").alias("between")).join(now.select(F.col("node").alias("u"), F.col("n").alias("nu"), F.col("root").alias("ou")), "u").select("x", "y", "u", "inter", "d", "between", "nu", F.lit(0).cast("long").alias("eu"), "ou")
+    of_member = asked.select(F.col("x").alias("u"), "y", "inter", "d").join(one, "u").join(turned.select("x", "y", F.col("inter").alias("between")), ["x", "y"]).select(of_centre.columns)
     other = now.select(F.col("fam").alias("y"), F.col("node").alias("v"), F.col("n").alias("nv"), F.col("a").alias("av"), F.col("e").alias("ev"), F.col("root").alias("ov"))
     bound = f"ou != ov AND u != v AND av >= d - {far} AND {reaches('inter + ev', 'nu + nv', percent)} AND {reaches('between + eu + ev', 'nu + nv', percent)}"
     two = of_centre.unionByName(of_member).join(other, "y").where(bound)

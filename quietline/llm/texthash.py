@@ -32,7 +32,7 @@ def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
-def slices(batch: pa.RecordBatch, text: str, most: int = 2 << 20):
+def slices(batch: pa.RecordBatch, text: str, most: int = 1 << 20):
     """Parts of a batch with about `most` bytes of text each; a longer text is a part of its own."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(batch[text]), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     k = 0
