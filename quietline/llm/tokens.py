@@ -36,7 +36,7 @@ from .shared import shared_dir, tasks
 BLOCK_IDS = 1 << 18
 
 #: Encoded pieces that an encoder keeps before it starts anew; speed alone depends on it.
-CACHE = 800_000
+CACHE = 300_000
 
 STORE = "shard long, block long, before long, n_ids long, bits int, docs array<long>, sizes array<int>, payload binary"
 
@@ -171,7 +171,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, shards: i
     ranged.select("shard", "doc_id", "text").mapInArrow(encode, STORE).write.option("compression", "none").parquet(path)
 
 
-def _slices(batch: pa.RecordBatch, most: int = 4 << 20):
+def _slices(batch: pa.RecordBatch, most: int = 2 << 20):
     """Parts of a batch of about `most` bytes of text, so that long texts don't add up."""
     ends = np.cumsum(pc.binary_length(batch["text"]).to_numpy(zero_copy_only=False))
     k = 0
