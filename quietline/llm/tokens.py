@@ -35,8 +35,11 @@ from .shared import shared_dir, tasks
 #: Ids of a block before it is closed; the last document of a block is stored whole.
 BLOCK_IDS = 1 << 18
 
-#: Encoded pieces that an encoder keeps before it starts anew; speed alone depends on it.
-CACHE = 300_000
+#: Distinct pieces that the library encodes as one text; speed alone depends on it.
+PIECES = 1024
+
+#: Fixed value: how byte-level vocabularies write the byte of a space.
+SPACE_BYTE = "\u0120"
 
 STORE = "shard long, block long, before long, n_ids long, bits int, docs array<long>, sizes array<int>, payload binary"
 
@@ -67,69 +70,72 @@ def unpack(payload: bytes, bits: int, n: int, start: int = 0) -> np.ndarray:
 
 
 class Encoder:
-    """Encodes whole texts; equal pieces are encoded once, and kept until `CACHE` of them are.
+    """Encodes whole texts; equal pieces of a call are encoded once.
 
     A byte-level BPE splits a text before it merges, and a single space between two other characters always begins a new
     piece there. So a text without double or other unusual spacing is the concatenation of its space-led pieces, and the
-    library encodes only the distinct ones. Any other text goes to the library whole.
+    library encodes only the distinct ones, many joined to one text: in its ids, the tokens that begin with a space say
+    where each piece begins. Any other text goes to the library whole.
     """
 
     def __init__(self, path: str, end_id: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.end_id = Tokenizer.from_file(path), end_id
-        self.tokenizer.encode_special_tokens = True
-        self.kept: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.tokenizer, self.distinct, self.end_id = Tokenizer.from_file(path), Tokenizer.from_file(path), end_id
+        self.tokenizer.encode_special_tokens = self.distinct.encode_special_tokens = True
+        self.distinct.model._resize_cache(0)  # no word comes twice there, so looking each up only costs
         self.vocabulary = max(self.tokenizer.get_vocab_size(), end_id + 1)
+        self.spaced = np.zeros(self.vocabulary, bool)
+        self.spaced[[i for token, i in self.tokenizer.get_vocab().items() if token.startswith(SPACE_BYTE)]] = True
 
     @staticmethod
     @functools.cache
     def of(path: str, end_id: int) -> Encoder:
-        """One encoder a Python worker, so that its pieces serve the next tasks too."""
+        """One encoder a Python worker, for all its tasks."""
         return Encoder(path, end_id)
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def pieces(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words, each led by a space, one after another, and the number of ids of each."""
+        if not len(words):
+            return np.empty(0, "<u4"), np.empty(0, np.int64)
+        ends = np.minimum(np.arange(0, len(words) + PIECES, PIECES), len(words))
+        joined = pc.binary_join(pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), words), pa.scalar(" ", words.type))
+        coded = (self.distinct.encode_batch_fast([" " + t.as_py()], add_special_tokens=False)[0].ids for t in joined)
+        ids = np.concatenate([np.array(i, dtype="<u4") for i in coded])
+        return ids, np.diff(np.append(np.flatnonzero(self.spaced[ids]), len(ids)))
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after another, each with the end id, and the number of ids of each."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         # White space other than single spaces and line ends, or a space beside another, goes the long way.
         odd = pc.match_substring_regex(texts, r"^ |  | \n|\n | $|[\t\v\f\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]").to_numpy(zero_copy_only=False)
-        plain = texts.filter(pa.array(~odd))
-        lists = pc.split_pattern(plain, " ")
-        counts = np.diff(lists.offsets.to_numpy()).astype(np.int64)
-        pieces = lists.values[lists.offsets[0].as_py() if len(lists) else 0 :]
-        first = np.zeros(len(pieces), bool)
-        first[np.concatenate([[0], np.cumsum(counts)[:-1]]).astype(np.int64)[counts > 0] if len(counts) else []] = True
-        lead = pc.if_else(pa.array(first), "", " ")
-        coded = pc.binary_join_element_wise(lead.cast(pa.large_string()), pieces, pa.scalar("", pa.large_string())).dictionary_encode()
-        words = coded.dictionary.to_pylist()
-        if len(self.kept) > CACHE // 2:  # what has been used since the last time stays
-            self.older, self.kept = self.kept, {}
-        missing = [w for w in words if w not in self.kept]
-        self.kept.update((w, self.older[w]) for w in missing if w in self.older)
-        if new := [w for w in missing if w not in self.older]:
-            self.kept.update((w, i.tobytes()) for w, i in zip(new, self.whole(new), strict=True))
-        parts = [self.kept[w] for w in words]
-        codes = coded.indices.to_numpy(zero_copy_only=False)
-        flat, sizes = _gather(parts, codes)
-        at = np.concatenate([[0], np.cumsum(sizes)])
-        bounds = np.concatenate([[0], np.cumsum(counts)])
-        of_plain = iter(zip(at[bounds[:-1]], at[bounds[1:]], strict=True))
+        lists = pc.split_pattern(texts.filter(pa.array(~odd)), " ")
+        bounds = lists.offsets.to_numpy().astype(np.int64)
+        words = lists.flatten()
+        first = np.zeros(len(words), bool)
+        first[bounds[:-1] - bounds[0]] = True
+        heads, rest = words.filter(pa.array(first)).dictionary_encode(), words.filter(pa.array(~first)).dictionary_encode()
+        ids, sizes = self.pieces(rest.dictionary)
+        led = self.whole(heads.dictionary.to_pylist())
+        codes = np.empty(len(words), np.int64)
+        codes[~first] = rest.indices.to_numpy()
+        codes[first] = len(sizes) + heads.indices.to_numpy()
+        flat, sizes = _gather(np.concatenate([ids, *led]), np.concatenate([sizes, np.array([len(x) for x in led], np.int64)]), codes)
+        at = np.concatenate([[0], np.cumsum(sizes)])[bounds - bounds[0]]
+        of_plain = iter(zip(at[:-1], at[1:], strict=True))
         of_odd = iter(self.whole(texts.filter(pa.array(odd)).to_pylist()))
         end = np.array([self.end_id], dtype="<u4")
         each = [next(of_odd) if o else flat[slice(*next(of_plain))] for o in odd]
         return np.concatenate([x for e in each for x in (e, end)] or [end[:0]]), np.array([len(e) + 1 for e in each], np.int64)
 
 
-def _gather(parts: list[bytes], codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The parts that the codes name, joined, and the size of each."""
-    size = np.array([len(p) // 4 for p in parts], np.int64)
-    at = np.concatenate([[0], np.cumsum(size)])
-    pool = np.frombuffer(b"".join(parts), "<u4")
+def _gather(pool: np.ndarray, size: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of the pool that the codes name, joined, and the size of each; run k has size[k] ids and follows run k - 1."""
+    at = np.cumsum(size) - size
     sizes = size[codes]
     ends = np.cumsum(sizes)
     take = np.arange(ends[-1] if len(ends) else 0) + np.repeat(at[codes] - (ends - sizes), sizes)
@@ -148,7 +154,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, shards: i
     def encode(batches):
         encoder, bits, block, before, held, n = None, 0, 0, 0, [], 0
         for b in itertools.chain.from_iterable(_slices(b) for b in batches):
-            encoder = encoder or Encoder(tokenizer, end_id)
+            encoder = encoder or Encoder.of(tokenizer, end_id)
             bits = width(encoder.vocabulary)
             shard = b["shard"][0].as_py()
             ids, sizes = encoder.encode(b["text"])
@@ -171,7 +177,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, shards: i
     ranged.select("shard", "doc_id", "text").mapInArrow(encode, STORE).write.option("compression", "none").parquet(path)
 
 
-def _slices(batch: pa.RecordBatch, most: int = 2 << 20):
+def _slices(batch: pa.RecordBatch, most: int = 6 << 20):
     """Parts of a batch of about `most` bytes of text, so that long texts don't add up."""
     ends = np.cumsum(pc.binary_length(batch["text"]).to_numpy(zero_copy_only=False))
     k = 0
