@@ -114,3 +114,47 @@ def circle(lat: float, lon: float, radius_m: float, corners: int = 24, least_m:
     """A ring around a point, for groups that have no hull."""
     r = max(radius_m, least_m) / EARTH_M
     return [(lat + math.degrees(r * math.cos(t)), lon + math.degrees(r * math.sin(t) / max(1e-9, math.cos(math.radians(lat))))) for t in (2 * math.pi * k / corners for k in range(corners))]
+
+
+def profile(df: DataFrame, key: str, lat: str = "lat", lon: str = "lon") -> DataFrame:
+    """(key, n, length_m, across_p90_m, ratio): how far a group's points stretch along and across their main axis.
+
+    Points are laid on a plane around their mean; the axis is that of the larger eigenvalue of their covariance. The ratio of
+    the axes is at most 999, and 0 for one point or several at one place.
+    """
+    mean = df.where(F.col(lat).isNotNull() & F.col(lon).isNotNull()).groupBy(key).agg(F.avg(lat).alias("_a"), F.avg(lon).alias("_o"))
+    x = F.radians(F.col(lon) - F.col("_o")) * EARTH_M * F.cos(F.radians("_a"))
+    p = df.join(mean, key).select(key, x.alias("x"), (F.radians(F.col(lat) - F.col("_a")) * EARTH_M).alias("y")).dropna()
+    m = p.groupBy(key).agg(F.avg(F.col("x") * F.col("x")).alias("xx"), F.avg(F.col("y") * F.col("y")).alias("yy"), F.avg(F.col("x") * F.col("y")).alias("xy"))
+    root = F.sqrt(F.pow(F.col("xx") - F.col("yy"), 2) + 4 * F.pow("xy", 2))
+    m = m.select(key, ((F.col("xx") + F.col("yy") + root) / 2).alias("_big"), F.greatest(F.lit(0.0), (F.col("xx") + F.col("yy") - root) / 2).alias("_small"), (F.atan2(2 * F.col("xy"), F.col("xx") - F.col("yy")) / 2).alias("_w"))
+    turned = p.join(m, key).select(key, "_big", "_small", (F.col("x") * F.cos("_w") + F.col("y") * F.sin("_w")).alias("u"), F.abs(F.col("y") * F.cos("_w") - F.col("x") * F.sin("_w")).alias("v"))
+    ratio = F.when(F.first("_small") > 1e-9, F.least(F.lit(999.0), F.sqrt(F.first("_big") / F.first("_small")))).when(F.first("_big") > 1e-9, 999.0).otherwise(0.0)
+    return turned.groupBy(key).agg(F.count("*").alias("n"), F.round(F.max("u") - F.min("u"), 1).alias("length_m"), F.round(F.expr("percentile_disc(0.9) WITHIN GROUP (ORDER BY v)"), 1).alias("across_p90_m"), F.round(ratio, 2).alias("ratio"))
+
+
+#: Half axis in metres and eccentricity of the WGS84 ellipsoid.
+WGS84_A, WGS84_E = 6_378_137.0, 0.0818191908426215
+
+
+def area_km2(ring: Column) -> Column:
+    """Area of a ring, array<struct<lat,lon>>, on WGS84: its edges are straight between authalic latitudes, which keep areas."""
+    e = WGS84_E
+
+    def q(lat):
+        s = F.sin(F.radians(lat))
+        return F.lit(1 - e * e) * (s / (1 - F.lit(e * e) * s * s) - F.lit(1 / (2 * e)) * F.ln((1 - F.lit(e) * s) / (1 + F.lit(e) * s)))
+
+    points = F.transform(ring, lambda p: F.struct(q(p["lat"]).alias("q"), F.radians(p["lon"]).alias("l")))
+    edges = F.transform(points, lambda p, k: (F.get(points, F.pmod(k + 1, F.size(ring)))["l"] - p["l"]) * (p["q"] + F.get(points, F.pmod(k + 1, F.size(ring)))["q"]) / 2)
+    return F.abs(F.aggregate(edges, F.lit(0.0), lambda a, b: a + b)) * F.lit(WGS84_A**2 / 2 / 1e6)
+
+
+def hexagon(lat: Column, lon: Column, side_m: float = 200.0, at: float = 0.0) -> Column:
+    """struct<q,r> of the hexagon, pointed at the top, that a place falls into, on a plane that is true at latitude `at`."""
+    x, y = F.radians(lon) * F.lit(EARTH_M * math.cos(math.radians(at)) / side_m), F.radians(lat) * F.lit(EARTH_M / side_m)
+    q, r = x * F.lit(math.sqrt(3) / 3) - y / 3, y * F.lit(2 / 3)
+    a, b, c = F.rint(q), F.rint(r), F.rint(-q - r)
+    da, db, dc = F.abs(a - q), F.abs(b - r), F.abs(c + q + r)
+    wide, tall = (da > db) & (da > dc), db > dc
+    return F.struct(F.when(wide, -b - c).otherwise(a).cast("long").alias("q"), F.when(~wide & tall, -a - c).otherwise(b).cast("long").alias("r"))
