@@ -4,7 +4,9 @@ The lines of a document that hold a word are a sequence of hashes. A window is t
 `min_words` words; of each window the smallest line hash is selected as a fingerprint (ties: the last). Any run of that many
 words which occurs twice holds the same windows twice, hence the same fingerprints, so no such repeat is missed. Fingerprints
 are joined: windows whose fingerprint occurs at one place only are out. The others are compared by their whole content, which
-verifies the match; matching windows that overlap extend it in both directions, to the ends of the run. The first
+verifies the match; matching windows that overlap extend it in both directions. Windows are also read from the end: the shortest
+run of lines up to a line. Every line of a repeated run of `min_words` words lies in a window of one of the two kinds within the
+run, so together they reach both its ends (with `ends=False`, only the ends of the windows by first lines). The first
 occurrence (smallest doc_id, then line) of a window stays, the lines of later ones go.
 
 DataFrame expressions only; what is shuffled are hashes and positions, and no group is ever gathered: firsts are minima.
@@ -29,24 +31,32 @@ def sequence(docs: DataFrame, text: str = "text") -> DataFrame:
     return lines.select("doc_id", "line", bare.alias("x")).where("x != ''").select("doc_id", "line", F.xxhash64("x").alias("h"), F.xxhash64(F.lit(11), "x").alias("g"), F.size(F.split("x", f"[{SPACE}]+")).alias("words"))
 
 
-def windows(lines: DataFrame, min_words: int) -> DataFrame:
-    """(doc_id, line, last, fingerprint, at, content): complete windows, by the line they begin with.
+def windows(lines: DataFrame, min_words: int, ends: bool = True) -> DataFrame:
+    """(doc_id, line, last, fingerprint, place, content): complete windows, by the line they begin with and, with `ends`, by the line they end with.
 
-    content: hash of the window's lines, from running sums of hashes weighted by their place, so that it needs no list.
+    A run of lines by its end that is as short as can be from its first line, too, is there once. content: hash of the window's lines, from running sums of hashes weighted by their place, so that it needs no list.
     """
     w = Window.partitionBy("doc_id").orderBy("line")
     before = F.coalesce(F.sum("words").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long")
-    x = lines.withColumn("at", before).withColumn("total", F.sum("words").over(Window.partitionBy("doc_id")))
+    x = lines.withColumn("at", before).withColumn("upto", F.col("at") + F.col("words")).withColumn("total", F.sum("words").over(Window.partitionBy("doc_id")))
+    least = lambda span: F.min(F.struct("h", (-F.col("line")).alias("back"))).over(span)
+    body = lambda span: F.collect_list(F.struct("h", "g")).over(span)
+    run = lambda line, last, m, one, two: F.struct(line.alias("line"), last.alias("last"), m["h"].alias("fingerprint"), (-m["back"]).alias("place"), one.alias("content"), two.alias("content2"))
     span = Window.partitionBy("doc_id").orderBy("at").rangeBetween(0, min_words - 1)
-    least = F.min(F.struct("h", (-F.col("line")).alias("back"))).over(span)
-    body = F.collect_list(F.struct("h", "g")).over(span)
-    x = x.select("doc_id", "line", "at", "total", least.alias("m"), F.max("line").over(span).alias("last"), F.xxhash64(body).alias("content"), F.xxhash64(F.lit(13), body).alias("content2"))
-    return x.where(F.col("total") - F.col("at") >= min_words).select("doc_id", "line", "last", F.col("m.h").alias("fingerprint"), (-F.col("m.back")).alias("place"), "content", "content2")
-
-
-def repeats(docs: DataFrame, min_words: int = MIN_WORDS, text: str = "text") -> DataFrame:
+    ahead = run(F.col("line"), F.max("line").over(span), least(span), F.xxhash64(body(span)), F.xxhash64(F.lit(13), body(span)))
+    runs = [F.when(F.col("total") - F.col("at") >= min_words, ahead)]
+    if ends:
+        # The lines that reach into the last `min_words` up to a line's end; without the line they still have as many words.
+        span = Window.partitionBy("doc_id").orderBy("upto").rangeBetween(1 - min_words, 0)
+        back = run(F.min("line").over(span), F.col("line"), least(span), F.xxhash64(F.lit(17), body(span)), F.xxhash64(F.lit(19), body(span)))
+        runs.append(F.when(F.sum("words").over(span) - F.col("words") >= min_words, back))
+    found = x.select("doc_id", F.array(*runs).alias("runs"))
+    return found.select("doc_id", F.explode("runs").alias("r")).where("r IS NOT NULL").select("doc_id", "r.*")
+
+
+def repeats(docs: DataFrame, min_words: int = MIN_WORDS, text: str = "text", ends: bool = True) -> DataFrame:
     """(doc_id, start, end, first_doc, first_line): windows of lines that are to go, end inclusive, and where they stay."""
-    found = stored(windows(sequence(docs, text), min_words))
+    found = stored(windows(sequence(docs, text), min_words, ends))
     # A fingerprint is a place; windows that share it count once.
     places = found.select("fingerprint", "doc_id", "place").distinct()
     shared = places.groupBy("fingerprint").agg(F.min(F.struct("doc_id", "place")).alias("lo"), F.max(F.struct("doc_id", "place")).alias("hi")).where("lo != hi").select("fingerprint")
@@ -58,12 +68,12 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS, text: str = "text") ->
     return later.select("doc_id", start.alias("start"), F.col("last").alias("end"), F.col("f.doc_id").alias("first_doc"), F.col("f.line").alias("first_line")).where("start <= end")
 
 
-def removed(docs: DataFrame, min_words: int = MIN_WORDS, text: str = "text") -> DataFrame:
+def removed(docs: DataFrame, min_words: int = MIN_WORDS, text: str = "text", ends: bool = True) -> DataFrame:
     """(doc_id, runs): for each document that loses lines its runs, array<struct<start,end>>, disjoint and in order.
 
     Rows of one document are gathered by their runs, after windows that follow each other have been merged.
     """
-    r = repeats(docs, min_words, text).groupBy("doc_id", "start").agg(F.max("end").alias("end"))
+    r = repeats(docs, min_words, text, ends).groupBy("doc_id", "start").agg(F.max("end").alias("end"))
     w = Window.partitionBy("doc_id").orderBy("start")
     open_ = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
     r = r.withColumn("new", F.when(F.coalesce(F.col("start") > open_ + 1, F.lit(True)), 1).otherwise(0)).withColumn("run", F.sum("new").over(w))
@@ -71,13 +81,13 @@ def removed(docs: DataFrame, min_words: int = MIN_WORDS, text: str = "text") ->
     return runs.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("runs"))
 
 
-def deduplicated(docs: DataFrame, min_words: int = MIN_WORDS, text: str = "text") -> DataFrame:
+def deduplicated(docs: DataFrame, min_words: int = MIN_WORDS, text: str = "text", ends: bool = True) -> DataFrame:
     """`docs` without the lines that repeat earlier ones, and with `runs`, those that went (empty if none).
 
     Null texts stay null. Rows with a null doc_id are left alone. Rows that share a doc_id count as one text after another in
     which equal line numbers meet, so doc_id should be unique. A column named runs gives way.
     """
-    gone = removed(docs, min_words, text).alias("r")
+    gone = removed(docs, min_words, text, ends).alias("r")
     d = docs.drop("runs").alias("d")
     x = d.join(gone, F.col("d.doc_id").cast("long") == F.col("r.doc_id"), "left").select("d.*", F.coalesce("runs", F.array().cast("array<struct<start:int,end:int>>")).alias("runs"))
     one = F.array(F.split(F.col(text), "\n"))
