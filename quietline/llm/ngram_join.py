@@ -26,7 +26,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
@@ -39,16 +39,17 @@ TOKENS_A_PARTITION = 4_000_000
 TOKENS_HELD = 600_000
 
 
-def documents_of(docs: DataFrame, words: int, text: str = "text") -> DataFrame:
-    """(doc_id, n, node): the size of a document's set and the hash that names the set; an empty set has no node."""
+def documents_of(docs: DataFrame, words: int, text: str = "text", tie: Column | None = None) -> DataFrame:
+    """(doc_id, n, node): the size of a document's set and the hash that names the set; an empty set has no node. With a tie, it comes last."""
+    more = [] if tie is None else ["tie"]
 
     def sign(batches):
         for b in batches:
             for part in slices(b, "text"):
                 sets = shingles(part["text"], words)
-                yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array([len(s) for s in sets], pa.int64()), pa.array([signature(s) if len(s) else None for s in sets], pa.int64())], names=["doc_id", "n", "node"])
+                yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array([len(s) for s in sets], pa.int64()), pa.array([signature(s) if len(s) else None for s in sets], pa.int64()), *(part[c] for c in more)], names=["doc_id", "n", "node", *more])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(sign, "doc_id long, n long, node long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"), *(tie.alias(k) for k in more)).mapInArrow(sign, "doc_id long, n long, node long" + "".join(f", {k} long" for k in more))
 
 
 def _send(parts: int, words: int):
@@ -285,20 +286,24 @@ def reaches(overlap: str, sizes: str, percent: int) -> str:
     return f"({overlap}) * {100 + percent} >= ({sizes}) * {percent}"
 
 
+def rooted(docs: DataFrame, words: int, percent: int, text: str, tie: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """The rows of documents_of, and (node, root) of the sets that have links."""
+    every = stored(documents_of(docs, words, text, tie))
+    total = every.agg(F.sum("n")).first()[0] or 0
+    if not total:
+        return every, every.select("node", F.col("node").alias("root")).limit(0)
+    sets = stored(shared_tokens(docs, total, words, percent, text))
+    return every, stored(components(links(sets, percent)))
+
+
 def joined(docs: DataFrame, words: int = 5, percent: int = 75, text: str = "text") -> DataFrame:
     """One row a document: doc_id, n_shingles, component_id (the smallest doc_id that links reach), class_id.
 
     Null and empty texts have empty sets and stand alone. class_id is the smallest doc_id with the same set. Rows that
     share a doc_id each get their own; null doc_ids take part in links but name no class.
     """
-    every = stored(documents_of(docs, words, text))
-    total = every.agg(F.sum("n")).first()[0] or 0
+    every, found = rooted(docs, words, percent, text)
     classes = every.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("class_id"))
-    if total:
-        sets = stored(shared_tokens(docs, total, words, percent, text))
-        found = stored(components(links(sets, percent)))
-    else:
-        found = every.select("node", F.col("node").alias("root")).limit(0)
     labelled = classes.join(found, "node", "left").select("node", "class_id", F.coalesce("root", "node").alias("root"))
     labelled = stored(labelled)
     least = labelled.groupBy("root").agg(F.min("class_id").alias("component_id"))
@@ -308,11 +313,19 @@ def joined(docs: DataFrame, words: int = 5, percent: int = 75, text: str = "text
     return linked.unionByName(alone)
 
 
-def representatives(docs: DataFrame, **options) -> DataFrame:
-    """`docs` with one document of each component: that with the smallest doc_id. Documents without words stay.
+def representatives(docs: DataFrame, words: int = 5, percent: int = 75, text: str = "text") -> DataFrame:
+    """`docs` with one row of each component: that with the smallest doc_id, then the smallest hash of the row. Rows without words stay.
 
-    Rows with a null doc_id stay too, unless a document with one is in their component.
+    A null doc_id comes after all others. Rows are told apart by doc_id and hash, so those that share a doc_id, or have
+    none, stand for their own components; of wholly equal rows one stays.
     """
-    keep = joined(docs, **options).where("component_id IS NULL OR doc_id = component_id").select("doc_id").distinct()
-    ids = F.col("d.doc_id").cast("long").eqNullSafe(F.col("k.doc_id"))
-    return docs.alias("d").join(keep.alias("k"), ids, "left_semi").dropDuplicates(["doc_id"])
+    tie = F.xxhash64(*(F.col(c) for c, kind in docs.dtypes if "map<" not in kind and kind != "variant"))
+    every, found = rooted(docs, words, percent, text, tie)
+    row = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie"))
+    least = every.where("node IS NOT NULL").groupBy("node").agg(row.alias("m")).join(found, "node", "left")
+    least = least.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("m").alias("m"))
+    keep = least.select(F.col("m.doc_id").alias("_id"), F.col("m.tie").alias("_tie"), F.lit(False).alias("_alone"))
+    keep = keep.unionByName(every.where("node IS NULL").select(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie"), F.lit(True).alias("_alone")).distinct())
+    rows = docs.withColumn("_row", tie).join(keep, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_row") == F.col("_tie")))
+    once = F.when(F.col("_alone"), F.monotonically_increasing_id())
+    return rows.withColumn("_once", once).dropDuplicates(["_id", "_tie", "_once"]).select(*docs.columns)
