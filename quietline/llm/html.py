@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import functools
 import html as entities
+import itertools
 import re
 from dataclasses import dataclass, field
 
@@ -27,6 +28,10 @@ OUTER = frozenset(
     "nav navbar navigation menu menubar breadcrumb breadcrumbs footer footnav header masthead topbar sidebar aside complementary ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login search share sharing social related recommended recommendations teaser comment comments commentlist respond reply replies disqus form widget toolbar pagination pager copyright contentinfo legal disclaimer skip dialog".split()
 )
 INNER = frozenset("article main content post entry story body text articlebody maincontent postcontent".split())
+#: Elements, and words of class, id and role, that an article in them doesn't cancel; words of a name after which the next ones say nothing.
+CLOSED_TAGS = OUTER_TAGS - {"form", "fieldset", "search"}
+CLOSED = frozenset("comment comments commentlist respond reply replies disqus ad ads adv advert adverts advertisement advertising sponsor sponsored related recommended recommendations teaser promo promotion".split())
+ABOUT = re.compile(r"(?:has|have|no|not|non|with|without)$", re.I)
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 TAG = re.compile(r"""<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+'|["'])*+)>""", re.S)
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
@@ -34,6 +39,10 @@ WHITE = re.compile(r"\s+")
 TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
 
+#: Kinds of an element that isn't part of the article.
+OPEN, WORDED, SHUT = 1, 2, 3
+
+
 @dataclass
 class Block:
     text: str
@@ -42,36 +51,46 @@ class Block:
     heading: bool
     inner: bool
     outer: bool
+    wrapped: bool = False
     numbers: tuple = field(default=())
 
 
-def _place(tag: str, attributes: str, inside: bool) -> tuple[bool, bool]:
-    """Whether an element begins the article, or something that isn't part of it."""
+def _tokens(value: str) -> set[str]:
+    """Words of the names in a class, id or role; those after "has", "no" or "with" tell of the page, not of the element."""
+    names = (TOKEN.findall(name) for name in value.split())
+    return {t.lower() for name in names for t in itertools.takewhile(lambda t: not ABOUT.match(t), name)}
+
+
+def _place(tag: str, attributes: str) -> tuple[bool, int]:
+    """Whether an element begins the article, and whether something that isn't part of it: OPEN ends where an article begins, WORDED may, SHUT doesn't."""
     if tag in ("html", "body", "head"):
-        return False, False
+        return False, 0
     tokens = set()
     for m in ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name == "hidden" or name == "style" and re.search(r"display\s*:\s*none", value):
-            return False, True
+            return False, SHUT
         if name != "style":
-            tokens.update(t.lower() for t in TOKEN.findall(value))
+            tokens |= _tokens(value)
     inner, outer = tag in ("article", "main") or bool(tokens & INNER), tag in OUTER_TAGS or bool(tokens & OUTER)
     if outer and tag in ("article", "main"):
         outer = bool(tokens & {"comment", "comments", "reply", "replies", "ad", "ads", "advert", "sponsored", "related", "teaser", "promo"})
-    return inner and not outer, outer
+    if not outer:
+        return inner, 0
+    return False, SHUT if tag in CLOSED_TAGS else WORDED if tokens & CLOSED else OPEN
 
 
 def blocks(page: str) -> list[Block]:
     """Text blocks in page order, without empty ones."""
-    out, stack, inside, outside, headers, links, silent = [], [], 0, 0, 0, 0, 0
+    out, stack, inside, outside, headers, links, silent = [], [], 0, (0, 0, 0, 0), 0, 0, 0
     text, linked, heading = [], [], False
 
     def close():
         nonlocal heading
         body = WHITE.sub(" ", "".join(text)).strip()
         if body:
-            out.append(Block(body, len(body.split()), len("".join(linked).split()), heading, inside > 0, outside > 0 or headers > 0 and not (inside > 0 and heading)))
+            beside = headers > 0 and not (inside > 0 and heading)
+            out.append(Block(body, len(body.split()), len("".join(linked).split()), heading, inside > 0, sum(outside) > 0 or beside, outside[0] > 0 and sum(outside[1:]) == 0 and not beside))
         text.clear()
         linked.clear()
         heading = False
@@ -85,8 +104,8 @@ def blocks(page: str) -> list[Block]:
 
     def pop():
         nonlocal inside, outside, headers, links, silent
-        tag, i, o = stack.pop()
-        inside, outside, headers, links, silent = inside - i, outside - o, headers - (tag == "header"), links - (tag == "a"), silent - (tag in SILENT)
+        tag, i, outside = stack.pop()
+        inside, headers, links, silent = inside - i, headers - (tag == "header"), links - (tag == "a"), silent - (tag in SILENT)
 
     at, raw_until = 0, None
     for m in TAG.finditer(page):
@@ -131,9 +150,13 @@ def blocks(page: str) -> list[Block]:
             heading = tag in HEADINGS
         if tag in VOID or m[3].endswith("/") and tag not in RAW and tag not in BLOCK and tag != "a":
             continue
-        i, o = _place(tag, m[3], inside > 0)
-        stack.append((tag, i, o))
-        inside, outside, headers, links, silent = inside + i, outside + o, headers + (tag == "header"), links + (tag == "a"), silent + (tag in SILENT)
+        i, o = _place(tag, m[3])
+        stack.append((tag, i, outside))  # what was open around it comes back at its end
+        if not o and tag in ("article", "main"):
+            outside = (outside[0] + outside[WORDED], 0, 0, outside[SHUT])
+        elif o:
+            outside = tuple(n + (k == o) for k, n in enumerate(outside))
+        inside, headers, links, silent = inside + i, headers + (tag == "header"), links + (tag == "a"), silent + (tag in SILENT)
         if tag in RAW:
             raw_until = tag
     if not raw_until:
@@ -148,6 +171,10 @@ NUMBERS = ("words", "density", "words_before", "density_before", "words_after",
 
 def measured(found: list[Block]) -> list[Block]:
     density = [b.linked / b.words for b in found]
+    # A name such as "related" around an article stands for what isn't the main text, unless that has most of the page's words.
+    if not any(b.inner and not b.outer for b in found) and 2 * sum(b.words for b in found if b.wrapped) >= sum(b.words for b in found):
+        for b in found:
+            b.outer = b.outer and not b.wrapped
     main = any(b.inner and not b.outer for b in found)
     for k, b in enumerate(found):
         before = (found[k - 1].words, density[k - 1]) if k else (0, 0.0)
@@ -173,6 +200,8 @@ def labelled() -> list[tuple[tuple, int]]:
             rows.append(f"<div>{x}</div><div>{menu}</div><div><h1>{say('K', 6)}</h1>{plain}</div>{y}")
             rows.append(f"<article><p>{say('K', n)}</p></article>{x}")
             rows.append(f"{y}<article><p>{say('K', 30)}</p><p><a href='#'>{say('K', n)}</a></p><ul><li><a href='#'>{say('K', 3)}</a></li><li>{say('K', n)}</li></ul></article>{x}")
+        for name in ("layout has-sidebar", "no-ads", "with-comments", "social-science", "legal-text"):
+            rows.append(f'<div class="{name}">{around[0]}<article><h1>{say("K", 5)}</h1>{prose}</article>{around[4]}</div>')
         rows.append(f"<div>{menu}</div><p>{say('K', 40 + n)}</p>")
         rows.append(f"<p>{say('K', 20 + n)}</p>")
     return [(b.numbers, int(b.text.startswith("K"))) for page in rows for b in blocks(page)]
