@@ -20,6 +20,7 @@ from __future__ import annotations
 import functools
 import itertools
 import os
+import re
 import zlib
 
 import numpy as np
@@ -38,6 +39,9 @@ BLOCK_IDS = 1 << 18
 #: Distinct pieces that the library encodes as one text; speed alone depends on it.
 PIECES = 1024
 
+#: Texts whose space-led pieces can't be told apart from the library's: odd white space, or a space beside another or a line end.
+ODD = r"^ |  | \n|\n | $|[\t\v\f\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
 #: Fixed value: how byte-level vocabularies write the byte of a space.
 SPACE_BYTE = "\u0120"
 
@@ -75,7 +79,8 @@ class Encoder:
     A byte-level BPE splits a text before it merges, and a single space between two other characters always begins a new
     piece there. So a text without double or other unusual spacing is the concatenation of its space-led pieces, and the
     library encodes only the distinct ones, many joined to one text: in its ids, the tokens that begin with a space say
-    where each piece begins. Any other text goes to the library whole.
+    where each piece begins. Any other text, and one that holds an added token's text (which the library gives that
+    token's id), goes to the library whole.
     """
 
     def __init__(self, path: str, end_id: int):
@@ -83,8 +88,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.distinct, self.end_id = Tokenizer.from_file(path), Tokenizer.from_file(path), end_id
-        self.tokenizer.encode_special_tokens = self.distinct.encode_special_tokens = True
         self.distinct.model._resize_cache(0)  # no word comes twice there, so looking each up only costs
+        self.odd = "|".join([ODD, *(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values())])
         self.vocabulary = max(self.tokenizer.get_vocab_size(), end_id + 1)
         self.spaced = np.zeros(self.vocabulary, bool)
         self.spaced[[i for token, i in self.tokenizer.get_vocab().items() if token.startswith(SPACE_BYTE)]] = True
@@ -111,8 +116,7 @@ class Encoder:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after another, each with the end id, and the number of ids of each."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
-        # White space other than single spaces and line ends, or a space beside another, goes the long way.
-        odd = pc.match_substring_regex(texts, r"^ |  | \n|\n | $|[\t\v\f\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]").to_numpy(zero_copy_only=False)
+        odd = pc.match_substring_regex(texts, self.odd).to_numpy(zero_copy_only=False)
         lists = pc.split_pattern(texts.filter(pa.array(~odd)), " ")
         bounds = lists.offsets.to_numpy().astype(np.int64)
         words = lists.flatten()
