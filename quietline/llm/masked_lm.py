@@ -4,15 +4,19 @@ A network sees a window of words on both sides of a masked one and predicts it:
 right, each place with its own table, are summed, pass a nonlinearity and give a distribution over the vocabulary. The score of a
 document is the sum over its words of the log-probability of each, given both sides.
 
-Vocabulary: the most frequent words of the whole corpus have an id each; the others share hashed ids, which follow the known ones.
-
-Training runs where the data are: every partition goes over all of its documents, masks a share of their words and takes
-gradient steps in numpy; its parameters, weighted by its words, are summed by block of rows over the cluster. `ROUNDS` such averages
-follow each other. So every document takes part, and what is sent grows with the partitions.
+Vocabulary: the most frequent words of the whole corpus have an id each; the others share hashed ids, which follow the known
+ones. Such a word has the log-probability of its hashed id plus that of the word given the id: its share of the id's count in
+the whole corpus. The counts stay a distributed table, joined to the texts by word.
+
+Training: texts, as ids, are dealt into shards, as many as the square root of the corpus's words asks for, so shards and the steps of each
+grow with the corpus and don't follow the input's partitions. In each round a shard masks the words whose turn it is and takes
+gradient steps in numpy; its parameters, weighted by its words, are summed by block of rows over the cluster. The turns of
+`ROUNDS` averages cover every word once.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,14 +24,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .texthash import slices, words
+from .shared import stored
+from .texthash import mix, slices, words
 
 #: Words with an id of their own, hashed ids, the id of what lies beyond the text's ends, width of the layer, words seen on a side.
 KNOWN, HASHED, WIDTH, SIDE = 383, 128, 24, 2
 VOCABULARY = KNOWN + HASHED + 1
 EDGE = VOCABULARY - 1
-#: Averages, the share of words that are masked in training, and words of a gradient step.
-ROUNDS, MASKED, STEP, RATE = 1, 0.1, 512, 0.5
+#: Averages, which mask each word once together, words of a gradient step, its rate, and words of a corpus that are one shard.
+ROUNDS, STEP, RATE, SHARD = 3, 512, 0.5, 100_000
 #: Rows of a parameter block as it is summed.
 BLOCK = 64
 
@@ -109,8 +114,14 @@ def contexts(ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.stack([padded[at + d] for d in (*range(-SIDE, 0), *range(1, SIDE + 1))], axis=1)
 
 
-def frequent(docs: DataFrame, text: str = "text", most: int = KNOWN) -> list[int]:
-    """Hashes of the most frequent words, counted over all documents; ties go to the smaller hash."""
+def turns(h: np.ndarray, counts: np.ndarray, rounds: int) -> np.ndarray:
+    """The round in which each word is a target: it follows from the word's id and its place in its text."""
+    place = np.arange(len(h)) - np.repeat(np.cumsum(counts) - counts, counts)
+    return mix(h ^ mix(place.astype(np.uint64))) % np.uint64(max(1, rounds))
+
+
+def counted(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(h, n): how often each word occurs in all documents, by its hash."""
 
     def count(batches):
         for b in batches:
@@ -118,36 +129,62 @@ def frequent(docs: DataFrame, text: str = "text", most: int = KNOWN) -> list[int
                 h, n = np.unique(words(part[text])[0], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["h", "n"])
 
-    counted = docs.select(text).mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    return [r.h for r in counted.orderBy(F.desc("n"), "h").limit(most).collect()]
+    return docs.select(text).mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+
+
+def frequent(counts: DataFrame, most: int = KNOWN) -> list[int]:
+    """Hashes of the most frequent words; ties go to the smaller hash."""
+    return [r.h for r in counts.orderBy(F.desc("n"), "h").limit(most).collect()]
+
+
+def shares(counts: DataFrame, known: list[int]) -> DataFrame:
+    """(h, share): log-probability of each word without an id of its own, given its hashed id."""
+    # The remainder of the hash as an unsigned number; HASHED divides 2^64.
+    rare = counts.where(~F.col("h").isin(known)) if known else counts
+    rare = rare.withColumn("bucket", F.col("h").bitwiseAND(F.lit(HASHED - 1)))
+    whole = rare.groupBy("bucket").agg(F.sum("n").alias("all"))  # at most HASHED rows
+    return rare.join(F.broadcast(whole), "bucket").select("h", (F.log("n") - F.log("all")).alias("share"))
 
 
-def trained(docs: DataFrame, known: list[int], rounds: int = ROUNDS, text: str = "text") -> Network:
-    """The network after `rounds` averages over all documents."""
+def coded(docs: DataFrame, known: list[int], text: str = "text") -> DataFrame:
+    """(ids, counts): the ids of the words of some texts, 16 bits each, and the number of words of each text, 32 bits each."""
+    shared = docs.sparkSession.sparkContext.broadcast(np.array(known, np.int64).view(np.uint64))
+
+    def code(batches):
+        vocabulary = Vocabulary(shared.value)
+        for b in batches:
+            for part in slices(b, text, 1 << 16):
+                h, counts = words(part[text])
+                if len(h):
+                    yield pa.RecordBatch.from_arrays([pa.array([vocabulary.ids(h).astype("<u2").tobytes()]), pa.array([counts.astype("<i4").tobytes()])], names=["ids", "counts"])
+
+    return docs.select(text).mapInArrow(code, "ids binary, counts binary")
+
+
+def trained(docs: DataFrame, known: list[int], total: int, rounds: int = ROUNDS, text: str = "text") -> Network:
+    """The network after `rounds` averages over all documents, which have `total` words; in them every word is a target once."""
     spark = docs.sparkSession
     network = Network.start()
+    dealt = stored(coded(docs, known, text)).repartition(max(1, math.ceil(math.sqrt(total / SHARD))))
     for turn in range(rounds):
-        shared = spark.sparkContext.broadcast((network.flat(), np.array(known, np.int64).view(np.uint64)))
+        shared = spark.sparkContext.broadcast(network.flat())
 
         def learn(batches, shared=shared, turn=turn):
-            net, vocabulary, seen = Network.of(shared.value[0].copy()), Vocabulary(shared.value[1]), 0
+            net, seen = Network.of(shared.value.copy()), 0
             for b in batches:
-                for part in slices(b, text, 1 << 20):
-                    h, counts = words(part[text])
-                    if not len(h):
-                        continue
-                    ids = vocabulary.ids(h)
-                    pick = np.flatnonzero((h ^ np.arange(len(h), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ np.uint64(turn)) % np.uint64(1000) < np.uint64(1000 * MASKED))
+                for raw, sizes in zip(b["ids"], b["counts"]):
+                    ids, counts = np.frombuffer(raw.as_py(), "<u2").astype(np.int32), np.frombuffer(sizes.as_py(), "<i4").astype(np.int64)
+                    pick = np.flatnonzero(turns(ids.astype(np.uint64), counts, rounds) == turn)
                     context = contexts(ids, counts)[pick]
                     for k in range(0, len(pick), STEP):
                         net.learn(context[k : k + STEP], ids[pick[k : k + STEP]])
-                    seen += len(h)
+                    seen += len(ids)
             if seen:
                 flat = net.flat().astype("f8") * seen
                 cuts = range(0, len(flat), BLOCK * WIDTH)
                 yield pa.RecordBatch.from_arrays([pa.array(range(len(cuts)), pa.int32()), pa.array([seen] * len(cuts), pa.int64()), pa.array([flat[k : k + BLOCK * WIDTH] for k in cuts], pa.list_(pa.float64()))], names=["block", "seen", "x"])
 
-        sent = docs.select(text).mapInArrow(learn, "block int, seen long, x array<double>")
+        sent = dealt.mapInArrow(learn, "block int, seen long, x array<double>")
         # Sums by parameter: partial aggregates on the side of the sender, and no group is gathered.
         each = sent.select("block", "seen", F.posexplode("x").alias("k", "v"))
         rows = each.groupBy("block", "k").agg((F.sum("v") / F.sum("seen")).alias("v")).orderBy("block", "k").collect()  # the size of the network
@@ -162,13 +199,15 @@ def scored(docs: DataFrame, rounds: int = ROUNDS, text: str = "text") -> DataFra
     Texts without words, and null ones, have 0 words, 0.0 and a null mean. Columns with these names give way.
     """
     spark = docs.sparkSession
-    known = frequent(docs, text)
-    network = trained(docs, known, rounds, text)
+    counts = stored(counted(docs, text))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    known = frequent(counts)
+    network = trained(docs, known, total, rounds, text)
     shared = spark.sparkContext.broadcast((network.flat(), np.array(known, np.int64).view(np.uint64)))
     new = ("n_words", "log_likelihood", "mean_log")
     rest = [c for c in docs.columns if c not in (*new, text)]
-    shaped = docs.select(*rest, F.lit(0).cast("long").alias("n_words"), F.lit(0.0).alias("log_likelihood"), F.lit(None).cast("double").alias("mean_log"))
-
+    kept = docs.select(*rest)
+    shaped = docs.select(*rest, F.lit(0).cast("long").alias("n_words"), F.lit(0.0).alias("log_likelihood"), F.array().cast("array<struct<h:long,c:int>>").alias("_rare"))
     names = shaped.columns
 
     def apply(batches):
@@ -179,10 +218,23 @@ def scored(docs: DataFrame, rounds: int = ROUNDS, text: str = "text") -> DataFra
                 ids = vocabulary.ids(h)
                 context = contexts(ids, counts)
                 logs = np.concatenate([net.logs(context[k : k + 4096], ids[k : k + 4096]) for k in range(0, len(ids), 4096)] or [np.zeros(0)]).astype("f8")
-                ends = np.concatenate([[0], np.cumsum(logs)])[np.concatenate([[0], np.cumsum(counts)])]
-                total = np.diff(ends)
-                mean = pa.array(np.divide(total, counts, out=np.zeros(len(counts)), where=counts > 0), mask=counts == 0)
-                made = {"n_words": pa.array(counts.astype(np.int64)), "log_likelihood": pa.array(total), "mean_log": mean}
+                at = np.concatenate([[0], np.cumsum(counts)])
+                # Words without an id, each once a text, with how often it is there.
+                rare = np.flatnonzero(ids >= KNOWN)
+                of = np.repeat(np.arange(len(counts)), counts)[rare]
+                order = np.lexsort((h[rare], of))
+                own, of = h[rare][order], of[order]
+                new = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]) | (of[1:] != of[:-1])])[: len(own)])
+                times = np.diff(np.append(new, len(own))).astype(np.int32)
+                each = pa.StructArray.from_arrays([pa.array(own[new].view(np.int64)), pa.array(times)], names=["h", "c"])
+                lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(of[new], np.arange(len(counts) + 1)), pa.int32()), each)
+                made = {"n_words": pa.array(counts.astype(np.int64)), "log_likelihood": pa.array(np.diff(np.concatenate([[0], np.cumsum(logs)])[at])), "_rare": lists}
                 yield pa.RecordBatch.from_arrays([made[c] if c in made else part[c] for c in names], names=names)
 
-    return docs.select(*rest, F.col(text).alias("_text")).mapInArrow(apply, shaped.schema)
+    # Stored, so that a row's number is the same for its words and itself.
+    rows = stored(docs.select(*rest, F.col(text).alias("_text")).mapInArrow(apply, shaped.schema).withColumn("_row", F.monotonically_increasing_id()))
+    each = rows.select("_row", F.explode("_rare").alias("r")).select("_row", "r.h", "r.c")
+    more = each.join(shares(counts, known), "h").groupBy("_row").agg(F.sum(F.col("c") * F.col("share")).alias("_more"))
+    every = F.col("log_likelihood") + F.coalesce("_more", F.lit(0.0))
+    done = rows.drop("_rare").join(more, "_row", "left").withColumn("log_likelihood", every)
+    return done.select(*kept.columns, "n_words", "log_likelihood", F.when(F.col("n_words") > 0, F.col("log_likelihood") / F.col("n_words")).alias("mean_log"))
