@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -36,14 +37,73 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{root}/{uuid.uuid4().hex}"
 
 
+#: Folders of frames that `stored` wrote: those of the open scratch scopes, innermost last, and those that stay until `clear`.
+_scopes: list[list[str]] = []
+_kept: list[str] = []
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Write a frame to the shared folder and read it back, which cuts its lineage."""
     spark = df.sparkSession
     path = shared_dir(spark)
+    (_scopes[-1] if _scopes else _kept).append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Frames that are stored inside are deleted at the end; what is needed later goes through `kept`."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        _delete(spark, _scopes.pop())
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """Store a frame for the scope around the open one: until that ends or, if there is none, until `clear`."""
+    inner = _scopes.pop()
+    try:
+        return stored(df)
+    finally:
+        _scopes.append(inner)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete what the results of this session's operators read. Call it once they have been written or collected."""
+    _delete(spark, _kept)
+    _kept.clear()
+
+
+def keep_until_clear(path: str) -> str:
+    """Note a folder for `clear`, or for the end of the open scope."""
+    (_scopes[-1] if _scopes else _kept).append(path)
+    return path
+
+
+def _delete(spark: SparkSession, paths: list[str]) -> None:
+    jvm = spark._jvm
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def tasks(spark: SparkSession) -> int:
     """Shuffle partitions that the session asks for."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+#: Keys that hold more than this share of all rows are joined apart; so there are at most that many.
+HOT = 4096
+
+
+def join_split(left: DataFrame, right: DataFrame, keys: list[str], count: str, total: int) -> DataFrame:
+    """Inner join of `left` with one row a key of `right`, whose column `count` says how many rows of `left` have the key.
+
+    A shuffle would bring all rows of a key to one task. Keys with more than a share of 1 / HOT of the `total` rows are at most
+    HOT, whatever the data; their rows of `right` are broadcast, and their rows of `left` stay where they are.
+    """
+    border = max(1, total // HOT)
+    hot, rest = right.where(F.col(count) > border).drop(count), right.where(F.col(count) <= border).drop(count)
+    return left.join(F.broadcast(hot), keys).unionByName(left.join(rest, keys))
