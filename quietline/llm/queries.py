@@ -62,7 +62,8 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.digest(decontaminate.find(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.digest(decontaminate.find(docs, table(spark, sf_dir, "benchmark"), columns=["doc_id"]))
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
