@@ -1,17 +1,19 @@
 """Document scores by masked pseudo-likelihood.
 
 A network sees a window of words on both sides of a masked one and predicts it: embeddings of the `SIDE` words to the left and
-right, each place with its own table, are summed, pass a nonlinearity and give a distribution over the vocabulary. The score of a
-document is the sum over its words of the log-probability of each, given both sides.
-
-Vocabulary: the most frequent words of the whole corpus have an id each; the others share hashed ids, which follow the known
-ones. Such a word has the log-probability of its hashed id plus that of the word given the id: its share of the id's count in
-the whole corpus. The counts stay a distributed table, joined to the texts by word.
-
-Training: texts, as ids, are dealt into shards, as many as the square root of the corpus's words asks for, so shards and the steps of each
-grow with the corpus and don't follow the input's partitions. In each round a shard masks the words whose turn it is and takes
-gradient steps in numpy; its parameters, weighted by its words, are summed by block of rows over the cluster. The turns of
-`ROUNDS` averages cover every word once.
+right, each place with its own table, are summed, pass a nonlinearity and give a distribution over the vocabulary, in two steps:
+over classes of ids, then over the ids of the class. The score of a document is the sum over its words of the log-probability of
+each, given both sides.
+
+Vocabulary: the most frequent words of the whole corpus have an id each; the others share hashed ids by their last letters.
+Such a word has the log-probability of its hashed id plus that of the word given the id: its share of the id's count in the
+whole corpus. So every word is told from every other, and the counts grow with the corpus: those of the `TABLE` most frequent
+words at most go to the tasks, the rest stays a distributed table that is joined to the texts by word.
+
+Training: texts, as ids, are dealt into shards by a hash of their ids. Shards, and the steps of each, grow with the corpus and
+don't follow the input's partitions. It starts from the corpus's word frequencies. In each round a shard masks the words whose
+turn it is (by a hash of the text and the place) and takes gradient steps in numpy; its parameters, weighted by its words, are
+summed over the cluster as whole numbers, so the order of the sums doesn't matter. In `ROUNDS` averages every word is a target once.
 """
 
 from __future__ import annotations
@@ -24,85 +26,153 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stored
-from .texthash import mix, slices, words
-
-#: Words with an id of their own, hashed ids, the id of what lies beyond the text's ends, width of the layer, words seen on a side.
-KNOWN, HASHED, WIDTH, SIDE = 383, 128, 24, 2
-VOCABULARY = KNOWN + HASHED + 1
-EDGE = VOCABULARY - 1
-#: Averages, which mask each word once together, words of a gradient step, its rate, and words of a corpus that are one shard.
-ROUNDS, STEP, RATE, SHARD = 3, 512, 0.5, 100_000
-#: Rows of a parameter block as it is summed.
-BLOCK = 64
+from .shared import kept, scratch, stored, tasks
+from .texthash import mix, slices, words_and_endings
+
+#: Words with an id of their own, hashed ids, ids of a class, width of the layer, words seen on a side.
+KNOWN, HASHED, CLASS, WIDTH, SIDE = 3072, 1024, 64, 32, 2
+VOCABULARY = KNOWN + HASHED
+CLASSES = VOCABULARY // CLASS
+#: The id of what lies beyond the text's ends; it is never predicted.
+EDGE = VOCABULARY
+#: Averages, which mask each word once together, words of a gradient step, and its rate.
+ROUNDS, STEP, RATE = 3, 2048, 0.1
+#: Words of a corpus that is one shard; shards grow with the square root of the words, until one has as many as MOST.
+SHARD, MOST = 500_000, 32_000_000
+#: Words whose counts go to the tasks.
+TABLE = 1 << 20
+#: Parameters of a block as they are summed, and the fraction bits of a sum.
+BLOCK, FRACTION = 4096, 40
 
 
 @dataclass
 class Network:
-    """e: [place, word, width]; b: [width]; o: [width, word]; c: [word]."""
+    """e: [place, id, width]; b: [width]; k, kb: classes [width, class], [class]; o, ob: ids [class, width, id of it], [class, id of it]."""
 
     e: np.ndarray
     b: np.ndarray
+    k: np.ndarray
+    kb: np.ndarray
     o: np.ndarray
-    c: np.ndarray
+    ob: np.ndarray
 
     @staticmethod
-    def start() -> Network:
+    def start(counts: np.ndarray | None = None) -> Network:
+        """Random contexts, and output that gives each id its frequency (all ids are equal without counts)."""
         r = np.random.default_rng(11)
-        return Network(r.normal(0, 0.1, (2 * SIDE, VOCABULARY, WIDTH)).astype("f4"), np.zeros(WIDTH, "f4"), r.normal(0, 0.1, (WIDTH, VOCABULARY)).astype("f4"), np.zeros(VOCABULARY, "f4"))
+        n = (np.ones(VOCABULARY) if counts is None else counts + 0.5).reshape(CLASSES, CLASS)
+        whole = n.sum(axis=1)
+        weights = [r.normal(0, 0.1, shape).astype("f4") for shape in ((2 * SIDE, VOCABULARY + 1, WIDTH), (WIDTH, CLASSES), (CLASSES, WIDTH, CLASS))]
+        biases = np.log(whole / whole.sum()).astype("f4"), np.log(n / whole[:, None]).astype("f4")
+        return Network(weights[0], np.zeros(WIDTH, "f4"), 0.1 * weights[1], biases[0], 0.1 * weights[2], biases[1])
+
+    @property
+    def parts(self) -> list[np.ndarray]:
+        return [self.e, self.b, self.k, self.kb, self.o, self.ob]
 
     def flat(self) -> np.ndarray:
-        return np.concatenate([x.ravel() for x in (self.e, self.b, self.o, self.c)])
+        return np.concatenate([x.ravel() for x in self.parts])
 
     @staticmethod
     def of(flat: np.ndarray) -> Network:
-        n, out, at = Network.start(), [], 0
-        for x in (n.e, n.b, n.o, n.c):
+        out, at = [], 0
+        for x in Network.start().parts:
             out.append(flat[at : at + x.size].reshape(x.shape).astype("f4"))
             at += x.size
         return Network(*out)
 
     def hidden(self, context: np.ndarray) -> np.ndarray:
-        return np.tanh(sum(self.e[k][context[:, k]] for k in range(2 * SIDE)) + self.b)
+        total = self.e[0][context[:, 0]]
+        for place in range(1, 2 * SIDE):
+            total += self.e[place][context[:, place]]
+        return np.tanh(total + self.b)
 
     def logs(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Log-probability of each target."""
-        z = self.hidden(context) @ self.o + self.c
-        z -= z.max(axis=1, keepdims=True)
-        own = z[np.arange(len(target)), target].copy()
-        np.exp(z, out=z)
-        return own - np.log(z.sum(axis=1))
+        h, group = self.hidden(context), target // CLASS
+        out = np.empty(len(target), "f8")
+        every = _log_softmax(h @ self.k + self.kb)
+        out[:] = every[np.arange(len(target)), group]
+        for c, own in _by_class(group):
+            within = _log_softmax(h[own] @ self.o[c] + self.ob[c])
+            out[own] += within[np.arange(len(own)), target[own] % CLASS]
+        return out
+
+
+def _by_class(group: np.ndarray):
+    """(class, places of its members) for the classes that are there."""
+    order = np.argsort(group, kind="stable")
+    edges = np.searchsorted(group[order], np.arange(CLASSES + 1))
+    for c in range(CLASSES):
+        if edges[c] < edges[c + 1]:
+            yield c, order[edges[c] : edges[c + 1]]
+
+
+def _log_softmax(z: np.ndarray) -> np.ndarray:
+    z -= z.max(axis=1, keepdims=True)
+    z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
+    return z
+
+
+class Trainer:
+    """Gradient steps on the cross-entropy, each parameter's rate by the sum of its squared gradients."""
+
+    def __init__(self, net: Network):
+        self.net = net
+        self.seen = [np.full(x.shape[:2] if k == 0 else x.shape, 1e-3, "f4") for k, x in enumerate(net.parts)]
+
+    def _move(self, x: np.ndarray, seen: np.ndarray, g: np.ndarray) -> None:
+        seen += g * g
+        x -= RATE * g / np.sqrt(seen)
 
     def learn(self, context: np.ndarray, target: np.ndarray) -> None:
-        """A gradient step on the cross-entropy of one lot of masked words."""
-        h = self.hidden(context)
-        z = h @ self.o + self.c
-        z -= z.max(axis=1, keepdims=True)
-        np.exp(z, out=z)
-        z /= z.sum(axis=1, keepdims=True)
-        z[np.arange(len(target)), target] -= 1
-        z /= len(target)
-        back = (z @ self.o.T) * (1 - h * h)
-        self.o -= RATE * (h.T @ z)
-        self.c -= RATE * z.sum(axis=0)
-        self.b -= RATE * back.sum(axis=0)
-        for k in range(2 * SIDE):
-            np.subtract.at(self.e[k], context[:, k], RATE * back)
+        net, n, group = self.net, np.float32(1 / len(target)), target // CLASS
+        h = net.hidden(context)
+        z = np.exp(_log_softmax(h @ net.k + net.kb))
+        z[np.arange(len(target)), group] -= 1
+        z *= n
+        back = z @ net.k.T
+        gk, gkb = h.T @ z, z.sum(axis=0)
+        for c, own in _by_class(group):
+            y = np.exp(_log_softmax(h[own] @ net.o[c] + net.ob[c]))
+            y[np.arange(len(own)), target[own] % CLASS] -= 1
+            y *= n
+            back[own] += y @ net.o[c].T
+            self._move(net.o[c], self.seen[4][c], h[own].T @ y)
+            self._move(net.ob[c], self.seen[5][c], y.sum(axis=0))
+        self._move(net.k, self.seen[2], gk)
+        self._move(net.kb, self.seen[3], gkb)
+        back *= 1 - h * h
+        self._move(net.b, self.seen[1], back.sum(axis=0))
+        for place in range(2 * SIDE):
+            ids = context[:, place]
+            order = np.argsort(ids, kind="stable")
+            heads = np.flatnonzero(np.concatenate([[True], np.diff(ids[order]) != 0]))
+            g, own = np.add.reduceat(back[order], heads), ids[order][heads]
+            # One rate for the row of an id.
+            self.seen[0][place, own] += (g * g).mean(axis=1)
+            net.e[place][own] -= RATE * g / np.sqrt(self.seen[0][place, own])[:, None]
 
 
 class Vocabulary:
-    """Ids of words by their hashes."""
+    """Ids of words by their hashes, those of rare words by the hash of their last letters."""
 
     def __init__(self, known: np.ndarray):
         self.order = np.argsort(known)
         self.known = known[self.order]
 
-    def ids(self, h: np.ndarray) -> np.ndarray:
-        hashed = (KNOWN + (h % np.uint64(HASHED))).astype(np.int32)
-        if not len(self.known):
-            return hashed
-        at = np.minimum(np.searchsorted(self.known, h), len(self.known) - 1)
-        return np.where(self.known[at] == h, self.order[at], hashed).astype(np.int32)
+    def ids(self, h: np.ndarray, ending: np.ndarray) -> np.ndarray:
+        hashed = (KNOWN + (ending % np.uint64(HASHED))).astype(np.int32)
+        at = _find(self.known, h)
+        return np.where(at >= 0, self.order[at], hashed).astype(np.int32) if len(self.known) else hashed
+
+
+def _find(ordered: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Places of hashes in an ascending array; -1 for those that aren't there."""
+    if not len(ordered):
+        return np.full(len(h), -1)
+    at = np.minimum(np.searchsorted(ordered, h), len(ordered) - 1)
+    return np.where(ordered[at] == h, at, -1)
 
 
 def contexts(ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -114,127 +184,220 @@ def contexts(ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.stack([padded[at + d] for d in (*range(-SIDE, 0), *range(1, SIDE + 1))], axis=1)
 
 
-def turns(h: np.ndarray, counts: np.ndarray, rounds: int) -> np.ndarray:
-    """The round in which each word is a target: it follows from the word's id and its place in its text."""
-    place = np.arange(len(h)) - np.repeat(np.cumsum(counts) - counts, counts)
-    return mix(h ^ mix(place.astype(np.uint64))) % np.uint64(max(1, rounds))
+def turns(key: np.ndarray, counts: np.ndarray, rounds: int) -> np.ndarray:
+    """The round in which each word is a target: by its text's key and its place in the text."""
+    place = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
+    return mix(np.repeat(key, counts) ^ mix(place.astype(np.uint64))) % np.uint64(max(1, rounds))
 
 
 def counted(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(h, n): how often each word occurs in all documents, by its hash."""
+    """(h, ending, n): how often each word occurs in all documents, by its hash, and its hashed id from 0."""
 
     def count(batches):
         for b in batches:
             for part in slices(b, text, 8 << 20):
-                h, n = np.unique(words(part[text])[0], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["h", "n"])
+                every, ending, _ = words_and_endings(part[text])
+                h, at, n = np.unique(every, return_index=True, return_counts=True)
+                own = (ending[at] % np.uint64(HASHED)).astype(np.int32)
+                columns = [pa.array(h.view(np.int64)), pa.array(own), pa.array(n.astype(np.int64))]
+                yield pa.RecordBatch.from_arrays(columns, names=["h", "ending", "n"])
+
+    rows = docs.select(text).mapInArrow(count, "h long, ending int, n long")
+    return rows.groupBy("h").agg(F.min("ending").alias("ending"), F.sum("n").alias("n"))
+
 
-    return docs.select(text).mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+def frequent(counts: DataFrame, most: int = KNOWN) -> list[tuple[int, int]]:
+    """(hash, count) of the most frequent words; ties go to the smaller hash."""
+    return [(r.h, r.n) for r in counts.orderBy(F.desc("n"), "h").limit(most).collect()]
 
 
-def frequent(counts: DataFrame, most: int = KNOWN) -> list[int]:
-    """Hashes of the most frequent words; ties go to the smaller hash."""
-    return [r.h for r in counts.orderBy(F.desc("n"), "h").limit(most).collect()]
+@dataclass
+class Model:
+    """What scoring needs: the network, the known words, the counts of hashed ids, and those of the words in the table.
+
+    `border`: words that occur as often, or more often, are all in the table. `counts` (h, n) has the others.
+    """
+
+    flat: np.ndarray
+    known: np.ndarray
+    buckets: np.ndarray
+    table: np.ndarray
+    times: np.ndarray
+    border: int
+    counts: DataFrame | None = None
 
 
-def shares(counts: DataFrame, known: list[int]) -> DataFrame:
-    """(h, share): log-probability of each word without an id of its own, given its hashed id."""
-    # The remainder of the hash as an unsigned number; HASHED divides 2^64.
-    rare = counts.where(~F.col("h").isin(known)) if known else counts
-    rare = rare.withColumn("bucket", F.col("h").bitwiseAND(F.lit(HASHED - 1)))
-    whole = rare.groupBy("bucket").agg(F.sum("n").alias("all"))  # at most HASHED rows
-    return rare.join(F.broadcast(whole), "bucket").select("h", (F.log("n") - F.log("all")).alias("share"))
+def _table(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Words that occur `border` times or more, with the smallest border of a series for which they are at most `most`."""
+    borders = sorted({int(2 ** (k / 2)) for k in range(1, 120)} | {1})
+    sums = counts.agg(*(F.count(F.when(F.col("n") >= b, 1)).alias(str(b)) for b in borders)).first()
+    border = next((b for b in borders if sums[str(b)] <= most), borders[-1])
+    found = counts.where(F.col("n") >= border).select("h", "n").toArrow()
+    h, n = found["h"].to_numpy().view(np.uint64), found["n"].to_numpy()
+    order = np.argsort(h)
+    return h[order], n[order].astype("f8"), border
 
 
-def coded(docs: DataFrame, known: list[int], text: str = "text") -> DataFrame:
-    """(ids, counts): the ids of the words of some texts, 16 bits each, and the number of words of each text, 32 bits each."""
-    shared = docs.sparkSession.sparkContext.broadcast(np.array(known, np.int64).view(np.uint64))
+def coded(docs: DataFrame, known: np.ndarray, text: str = "text") -> DataFrame:
+    """(key, ids) for each text with words: the ids of its words, 16 bits each, and a hash of them."""
+    shared = docs.sparkSession.sparkContext.broadcast(known)
 
     def code(batches):
         vocabulary = Vocabulary(shared.value)
         for b in batches:
-            for part in slices(b, text, 1 << 16):
-                h, counts = words(part[text])
-                if len(h):
-                    yield pa.RecordBatch.from_arrays([pa.array([vocabulary.ids(h).astype("<u2").tobytes()]), pa.array([counts.astype("<i4").tobytes()])], names=["ids", "counts"])
+            for part in slices(b, text):
+                h, ending, counts = words_and_endings(part[text])
+                ids = vocabulary.ids(h, ending).astype("<u2")
+                at = np.concatenate([[0], np.cumsum(counts)])
+                raw = [ids[i:j].tobytes() for i, j in zip(at[:-1], at[1:], strict=True) if i < j]
+                yield pa.RecordBatch.from_arrays([pa.array(raw, pa.binary())], names=["ids"])
+
+    return docs.select(text).mapInArrow(code, "ids binary").select(F.xxhash64("ids").alias("key"), "ids")
+
+
+def _average(sent: DataFrame, size: int, n: int) -> np.ndarray:
+    """The parameters from rows (block, x): whole numbers to be summed, which are streamed; a task holds the sums of its blocks."""
+
+    def add(batches):
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for block, raw in zip(b["block"].to_pylist(), b["x"].to_pylist(), strict=True):
+                x = np.frombuffer(raw, "<i8")
+                sums[block] = sums[block] + x if block in sums else x
+        if sums:
+            columns = [pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["block", "x"])
 
-    return docs.select(text).mapInArrow(code, "ids binary, counts binary")
+    # Sums of a part of the shards first, so that no task reads all of a block.
+    part = sent.repartition(n, "block", "lot").mapInArrow(add, "block int, x binary")
+    rows = part.repartition(min(n, -(-size // BLOCK)), "block").mapInArrow(add, "block int, x binary").collect()
+    return np.concatenate([np.frombuffer(r.x, "<i8") for r in sorted(rows, key=lambda r: r.block)]) / 2.0**FRACTION
 
 
-def trained(docs: DataFrame, known: list[int], total: int, rounds: int = ROUNDS, text: str = "text") -> Network:
-    """The network after `rounds` averages over all documents, which have `total` words; in them every word is a target once."""
+def trained(docs: DataFrame, known: np.ndarray, counts: np.ndarray, total: int, rounds: int = ROUNDS, text: str = "text") -> np.ndarray:
+    """The network's parameters after `rounds` averages over all documents, which have `total` words; `counts` by id."""
     spark = docs.sparkSession
-    network = Network.start()
-    dealt = stored(coded(docs, known, text)).repartition(max(1, math.ceil(math.sqrt(total / SHARD))))
+    flat = Network.start(counts).flat()
+    if not total:
+        return flat
+    shards = max(math.ceil(math.sqrt(total / SHARD)), math.ceil(total / MOST))
+    dealt = stored(coded(docs, known, text))
+    dealt = dealt.repartitionById(shards, F.pmod("key", F.lit(shards)).cast("int")).sortWithinPartitions("key", "ids")
     for turn in range(rounds):
-        shared = spark.sparkContext.broadcast(network.flat())
+        shared = spark.sparkContext.broadcast(flat)
 
         def learn(batches, shared=shared, turn=turn):
-            net, seen = Network.of(shared.value.copy()), 0
-            for b in batches:
-                for raw, sizes in zip(b["ids"], b["counts"]):
-                    ids, counts = np.frombuffer(raw.as_py(), "<u2").astype(np.int32), np.frombuffer(sizes.as_py(), "<i4").astype(np.int64)
-                    pick = np.flatnonzero(turns(ids.astype(np.uint64), counts, rounds) == turn)
-                    context = contexts(ids, counts)[pick]
-                    for k in range(0, len(pick), STEP):
-                        net.learn(context[k : k + STEP], ids[pick[k : k + STEP]])
-                    seen += len(ids)
-            if seen:
-                flat = net.flat().astype("f8") * seen
-                cuts = range(0, len(flat), BLOCK * WIDTH)
-                yield pa.RecordBatch.from_arrays([pa.array(range(len(cuts)), pa.int32()), pa.array([seen] * len(cuts), pa.int64()), pa.array([flat[k : k + BLOCK * WIDTH] for k in cuts], pa.list_(pa.float64()))], names=["block", "seen", "x"])
+            trainer, seen, lot = Trainer(Network.of(shared.value)), 0, None
+            held, waiting = [], 0
 
-        sent = dealt.mapInArrow(learn, "block int, seen long, x array<double>")
-        # Sums by parameter: partial aggregates on the side of the sender, and no group is gathered.
-        each = sent.select("block", "seen", F.posexplode("x").alias("k", "v"))
-        rows = each.groupBy("block", "k").agg((F.sum("v") / F.sum("seen")).alias("v")).orderBy("block", "k").collect()  # the size of the network
-        if rows:
-            network = Network.of(np.array([r.v for r in rows]))
-    return network
+            def step(last=False):
+                nonlocal held, waiting
+                context, target = (np.concatenate(x) for x in zip(*held, strict=True))
+                end = len(target) if last else len(target) // STEP * STEP
+                for k in range(0, end, STEP):
+                    trainer.learn(context[k : min(k + STEP, end)], target[k : min(k + STEP, end)])
+                held, waiting = [(context[end:], target[end:])], len(target) - end
 
-
-def scored(docs: DataFrame, rounds: int = ROUNDS, text: str = "text") -> DataFrame:
+            for b in batches:
+                key = b["key"].to_numpy()
+                lot = int(key[0]) % (1 << 16) if lot is None and len(key) else lot
+                raw = b["ids"].to_pylist()
+                for i in range(0, len(raw), 256):
+                    sizes = np.array([len(r) // 2 for r in raw[i : i + 256]], np.int64)
+                    ids = np.frombuffer(b"".join(raw[i : i + 256]), "<u2").astype(np.int32)
+                    pick = np.flatnonzero(turns(key[i : i + 256].view(np.uint64), sizes, rounds) == turn)
+                    held.append((contexts(ids, sizes)[pick], ids[pick]))
+                    seen, waiting = seen + len(ids), waiting + len(pick)
+                    if waiting >= STEP:
+                        step()
+            if seen:
+                if waiting:
+                    step(last=True)
+                # Weighted by the shard's part of all words; whole numbers, so that sums don't depend on their order.
+                x = np.rint(trainer.net.flat().astype("f8") * (2.0**FRACTION * seen / total)).astype("<i8")
+                cuts = range(0, len(x), BLOCK)
+                columns = [pa.array(range(len(cuts)), pa.int32()), pa.array([lot % 64] * len(cuts), pa.int32()), pa.array([x[k : k + BLOCK].tobytes() for k in cuts], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["block", "lot", "x"])
+
+        sent = dealt.mapInArrow(learn, "block int, lot int, x binary")
+        flat = _average(sent, len(flat), tasks(spark)).astype("f4")
+    return flat
+
+
+def fitted(docs: DataFrame, rounds: int = ROUNDS, text: str = "text", table: int = TABLE) -> Model:
+    """The model of a corpus. Its counts stay in the shared folder for as long as the model's scope."""
+    with scratch(docs.sparkSession):
+        counts = kept(counted(docs, text))
+        total = counts.agg(F.sum("n")).first()[0] or 0
+        top = frequent(counts)
+        known = np.array([h for h, _ in top], np.int64).view(np.uint64)
+        rare = counts.where(~F.col("h").isin([h for h, _ in top])) if top else counts
+        buckets = np.zeros(HASHED)
+        for r in rare.groupBy("ending").agg(F.sum("n").alias("n")).collect():  # at most HASHED rows
+            buckets[r.ending] = r.n
+        by_id = np.concatenate([[n for _, n in top], np.zeros(KNOWN - len(top)), buckets])
+        flat = trained(docs, known, by_id, total, rounds, text)
+        words, times, border = _table(counts, table)
+    return Model(flat, known, buckets, words, times, border, counts)
+
+
+def scored(docs: DataFrame, rounds: int = ROUNDS, text: str = "text", model: Model | None = None) -> DataFrame:
     """`docs` without the text, with n_words long, log_likelihood double (summed over all words) and mean_log double.
 
-    Texts without words, and null ones, have 0 words, 0.0 and a null mean. Columns with these names give way.
+    The model is that of `docs`, unless one is given; a word that it hasn't seen counts as seen once. Texts without words, and
+    null ones, have 0 words, 0.0 and a null mean. Columns with the names of results give way; others may have any names.
     """
     spark = docs.sparkSession
-    counts = stored(counted(docs, text))
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    known = frequent(counts)
-    network = trained(docs, known, total, rounds, text)
-    shared = spark.sparkContext.broadcast((network.flat(), np.array(known, np.int64).view(np.uint64)))
+    model = model or fitted(docs, rounds, text)
+    counts, border = model.counts, model.border
+    known, flat, buckets, table, times = model.known, model.flat, model.buckets, model.table, model.times
+    shared = spark.sparkContext.broadcast((flat, known, buckets, table, times))
     new = ("n_words", "log_likelihood", "mean_log")
     rest = [c for c in docs.columns if c not in (*new, text)]
-    kept = docs.select(*rest)
-    shaped = docs.select(*rest, F.lit(0).cast("long").alias("n_words"), F.lit(0.0).alias("log_likelihood"), F.array().cast("array<struct<h:long,c:int>>").alias("_rare"))
-    names = shaped.columns
+    whole = F.struct(*(F.col(c) for c in rest)) if rest else F.lit(None).cast("int")
+    rows = docs.select(whole.alias("doc"), F.col(text).cast("string").alias("text"))
+    shaped = rows.select("doc", F.lit(0).cast("long").alias("n_words"), F.lit(0.0).alias("sum"), F.array().cast("array<struct<h:long,c:int>>").alias("more"))
 
     def apply(batches):
-        net, vocabulary = Network.of(shared.value[0]), Vocabulary(shared.value[1])
+        flat, known, buckets, table, times = shared.value
+        net, vocabulary = Network.of(flat), Vocabulary(known)
+        whole = np.log(np.maximum(buckets, 1))
         for b in batches:
-            for part in slices(b, "_text", 1 << 20):
-                h, counts = words(part["_text"])
-                ids = vocabulary.ids(h)
+            for part in slices(b, "text"):
+                h, ending, counts = words_and_endings(part["text"])
+                ids = vocabulary.ids(h, ending)
                 context = contexts(ids, counts)
-                logs = np.concatenate([net.logs(context[k : k + 4096], ids[k : k + 4096]) for k in range(0, len(ids), 4096)] or [np.zeros(0)]).astype("f8")
-                at = np.concatenate([[0], np.cumsum(counts)])
-                # Words without an id, each once a text, with how often it is there.
+                lots = [net.logs(context[k : k + 16384], ids[k : k + 16384]) for k in range(0, len(ids), 16384)]
+                logs = np.concatenate(lots or [np.zeros(0)])
+                # Words without an id of their own: their count over that of the hashed id.
                 rare = np.flatnonzero(ids >= KNOWN)
+                at = _find(table, h[rare])
+                logs[rare] -= whole[ids[rare] - KNOWN]
+                logs[rare[at >= 0]] += np.log(times[at[at >= 0]])
+                # Those that aren't in the table either, each once a text, with how often it is there.
+                rare = rare[at < 0]
                 of = np.repeat(np.arange(len(counts)), counts)[rare]
                 order = np.lexsort((h[rare], of))
                 own, of = h[rare][order], of[order]
                 new = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]) | (of[1:] != of[:-1])])[: len(own)])
-                times = np.diff(np.append(new, len(own))).astype(np.int32)
-                each = pa.StructArray.from_arrays([pa.array(own[new].view(np.int64)), pa.array(times)], names=["h", "c"])
+                often = np.diff(np.append(new, len(own))).astype(np.int32)
+                each = pa.StructArray.from_arrays([pa.array(own[new].view(np.int64)), pa.array(often)], names=["h", "c"])
                 lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(of[new], np.arange(len(counts) + 1)), pa.int32()), each)
-                made = {"n_words": pa.array(counts.astype(np.int64)), "log_likelihood": pa.array(np.diff(np.concatenate([[0], np.cumsum(logs)])[at])), "_rare": lists}
-                yield pa.RecordBatch.from_arrays([made[c] if c in made else part[c] for c in names], names=names)
-
-    # Stored, so that a row's number is the same for its words and itself.
-    rows = stored(docs.select(*rest, F.col(text).alias("_text")).mapInArrow(apply, shaped.schema).withColumn("_row", F.monotonically_increasing_id()))
-    each = rows.select("_row", F.explode("_rare").alias("r")).select("_row", "r.h", "r.c")
-    more = each.join(shares(counts, known), "h").groupBy("_row").agg(F.sum(F.col("c") * F.col("share")).alias("_more"))
-    every = F.col("log_likelihood") + F.coalesce("_more", F.lit(0.0))
-    done = rows.drop("_rare").join(more, "_row", "left").withColumn("log_likelihood", every)
-    return done.select(*kept.columns, "n_words", "log_likelihood", F.when(F.col("n_words") > 0, F.col("log_likelihood") / F.col("n_words")).alias("mean_log"))
+                ends = np.cumsum(counts)
+                sums = np.array([x.sum() for x in np.split(logs, ends[:-1])]) if len(ends) else np.zeros(0)
+                columns = [part["doc"], pa.array(counts.astype(np.int64)), pa.array(sums), lists]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc", "n_words", "sum", "more"])
+
+    if border > 1 and counts is not None:
+        # Stored, so that a row's number is the same for its words and itself.
+        rows = stored(rows.mapInArrow(apply, shaped.schema).withColumn("row", F.monotonically_increasing_id()))
+        each = rows.where(F.size("more") > 0).select("row", F.explode("more").alias("m")).select("row", "m.h", "m.c")
+        seen = counts.where((F.col("n") < border) & (F.col("n") > 1)).select("h", F.log("n").alias("log"))
+        more = each.join(seen, "h").groupBy("row").agg(F.sum(F.col("c") * F.col("log")).alias("log"))
+        rows = rows.join(more, "row", "left")
+        every = F.col("sum") + F.coalesce("log", F.lit(0.0))
+    else:
+        rows, every = rows.mapInArrow(apply, shaped.schema), F.col("sum")
+    mean = F.when(F.col("n_words") > 0, every / F.col("n_words"))
+    own = [F.col("doc")[c].alias(c) for c in rest]
+    return rows.select(*own, "n_words", every.alias("log_likelihood"), mean.alias("mean_log"))

@@ -42,25 +42,50 @@ def slices(batch: pa.RecordBatch, text: str, most: int = 1 << 20):
         k = j
 
 
-def words(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of every word, number of words of each text). Words are `[^\\x20\\x09-\\x0D]+`; null has none."""
+def _marks(texts: pa.Array, separators: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes of all texts, where words start, where they end, where texts end and begin)."""
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
     bounds = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
     size = int(bounds[-1] - bounds[0])
     if not size:
-        return np.zeros(0, np.uint64), np.zeros(len(texts), np.int64)
+        none = np.zeros(0, np.int64)
+        return np.zeros(0, np.uint8), none, none, np.zeros(len(texts) + 1, np.int64)
     raw = np.frombuffer(texts.buffers()[2], np.uint8)[bounds[0] : bounds[-1]]
     bounds = bounds - bounds[0]
-    full = ~_SPACE[raw]
+    full = ~separators[raw]
     cut = np.zeros(size + 1, bool)
     cut[bounds] = True
     starts = np.flatnonzero(full & (cut[:-1] | np.concatenate([[True], ~full[:-1]])))
     ends = np.flatnonzero(full & (cut[1:] | np.concatenate([~full[1:], [True]]))) + 1
+    return raw, starts, ends, bounds
+
+
+def words(texts: pa.Array, lower: bool = True, separators: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of every word, number of words of each text). Words are runs of bytes that don't separate; null has none."""
+    raw, starts, ends, bounds = _marks(texts, separators)
+    return _hashes(raw, starts, ends, lower), np.diff(np.searchsorted(starts, bounds))
+
+
+def words_and_endings(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash of every word, hash of its last three bytes, number of words of each text)."""
+    raw, starts, ends, bounds = _marks(texts, _SPACE)
+    tail = np.zeros(len(starts), np.uint64)
+    for k in (3, 2, 1):
+        at = ends - k
+        byte = (_LOWER[raw] if lower else raw)[np.maximum(at, 0)].astype(np.uint64) if len(raw) else tail
+        tail = tail * np.uint64(256) + np.where(at >= starts, byte, np.uint64(0))
+    return _hashes(raw, starts, ends, lower), mix(tail + np.uint64(1)), np.diff(np.searchsorted(starts, bounds))
+
+
+def _hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool) -> np.ndarray:
+    size = len(raw)
+    if not size:
+        return np.zeros(0, np.uint64)
     power, inverse = _tables(size + 1)
     sums = np.zeros(size + 1, np.uint64)
     np.cumsum((_LOWER[raw] if lower else raw).astype(np.uint64) * power[:size] + power[:size], out=sums[1:])
     h = (sums[ends] - sums[starts]) * inverse[starts]
-    return mix(h ^ mix((ends - starts).astype(np.uint64))), np.diff(np.searchsorted(starts, bounds))
+    return mix(h ^ mix((ends - starts).astype(np.uint64)))
 
 
 def shingles(texts: pa.Array, k: int = 5) -> list[np.ndarray]:
