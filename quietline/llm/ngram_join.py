@@ -407,16 +407,16 @@ def reaches(overlap: str, sizes: str, percent: int) -> str:
     return f"({overlap}) * {100 + percent} >= ({sizes}) * {percent}"
 
 
-def rooted(docs: DataFrame, words: int, percent: int, text: str, tie: Column | None = None) -> tuple[DataFrame, DataFrame]:
-    """The documents of documents_of, and (node, root) of the sets that have links."""
+def rooted(docs: DataFrame, words: int, percent: int, text: str, tie: Column | None = None) -> tuple[DataFrame, int, DataFrame]:
+    """The documents of documents_of, how many they are, and (node, root) of the sets that have links."""
     rows = kept(documents_of(docs, words, text, tie))
     every = rows.where("tokens IS NULL").drop("tokens", "counts")
-    total = every.agg(F.sum("n")).first()[0] or 0
+    total, n = every.agg(F.sum("n"), F.count("*")).first()
     if not total:
-        return every, every.select("node", F.col("node").alias("root")).limit(0)
+        return every, n, every.select("node", F.col("node").alias("root")).limit(0)
     heavy = heavy_tokens(rows.where("tokens IS NOT NULL"), total)
     sets = stored(shared_tokens(docs, total, heavy, words, percent, text))
-    return every, kept(components(links(sets, percent)))
+    return every, n, kept(components(links(sets, percent)))
 
 
 def joined(docs: DataFrame, words: int = 5, percent: int = 75, text: str = "text") -> DataFrame:
@@ -426,19 +426,17 @@ def joined(docs: DataFrame, words: int = 5, percent: int = 75, text: str = "text
     share a doc_id each get their own; null doc_ids take part in links but name no class.
     """
     with scratch(docs.sparkSession):
-        every, found = rooted(docs, words, percent, text)
+        every, n, found = rooted(docs, words, percent, text)
         classes = every.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("docs"))
         # A set without links is its own root. What is joined by root are the others only, which may have a root in common.
         named = stored(classes.join(found, "node", "left"))
-        linked = stored(named.where("root IS NOT NULL").drop("docs"))
+        linked = named.where("root IS NOT NULL")
         least = stored(linked.groupBy("root").agg(F.min("class_id").alias("component_id"), F.count("*").alias("c")))
-        rooted_ = join_split(linked, least, ["root"], "c", linked.count()).select("node", "class_id", "component_id")
-        docs_of = named.select("node", "docs")
-        alone = named.where("root IS NULL").select("node", "class_id", F.col("class_id").alias("component_id"))
-        labelled = kept(rooted_.unionByName(alone).join(docs_of, "node"))
-        total = every.count()
+        columns = ["node", "class_id", "component_id", "docs"]
+        alone = named.where("root IS NULL").withColumn("component_id", F.col("class_id")).select(*columns)
+        labelled = kept(join_split(linked, least, ["root"], "c", n).select(*columns).unionByName(alone))
     one = every.where("node IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.col("doc_id").alias("class_id"))
-    more = join_split(every.where("node IS NOT NULL"), labelled, ["node"], "docs", total)
+    more = join_split(every.where("node IS NOT NULL"), labelled, ["node"], "docs", n)
     return more.select("doc_id", F.col("n").alias("n_shingles"), "component_id", "class_id").unionByName(one)
 
 
@@ -450,7 +448,7 @@ def representatives(docs: DataFrame, words: int = 5, percent: int = 75, text: st
     """
     tie = F.xxhash64(*(F.col(c) for c, kind in docs.dtypes if "map<" not in kind and kind != "variant"))
     with scratch(docs.sparkSession):
-        every, found = rooted(docs, words, percent, text, tie)
+        every, _, found = rooted(docs, words, percent, text, tie)
         row = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie"))
         least = every.where("node IS NOT NULL").groupBy("node").agg(row.alias("m")).join(found, "node", "left")
         least = least.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("m").alias("m"))

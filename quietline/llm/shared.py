@@ -102,7 +102,8 @@ def join_split(left: DataFrame, right: DataFrame, keys: list[str], count: str, t
     """Inner join of `left` with one row a key of `right`, whose column `count` says how many rows of `left` have the key.
 
     A shuffle would bring all rows of a key to one task. Keys with more than a share of 1 / HOT of the `total` rows are at most
-    HOT, whatever the data; their rows of `right` are broadcast, and their rows of `left` stay where they are.
+    HOT, whatever the data; their rows of `right` are broadcast, and their rows of `left` stay where they are. `total` may be
+    too large, which makes fewer keys hot.
     """
     border = max(1, total // HOT)
     hot, rest = right.where(F.col(count) > border).drop(count), right.where(F.col(count) <= border).drop(count)
