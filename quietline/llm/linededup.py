@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import SPACE, stored
+from .shared import SPACE, join_split, kept, scratch, stored
 
 #: A repeated passage counts from so many words.
 MIN_WORDS = 50
@@ -55,17 +55,27 @@ def windows(lines: DataFrame, min_words: int, ends: bool = True) -> DataFrame:
 
 
 def repeats(docs: DataFrame, min_words: int = MIN_WORDS, text: str = "text", ends: bool = True) -> DataFrame:
-    """(doc_id, start, end, first_doc, first_line): windows of lines that are to go, end inclusive, and where they stay."""
-    found = stored(windows(sequence(docs, text), min_words, ends))
-    # A fingerprint is a place; windows that share it count once.
-    places = found.select("fingerprint", "doc_id", "place").distinct()
-    shared = places.groupBy("fingerprint").agg(F.min(F.struct("doc_id", "place")).alias("lo"), F.max(F.struct("doc_id", "place")).alias("hi")).where("lo != hi").select("fingerprint")
-    hot = stored(found.join(shared, "fingerprint"))
-    first = hot.groupBy("content", "content2").agg(F.min(F.struct("doc_id", "line", "last")).alias("f"), F.count("*").alias("c")).where("c > 1").select("content", "content2", "f")
-    later = hot.join(first, ["content", "content2"]).where(F.struct("doc_id", "line", "last") != F.col("f"))
+    """(doc_id, start, end, first_doc, first_line): windows of lines that are to go, end inclusive, and where they stay.
+
+    Fingerprints and contents that very many windows have are joined apart, so no task gathers the windows of one.
+    """
+    with scratch(docs.sparkSession):
+        found = stored(windows(sequence(docs, text), min_words, ends))
+        # A fingerprint is a place; windows that share it count once.
+        place = F.struct("doc_id", "place")
+        places = found.groupBy("fingerprint").agg(F.min(place).alias("lo"), F.max(place).alias("hi"), F.count("*").alias("c"))
+        shared = stored(places.where("lo != hi").select("fingerprint", "c"))
+        hot = kept(join_split(found, shared, ["fingerprint"], "c", found.count()))
+        window = F.struct("doc_id", "line", "last")
+        first = hot.groupBy("content", "content2").agg(F.min(window).alias("f"), F.count("*").alias("c")).where("c > 1")
+        first = kept(first.select("content", "content2", "f", "c"))
+        total = hot.count()
+    later = join_split(hot, first, ["content", "content2"], "c", total).where(window != F.col("f"))
     # In a run that repeats itself a later window may overlap the first: the lines of the first stay.
-    start = F.when((F.col("doc_id") == F.col("f.doc_id")) & (F.col("line") <= F.col("f.last")), F.col("f.last") + 1).otherwise(F.col("line"))
-    return later.select("doc_id", start.alias("start"), F.col("last").alias("end"), F.col("f.doc_id").alias("first_doc"), F.col("f.line").alias("first_line")).where("start <= end")
+    inside = (F.col("doc_id") == F.col("f.doc_id")) & (F.col("line") <= F.col("f.last"))
+    start = F.when(inside, F.col("f.last") + 1).otherwise(F.col("line"))
+    later = later.select("doc_id", start.alias("start"), F.col("last").alias("end"), F.col("f.doc_id").alias("first_doc"), F.col("f.line").alias("first_line"))
+    return later.where("start <= end")
 
 
 def removed(docs: DataFrame, min_words: int = MIN_WORDS, text: str = "text", ends: bool = True) -> DataFrame:
