@@ -57,8 +57,7 @@ def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # OP9 knows the windows by first lines only.
-    return linededup.digest(linededup.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"), ends=False))
+    return linededup.digest(linededup.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,13 +109,20 @@ m AS (
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fail_bits & 3) <> 0 AS base_failed, fail_bits = 0 AS kept, fail_bits FROM b
 """
 
+#: Windows by their first line (f) and by their last line (b), which together reach both ends of a repeated run.
 OP9 = r"""
 WITH x AS (SELECT doc_id, unnest(generate_series(0, len(ls) - 1)) AS line, unnest(ls) AS raw FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents WHERE doc_id IS NOT NULL)),
 l AS (SELECT doc_id, line, x, len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) AS n FROM (SELECT doc_id, line, regexp_replace(raw, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS x FROM x) WHERE x <> ''),
 a AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY doc_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at, sum(n) OVER (PARTITION BY doc_id) AS total FROM l),
-w AS (SELECT i.doc_id, i.line, max(j.line) AS last, string_agg(j.x, chr(10) ORDER BY j.line) AS body FROM a i JOIN a j ON i.doc_id = j.doc_id AND j.at BETWEEN i.at AND i.at + 49 WHERE i.total - i.at >= 50 GROUP BY ALL),
-f AS (SELECT body, min({'d': doc_id, 'l': line, 'e': last}) AS f FROM w GROUP BY body HAVING count(*) > 1),
-g AS (SELECT doc_id, CASE WHEN doc_id = f.f.d AND line <= f.f.e THEN f.f.e + 1 ELSE line END AS start, last FROM w JOIN f USING (body) WHERE NOT (doc_id = f.f.d AND line = f.f.l)),
+w AS (
+  SELECT 'f' AS side, i.doc_id, i.line, max(j.line) AS last, string_agg(j.x, chr(10) ORDER BY j.line) AS body
+  FROM a i JOIN a j ON i.doc_id = j.doc_id AND j.at BETWEEN i.at AND i.at + 49 WHERE i.total - i.at >= 50 GROUP BY i.doc_id, i.line
+  UNION ALL
+  SELECT 'b' AS side, j.doc_id, min(i.line) AS line, j.line AS last, string_agg(i.x, chr(10) ORDER BY i.line) AS body
+  FROM a j JOIN a i ON i.doc_id = j.doc_id AND i.at + i.n BETWEEN j.at + j.n - 49 AND j.at + j.n GROUP BY j.doc_id, j.line, j.n HAVING sum(i.n) - j.n >= 50
+),
+f AS (SELECT side, body, min({'d': doc_id, 'l': line, 'e': last}) AS f FROM w GROUP BY side, body HAVING count(*) > 1),
+g AS (SELECT doc_id, CASE WHEN doc_id = f.f.d AND line <= f.f.e THEN f.f.e + 1 ELSE line END AS start, last FROM w JOIN f USING (side, body) WHERE NOT (doc_id = f.f.d AND line = f.f.l AND last = f.f.e)),
 u AS (SELECT DISTINCT doc_id, unnest(generate_series(start, last)) AS line FROM g WHERE start <= last),
 k AS (SELECT doc_id, line, line - row_number() OVER (PARTITION BY doc_id ORDER BY line) AS run FROM u),
 s AS (SELECT doc_id, sum(n) AS n, string_agg(lo || '-' || hi, ',' ORDER BY lo) AS removed FROM (SELECT doc_id, min(line) AS lo, max(line) AS hi, count(*) AS n FROM k GROUP BY doc_id, run) GROUP BY doc_id),
