@@ -53,22 +53,32 @@ def mask_of(names, rules=RULES) -> int:
 def repeat_words(words: Column) -> Column:
     """Words that lie in a 3-word window which occurs twice or more in the array.
 
-    A window is a hash whose low bits give way to its place; once these longs are sorted, equal windows are neighbours. Neighbours
-    are held against each other word by word, so a chance agreement of hashes does not count. A fold over the sorted places
-    counts every word once. The fewer words a text has, the more bits stay for the hash.
+    Windows are put in order by their hashes, so equal ones are neighbours, and neighbours are held against each other word by
+    word, so a chance agreement of hashes does not count. A fold over the sorted places counts every word once. In texts of fewer
+    than 4,096 words hash (52 bits) and place share one number; in longer ones they are a pair, and the hash keeps all its bits.
     """
     let = lambda x, f: F.get(F.transform(F.array(x), f), F.lit(0))  # noqa: E731  binds a value once; a plain reference is evaluated for every element
     n = F.size(words)
-    low = F.when(n < 1 << 12, F.lit((1 << 12) - 1)).when(n < 1 << 16, F.lit((1 << 16) - 1)).when(n < 1 << 20, F.lit((1 << 20) - 1)).otherwise(F.lit((1 << 31) - 1)).cast("long")
-    word = lambda i, k: F.get(words, i.cast("int") + k)
-
-    def places(m: Column) -> Column:
-        windows = F.transform(F.sequence(F.lit(0), F.greatest(n - 3, F.lit(0))), lambda i: F.xxhash64(word(i, 0), word(i, 1), word(i, 2)).bitwiseAND(F.bitwise_not(m)).bitwiseOR(i.cast("long")))
-        same = lambda x, y: y.isNotNull() & (x.bitwiseXOR(y) <= m) & (x.bitwiseXOR(y) >= 0) & (word(x.bitwiseAND(m), 0) == word(y.bitwiseAND(m), 0)) & (word(x.bitwiseAND(m), 1) == word(y.bitwiseAND(m), 1)) & (word(x.bitwiseAND(m), 2) == word(y.bitwiseAND(m), 2))
-        return let(F.sort_array(windows), lambda s: F.transform(F.filter(s, lambda x, k: same(x, F.get(s, k - 1)) | same(x, F.get(s, k + 1))), lambda x: x.bitwiseAND(m).cast("int")))
+    word = lambda i, k: F.get(words, i + k)
+    every = F.sequence(F.lit(0), F.greatest(n - 3, F.lit(0)))
+    hash_of = lambda i: F.xxhash64(word(i, 0), word(i, 1), word(i, 2))
+    equal = lambda i, j: (word(i, 0) == word(j, 0)) & (word(i, 1) == word(j, 1)) & (word(i, 2) == word(j, 2))
+
+    def places(windows: Column, place, alike) -> Column:
+        same = lambda x, y: y.isNotNull() & alike(x, y) & equal(place(x), place(y))
+        twice = lambda s: F.filter(s, lambda x, k: same(x, F.get(s, k - 1)) | same(x, F.get(s, k + 1)))
+        return let(F.sort_array(windows), lambda s: F.transform(twice(s), place))
+
+    low = F.lit((1 << 12) - 1).cast("long")
+    short = F.transform(every, lambda i: hash_of(i).bitwiseAND(F.bitwise_not(low)).bitwiseOR(i.cast("long")))
+    long_ = F.transform(every, lambda i: F.struct(hash_of(i).alias("h"), i.alias("i")))
+    found = F.when(
+        n < 1 << 12, places(short, lambda x: x.bitwiseAND(low).cast("int"), lambda x, y: x.bitwiseXOR(y).between(0, low))
+    ).otherwise(places(long_, lambda x: x["i"], lambda x, y: x["h"] == y["h"]))
 
     start = F.struct(F.lit(-9).alias("last"), F.lit(0).alias("n"))
-    count = F.aggregate(F.sort_array(let(low, places)), start, lambda a, i: F.struct(i.alias("last"), (a["n"] + F.least(F.lit(3), i - a["last"])).alias("n")), lambda a: a["n"].cast("long"))
+    step = lambda a, i: F.struct(i.alias("last"), (a["n"] + F.least(F.lit(3), i - a["last"])).alias("n"))
+    count = F.aggregate(F.sort_array(found), start, step, lambda a: a["n"].cast("long"))
     return F.when(n >= 4, count).otherwise(F.lit(0).cast("long"))
 
 
