@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import functools
 import itertools
+import json
 import os
 import re
 import zlib
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .shared import shared_dir, tasks
+from .shared import keep_until_clear, shared_dir, tasks
 
 #: Ids of a block before it is closed; the last document of a block is stored whole.
 BLOCK_IDS = 1 << 18
@@ -73,14 +74,24 @@ def unpack(payload: bytes, bits: int, n: int, start: int = 0) -> np.ndarray:
     return (flat.astype("<u4") << np.arange(bits, dtype="<u4")).sum(axis=1, dtype="<u4")
 
 
+def splits_at_spaces(path: str) -> bool:
+    """Whether a tokenizer file is a byte-level BPE that changes no text and begins a new piece at a space between words."""
+    with open(path, encoding="utf-8") as f:
+        file = json.load(f)
+    model, before = file.get("model") or {}, file.get("pre_tokenizer") or {}
+    plain = not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges"))
+    level = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
+    return model.get("type") == "BPE" and plain and level and not file.get("normalizer") and not file.get("truncation")
+
+
 class Encoder:
     """Encodes whole texts; equal pieces of a call are encoded once.
 
     A byte-level BPE splits a text before it merges, and a single space between two other characters always begins a new
-    piece there. So a text without double or other unusual spacing is the concatenation of its space-led pieces, and the
+    piece there (`splits_at_spaces` reads from the file whether it is one). So a text without double or other unusual spacing is the concatenation of its space-led pieces, and the
     library encodes only the distinct ones, many joined to one text: in its ids, the tokens that begin with a space say
     where each piece begins. Any other text, and one that holds an added token's text (which the library gives that
-    token's id), goes to the library whole.
+    token's id), goes to the library whole, and so do all texts with any other tokenizer.
     """
 
     def __init__(self, path: str, end_id: int):
@@ -88,7 +99,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.distinct, self.end_id = Tokenizer.from_file(path), Tokenizer.from_file(path), end_id
-        self.distinct.model._resize_cache(0)  # no word comes twice there, so looking each up only costs
+        self.split = splits_at_spaces(path)
         self.odd = "|".join([ODD, *(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values())])
         self.vocabulary = max(self.tokenizer.get_vocab_size(), end_id + 1)
         self.spaced = np.zeros(self.vocabulary, bool)
@@ -116,7 +127,7 @@ class Encoder:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after another, each with the end id, and the number of ids of each."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
-        odd = pc.match_substring_regex(texts, self.odd).to_numpy(zero_copy_only=False)
+        odd = pc.match_substring_regex(texts, self.odd).to_numpy(zero_copy_only=False) | (not self.split)
         lists = pc.split_pattern(texts.filter(pa.array(~odd)), " ")
         bounds = lists.offsets.to_numpy().astype(np.int64)
         words = lists.flatten()
@@ -149,7 +160,8 @@ def _gather(pool: np.ndarray, size: np.ndarray, codes: np.ndarray) -> tuple[np.n
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, shards: int | None = None, block_ids: int = BLOCK_IDS, text: str = "text") -> None:
     """Encode `docs` in ascending doc_id order (null first, ties by a hash of the text) into a store at `path`.
 
-    Null texts are empty and get the end id alone. The order comes from a range partitioning, so shards follow the data.
+    Null texts are empty and get the end id alone; rows that share a doc_id are documents of their own. Only doc_id and the
+    text are read, so other columns may have any names. The order comes from a range partitioning, so shards follow the data.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
     order = [F.col("doc_id").asc_nulls_first(), F.col("tie").asc()]
@@ -240,6 +252,6 @@ def document(store: DataFrame, doc_id: int) -> DataFrame:
 
 def encoded(docs: DataFrame, tokenizer: str, end_id: int = 2, **options) -> DataFrame:
     """Write a store to the shared folder and read it back."""
-    path = shared_dir(docs.sparkSession)
+    path = keep_until_clear(shared_dir(docs.sparkSession))
     write(docs, path, tokenizer, end_id, **options)
     return read(docs.sparkSession, path)
