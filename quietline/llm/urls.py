@@ -1,6 +1,6 @@
 """URL filters: rules for hosts and paths, and a logistic regression over hashed character n-grams for what no rule settles.
 
-The model is fitted on the driver from a small labelled table (`LABELLED`, at most `MOST_LABELLED` rows); its weights, 2**14
+The model is fitted on the driver from a small labelled table (`LABELLED`, at most `MOST_LABELLED` rows); its weights, 2**16
 numbers at most, go to the tasks with the function.
 """
 
@@ -15,13 +15,31 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BITS, SIZES = 14, (3, 4, 5)
+BITS, SIZES = 16, (3, 4, 5, 6)
 #: Rows of a labelled table that are used at most.
 MOST_LABELLED = 5000
 
-#: Words of hosts and paths that stand for unwanted sites, and for others.
-UNWANTED = "spam pills casino poker viagra cialis porn xxx adult escort loan payday lottery jackpot betting bets cheap replica torrent warez crack keygen malware phishing clickbait linkfarm spam-farm cheap-pills free-money free-prize hot-deals win-big buy-followers fake-watches miracle-diet nude camgirls gambling slots".split()
-WANTED = "news blog docs wiki library museum school college science history garden recipes travel weather sports music art health city council journal archive forum support photo maps books cinema theatre market bakery hotel bridge river mountain research engineering physics biology medicine economy politics culture home world data open project community".split()
+#: Words of hosts and paths that stand for unwanted sites, and for others; the labelled table is put together from them.
+UNWANTED = (
+    "casino poker roulette slots blackjack gambling bet bets betting bookmaker sportsbook lottery jackpot bingo wager "
+    "viagra cialis levitra pills pharma rx steroids weightloss diet detox "
+    "porn xxx sex nude naked adult escort escorts camgirls webcam hookup fetish milf hentai "
+    "loan loans payday credit-repair forex binary-options giveaway getrich quick-cash "
+    "warez crack cracked keygen serials nulled torrent torrents free-download "
+    "phishing verify-account login-secure account-update win-prize free-gift claim-now "
+    "replica fake-id spam spammer linkfarm backlinks buy-followers buy-likes clickbait "
+    "adserver adclick popunder tracker tracking pixel banners affiliate doorway sponsor-links cheap discount-meds"
+).split()
+WANTED = (
+    "news blog docs wiki library museum school college university science history garden recipes travel weather sports music art "
+    "health clinic hospital city council county journal archive forum support photo maps books cinema theatre market bakery hotel "
+    "bridge river mountain lake forest harbour research engineering physics biology chemistry medicine economy politics culture "
+    "home world data open project community church charity radio tv magazine times post herald tribune gazette daily review "
+    "software developer linux python code package api status help learn course student teacher children family farm kitchen "
+    "coffee tea bread wine fish bird horse dog cat tree flower stone paper glass wood iron silver north south east west green "
+    "blue red white old new first second law court justice police fire rescue army navy bank post-office insurance railway bus "
+    "airport bicycle car truck energy solar wind water metal chemical studio gallery design print fashion shoes shop store"
+).split()
 
 
 @dataclass(frozen=True)
@@ -42,16 +60,23 @@ RULES = (Rule("block", "com", "/en/"), Rule("allow", "example.com", "/en/7"), Ru
 
 
 def labelled() -> list[tuple[str, str, int]]:
-    """(host, path, unwanted 0/1): words in the places that they take in addresses."""
-    syllables = ("the", "re", "on", "ti", "an", "sh", "in", "er", "nd", "al", "or", "es", "th", "ou", "st", "ed")
-    plain = [a + b + c for i, a in enumerate(syllables) for b, c in zip(syllables, syllables[i:] + syllables[:i], strict=True)] + [a + a + b for a in syllables for b in syllables]
+    """(host, path, unwanted 0/1): words in the places that they take in addresses, on hosts under many suffixes."""
+    tails, names = ("com", "org", "net", "info", "co.uk", "de", "fr", "io"), ("www", "m", "shop", "my")
     rows = []
-    for words, label in ((UNWANTED, 1), (WANTED, 0), (plain, 0)):
+    for words, label in ((UNWANTED, 1), (WANTED, 0)):
         for i, w in enumerate(words):
-            tail = ("com", "org", "net", "info")[i % 4]
-            rows += [(f"{w}.{tail}", "/", label), (f"www.{w}.example.{tail}", f"/{('en', 'fr', 'de', 'es')[i % 4]}/{(i * 37) % 1000}", label)]
-            if label or words is WANTED:
-                rows += [(f"{words[i - 1]}-{w}.{tail}", f"/p/{i}.html", label), (f"site{i}.example.{tail}", f"/{w}/{i}", label)]
+            tail, other, name = tails[i % len(tails)], words[(i * 7 + 3) % len(words)], names[i % len(names)]
+            rows += [
+                (f"{w}.{tail}", "/", label),
+                (f"{name}.{w}{i % 90}.{tail}", f"/{other}/{i * 37 % 1000}", label),
+                (f"{w}-{other}.{tail}", f"/p/{i}.html", label),
+                (f"{other}{w}.{tail}", "/index.php", label),
+            ]
+            if label:  # on a host that says nothing, and between words of others
+                plain = WANTED[i * 3 % len(WANTED)]
+                rows += [(f"site{i}.{tail}", f"/{w}/{other}", 1), (f"{plain}-{w}.{tail}", "/", 1), (f"{name}.{w}-{plain}.host{i % 9}.{tail}", "/en/", 1)]
+            else:
+                rows += [(f"{name}.{w}{other}.{tail}", f"/{i % 28 + 1:02d}/{w}-and-{other}", 0), (f"{other}.host{i % 9}.{tail}", f"/en/{w}", 0)]
     return rows
 
 
@@ -66,7 +91,7 @@ def grams(host: str, path: str) -> np.ndarray:
 
 
 @functools.cache
-def fitted(rows: tuple | None = None, rounds: int = 300, rate: float = 0.5, decay: float = 1e-4) -> tuple[np.ndarray, float]:
+def fitted(rows: tuple | None = None, rounds: int = 400, rate: float = 0.5, decay: float = 1e-4) -> tuple[np.ndarray, float]:
     """(weights, intercept); full-batch gradient descent from zero, so every fit of the same table is the same."""
     table = list(rows or labelled())[:MOST_LABELLED]
     each, y = [grams(h, p) for h, p, _ in table], np.array([t[2] for t in table], float)
