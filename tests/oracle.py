@@ -17,7 +17,7 @@ SF_DIR = os.environ.get("SF_DIR", "/root/testdata/sf0.01")
 
 def session() -> SparkSession:
     os.environ["PYTHONPATH"] = ROOT
-    b = SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8").config("spark.driver.memory", "8g").config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC").config("spark.ui.showConsoleProgress", "false")
+    b = SparkSession.builder.master(f"local[{os.environ.get('TEST_CPUS', '8')}]").config("spark.sql.shuffle.partitions", "8").config("spark.driver.memory", "8g").config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC").config("spark.ui.showConsoleProgress", "false")
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
