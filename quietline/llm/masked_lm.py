@@ -30,13 +30,13 @@ from .shared import kept, scratch, stored, tasks
 from .texthash import mix, slices, words_and_endings
 
 #: Words with an id of their own, hashed ids, ids of a class, width of the layer, words seen on a side.
-KNOWN, HASHED, CLASS, WIDTH, SIDE = 3072, 1024, 64, 32, 2
+KNOWN, HASHED, CLASS, WIDTH, SIDE = 3072, 1024, 128, 32, 2
 VOCABULARY = KNOWN + HASHED
 CLASSES = VOCABULARY // CLASS
 #: The id of what lies beyond the text's ends; it is never predicted.
 EDGE = VOCABULARY
 #: Averages, which mask each word once together, words of a gradient step, and its rate.
-ROUNDS, STEP, RATE = 3, 2048, 0.1
+ROUNDS, STEP, RATE = 3, 4096, 0.25
 #: Words of a corpus that is one shard; shards grow with the square root of the words, until one has as many as MOST.
 SHARD, MOST = 500_000, 32_000_000
 #: Words whose counts go to the tasks.
@@ -90,27 +90,36 @@ class Network:
     def logs(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Log-probability of each target."""
         h, group = self.hidden(context), target // CLASS
-        out = np.empty(len(target), "f8")
-        every = _log_softmax(h @ self.k + self.kb)
-        out[:] = every[np.arange(len(target)), group]
-        for c, own in _by_class(group):
-            within = _log_softmax(h[own] @ self.o[c] + self.ob[c])
-            out[own] += within[np.arange(len(own)), target[own] % CLASS]
-        return out
+        out = _log_of(h @ self.k + self.kb, group)
+        order, edges = _by_class(group)
+        h, place, within = h[order], (target % CLASS)[order], np.empty(len(target), "f4")
+        for c, s in enumerate(edges):
+            if s.start < s.stop:
+                within[s] = _log_of(h[s] @ self.o[c] + self.ob[c], place[s])
+        out[order] += within
+        return out.astype("f8")
 
 
-def _by_class(group: np.ndarray):
-    """(class, places of its members) for the classes that are there."""
-    order = np.argsort(group, kind="stable")
-    edges = np.searchsorted(group[order], np.arange(CLASSES + 1))
-    for c in range(CLASSES):
-        if edges[c] < edges[c + 1]:
-            yield c, order[edges[c] : edges[c + 1]]
+def _by_class(group: np.ndarray) -> tuple[np.ndarray, list[slice]]:
+    """(places in order of class, the run of each class)."""
+    order = np.argsort(group.astype("u2"), kind="stable")
+    at = np.concatenate([[0], np.cumsum(np.bincount(group, minlength=CLASSES))])
+    return order, [slice(i, j) for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
 
 
-def _log_softmax(z: np.ndarray) -> np.ndarray:
+def _log_of(z: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Logarithm of the softmax of each row at its own column; z is used up."""
     z -= z.max(axis=1, keepdims=True)
-    z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
+    at = z[np.arange(len(own)), own]
+    return at - np.log(np.exp(z, out=z).sum(axis=1))
+
+
+def _error(z: np.ndarray, own: np.ndarray, n: np.float32) -> np.ndarray:
+    """Gradient of the mean cross-entropy by the logits z, in their place."""
+    z -= z.max(axis=1, keepdims=True)
+    np.exp(z, out=z)
+    z *= n / z.sum(axis=1, keepdims=True)
+    z[np.arange(len(own)), own] -= n
     return z
 
 
@@ -120,6 +129,7 @@ class Trainer:
     def __init__(self, net: Network):
         self.net = net
         self.seen = [np.full(x.shape[:2] if k == 0 else x.shape, 1e-3, "f4") for k, x in enumerate(net.parts)]
+        self.grad = np.zeros_like(net.o), np.zeros_like(net.ob)
 
     def _move(self, x: np.ndarray, seen: np.ndarray, g: np.ndarray) -> None:
         seen += g * g
@@ -127,31 +137,32 @@ class Trainer:
 
     def learn(self, context: np.ndarray, target: np.ndarray) -> None:
         net, n, group = self.net, np.float32(1 / len(target)), target // CLASS
+        order, edges = _by_class(group)
+        context, group, place = context[order], group[order], (target % CLASS)[order]
         h = net.hidden(context)
-        z = np.exp(_log_softmax(h @ net.k + net.kb))
-        z[np.arange(len(target)), group] -= 1
-        z *= n
+        z = _error(h @ net.k + net.kb, group, n)
         back = z @ net.k.T
-        gk, gkb = h.T @ z, z.sum(axis=0)
-        for c, own in _by_class(group):
-            y = np.exp(_log_softmax(h[own] @ net.o[c] + net.ob[c]))
-            y[np.arange(len(own)), target[own] % CLASS] -= 1
-            y *= n
-            back[own] += y @ net.o[c].T
-            self._move(net.o[c], self.seen[4][c], h[own].T @ y)
-            self._move(net.ob[c], self.seen[5][c], y.sum(axis=0))
-        self._move(net.k, self.seen[2], gk)
-        self._move(net.kb, self.seen[3], gkb)
+        go, gob = self.grad
+        for c, s in enumerate(edges):
+            if s.start < s.stop:
+                y = _error(h[s] @ net.o[c] + net.ob[c], place[s], n)
+                back[s] += y @ net.o[c].T
+                np.matmul(h[s].T, y, out=go[c])
+                y.sum(axis=0, out=gob[c])
+            else:
+                go[c], gob[c] = 0, 0
+        for x, seen, g in ((net.k, self.seen[2], h.T @ z), (net.kb, self.seen[3], z.sum(axis=0)), (net.o, self.seen[4], go), (net.ob, self.seen[5], gob)):
+            self._move(x, seen, g)
         back *= 1 - h * h
         self._move(net.b, self.seen[1], back.sum(axis=0))
-        for place in range(2 * SIDE):
-            ids = context[:, place]
-            order = np.argsort(ids, kind="stable")
-            heads = np.flatnonzero(np.concatenate([[True], np.diff(ids[order]) != 0]))
-            g, own = np.add.reduceat(back[order], heads), ids[order][heads]
+        for k in range(2 * SIDE):
+            by = np.argsort(context[:, k].astype("u2"), kind="stable")
+            ids = context[by, k]
+            heads = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+            g, own = np.add.reduceat(back[by], heads), ids[heads]
             # One rate for the row of an id.
-            self.seen[0][place, own] += (g * g).mean(axis=1)
-            net.e[place][own] -= RATE * g / np.sqrt(self.seen[0][place, own])[:, None]
+            self.seen[0][k, own] += (g * g).mean(axis=1)
+            net.e[k][own] -= RATE * g / np.sqrt(self.seen[0][k, own])[:, None]
 
 
 class Vocabulary:
