@@ -1,4 +1,4 @@
-"""Places: square cells, distances, hulls, polygons, variable-density clusters."""
+"""Places: square cells, distances, hulls, polygons, variable-density clusters, radii, support gates."""
 
 from __future__ import annotations
 
@@ -8,6 +8,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from .graph import components
 
 EARTH_M = 6_371_000.0
 
@@ -80,34 +83,117 @@ def hulls(df: DataFrame, key: str, lat: str = "lat", lon: str = "lon") -> DataFr
     return reduced.groupBy(key).applyInPandas(one, f"{key} {kinds[key]}, ring array<struct<lat:double,lon:double>>")
 
 
-def cluster(lat: np.ndarray, lon: np.ndarray, scale: float = 1.5, floor: float = 100.0, most: float = 1000.0) -> np.ndarray:
-    """Labels of variable-density clusters: a point reaches as far as its third neighbour times `scale`, within bounds; two points are joined if either reaches the other."""
-    n = len(lat)
-    if n < 2:
-        return np.zeros(n, int)
-    a, o = np.radians(lat), np.radians(lon)
-    h = np.sin((a[:, None] - a) / 2) ** 2 + np.cos(a[:, None]) * np.cos(a) * np.sin((o[:, None] - o) / 2) ** 2
-    d = 2 * EARTH_M * np.arcsin(np.sqrt(np.minimum(1, h)))
-    reach = np.clip(np.sort(d, axis=1)[:, min(3, n - 1)] * scale, floor, most)
-    joined = d <= np.maximum(reach[:, None], reach)
-    label = np.arange(n)
-    while True:
-        new = np.where(joined, label, n).min(axis=1)
-        new = new[new]
-        if (new == label).all():
-            return np.unique(label, return_inverse=True)[1]
-        label = new
-
-
-def clusters(df: DataFrame, key: str, ident: str, lat: str = "lat", lon: str = "lon", **bounds) -> DataFrame:
-    """(key, ident, cluster): the points of one outage at a time; an outage is as large as a provider's devices, not as the table."""
-    kinds = dict(df.dtypes)
+#: Metres of a degree of latitude.
+DEGREE_M = EARTH_M * math.pi / 180
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(ident)
-        return pd.DataFrame({key: pdf[key], ident: pdf[ident], "cluster": cluster(pdf[lat].to_numpy(), pdf[lon].to_numpy(), **bounds)})
 
-    return df.select(key, ident, lat, lon).dropna().groupBy(key).applyInPandas(one, f"{key} {kinds[key]}, {ident} {kinds[ident]}, cluster long")
+def near_pairs(points: DataFrame, key: str, ident: str, lat: str, lon: str, within_m: float) -> DataFrame:
+    """(key, a, b, d): ordered pairs of a key's points at most `within_m` apart.
+
+    Points lie in cells that are at least as wide, so a point meets those of nine cells only, by equality.
+    """
+    widest = points.groupBy(key).agg(F.max(F.abs(lat)).alias("_far"))
+    p = points.join(widest, key)
+    step = F.lit(within_m / DEGREE_M) / F.greatest(F.lit(0.01), F.cos(F.radians(F.col("_far") + within_m / DEGREE_M)))
+    p = p.select(key, F.col(ident).alias("a"), F.col(lat).alias("la"), F.col(lon).alias("lo"), F.floor(F.col(lat) / (within_m / DEGREE_M)).alias("x"), F.floor(F.col(lon) / step).alias("y"))
+    around = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
+    sent = p.withColumn("s", F.explode(around)).select(key, F.col("a").alias("b"), F.col("la").alias("lb"), F.col("lo").alias("mo"), (F.col("x") + F.col("s.i")).alias("x"), (F.col("y") + F.col("s.j")).alias("y"))
+    met = p.join(sent, [key, "x", "y"]).where("a != b")
+    return met.select(key, "a", "b", haversine(F.col("la"), F.col("lo"), F.col("lb"), F.col("mo")).alias("d")).where(F.col("d") <= within_m)
+
+
+def clusters(df: DataFrame, key: str, ident: str, lat: str = "lat", lon: str = "lon", scale: float = 1.5, floor: float = 100.0, most: float = 1000.0) -> DataFrame:
+    """(key, ident, cluster): variable-density clusters of a key's points, named by their smallest ident.
+
+    A point reaches as far as its third neighbour (of few points: the last) times `scale`, from `floor` to `most` metres; two
+    points are joined if either reaches the other. Points further apart than `most` can't be joined, and a third neighbour
+    beyond most / scale means a reach of `most`, so only near points are compared.
+    """
+    points = df.select(key, ident, F.col(lat).cast("double").alias(lat), F.col(lon).cast("double").alias(lon)).dropna()
+    n = points.groupBy(key).agg(F.count("*").alias("_n"))
+    pairs = near_pairs(points, key, ident, lat, lon, most * max(1.0, 1 / scale)).join(n, key)
+    order = Window.partitionBy(key, "a")
+    ranked = pairs.withColumn("_k", F.row_number().over(order.orderBy("d", "b")))
+    third = F.max(F.when(F.col("_k") == F.least(F.lit(3), F.col("_n") - 1), F.col("d"))).over(order)
+    reach = F.coalesce(F.greatest(F.lit(floor), F.least(F.lit(most), third * scale)), F.lit(most))
+    node = lambda c: F.xxhash64(key, c).alias(c)
+    roots = components(ranked.withColumn("_r", reach).where("d <= _r").select(node("a"), node("b")))
+    # A root is a number; a cluster has the name of its smallest member.
+    found = points.select(key, ident, F.xxhash64(key, ident).alias("node")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    return found.select(key, ident, F.min(ident).over(Window.partitionBy(key, "root")).alias("cluster"))
+
+
+#: Shares of a group within its radii.
+RADII = {"r70": 7, "r80": 8, "r90": 9, "r100": 10}
+
+
+def from_centre(df: DataFrame, keys: list[str], ident: str, lat: str = "lat", lon: str = "lon") -> DataFrame:
+    """(keys, ident, d, k, n): distance of each point to the median place of its group, its rank (ties by ident), and their number."""
+    middle = df.groupBy(*keys).agg(F.median(lat).alias("_a"), F.median(lon).alias("_o"), F.count("*").alias("n"))
+    d = haversine(F.col("_a"), F.col("_o"), F.col(lat), F.col(lon))
+    x = df.join(middle, keys).select(*keys, ident, d.alias("d"), "n")
+    return x.withColumn("k", F.row_number().over(Window.partitionBy(*keys).orderBy("d", ident)))
+
+
+def radii(ranked: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, n, r70 .. r100): nearest-rank distances, to a tenth of a metre, from what `from_centre` gives."""
+    at = {name: F.floor((F.col("n") * tenths + 9) / 10) for name, tenths in RADII.items()}
+    rows = [F.round(F.max(F.when(F.col("k") == k, F.col("d"))), 1).alias(name) for name, k in at.items()]
+    return ranked.groupBy(*keys, "n").agg(*rows)
+
+
+def core(ranked: DataFrame) -> Column:
+    """Whether a point is among the nine tenths nearest to the centre; the others are tails."""
+    return F.col("k") <= F.floor((F.col("n") * 9 + 9) / 10)
+
+
+def refined(df: DataFrame, key: str, ident: str, lat: str = "lat", lon: str = "lon", jump_m: float = 500.0, least: int = 10) -> DataFrame:
+    """(key, ident, cluster, part, split): clusters, of which large ones whose radius jumps between R80 and R90 are clustered again.
+
+    Once only, with a shorter reach; a cluster that stays whole is marked as tried, too.
+    """
+    first = clusters(df, key, ident, lat, lon)
+    places = df.select(key, ident, lat, lon).join(first, [key, ident])
+    groups = radii(from_centre(places, [key, "cluster"], ident, lat, lon), [key, "cluster"])
+    wide = groups.where((F.col("n") >= least) & (F.col("r90") - F.col("r80") > jump_m)).select(key, "cluster").withColumn("split", F.lit(True))
+    again = places.join(wide, [key, "cluster"]).withColumn("_g", F.struct(key, "cluster"))
+    parts = clusters(again, "_g", ident, lat, lon, scale=0.7, most=500.0)
+    parts = parts.select(F.col(f"_g.{key}").alias(key), ident, F.col("cluster").alias("part"), F.lit(True).alias("split"))
+    out = first.join(parts, [key, ident], "left")
+    return out.select(key, ident, "cluster", F.coalesce("part", "cluster").alias("part"), F.coalesce("split", F.lit(False)).alias("split"))
+
+
+def stability(df: DataFrame, key: str, ident: str, cluster: str, lat: str = "lat", lon: str = "lon") -> DataFrame:
+    """(key, cluster, stability): the least share of a cluster that stays together when its reach shrinks or grows by 15 percent."""
+    own = df.select(key, cluster, ident, lat, lon).withColumn("_g", F.struct(key, cluster))
+    n = own.groupBy("_g").agg(F.count("*").alias("n"))
+    out = None
+    for scale in (0.85, 1.15):
+        c = clusters(own, "_g", ident, lat, lon, scale=scale).groupBy("_g", "cluster").agg(F.count("*").alias("c"))
+        best = c.groupBy("_g").agg(F.max("c").alias("c"))
+        out = best if out is None else out.unionByName(best)
+    share = out.groupBy("_g").agg(F.min("c").alias("c")).join(n, "_g")
+    return share.select(F.col(f"_g.{key}").alias(key), F.col(f"_g.{cluster}").alias(cluster), F.round(F.col("c") / F.col("n"), 3).alias("stability"))
+
+
+def reasons(n: Column, r80: Column, r90: Column) -> Column:
+    """Why a group's place doesn't support a decision: the names of the gates that fail, in order."""
+    gates = (("MIN_DOWN_MEMBERS", n < 10), ("R90_OVER_1KM", r90 > 1000), ("R80_R90_JUMP", r90 - r80 > 500))
+    return F.array_compact(F.array(*(F.when(holds, name) for name, holds in gates)))
+
+
+def in_bounds(lat: Column, lon: Column, south: float = 6, north: float = 38, west: float = 68, east: float = 98) -> Column:
+    """Whether a place lies in the service area; a null doesn't."""
+    return F.coalesce(lat.between(south, north) & lon.between(west, east), F.lit(False))
+
+
+def inside_rings(points: DataFrame, rings: DataFrame, ring: str, lat: str = "lat", lon: str = "lon", size: float = 0.02) -> DataFrame:
+    """Points with the columns of each ring that they lie in. Rings are sent to the cells of their bounds, points to their own."""
+    bound = lambda f, c: f(F.transform(ring, lambda p: p[c]))
+    cells = lambda c: F.sequence(F.floor(bound(F.array_min, c) / size), F.floor(bound(F.array_max, c) / size))
+    sent = rings.withColumn("_x", F.explode(cells("lat"))).withColumn("_y", F.explode(cells("lon")))
+    own = points.withColumns({"_x": square(lat, size), "_y": square(lon, size)})
+    return own.join(sent, ["_x", "_y"]).where(inside(F.col(lat), F.col(lon), F.col(ring))).drop("_x", "_y")
 
 
 def circle(lat: float, lon: float, radius_m: float, corners: int = 24, least_m: float = 20.0) -> list[tuple[float, float]]:
@@ -119,18 +205,24 @@ def circle(lat: float, lon: float, radius_m: float, corners: int = 24, least_m:
 def profile(df: DataFrame, key: str, lat: str = "lat", lon: str = "lon") -> DataFrame:
     """(key, n, length_m, across_p90_m, ratio): how far a group's points stretch along and across their main axis.
 
-    Points are laid on a plane around their mean; the axis is that of the larger eigenvalue of their covariance. The ratio of
-    the axes is at most 999, and 0 for one point or several at one place.
+    East and north in metres from the mean place; variances and covariance are aggregates, and their principal axis follows
+    from half the angle of (2 cov, var east - var north). The ratio of the axes' spreads is at most 999, and 0 where there is
+    no spread at all.
     """
-    mean = df.where(F.col(lat).isNotNull() & F.col(lon).isNotNull()).groupBy(key).agg(F.avg(lat).alias("_a"), F.avg(lon).alias("_o"))
-    x = F.radians(F.col(lon) - F.col("_o")) * EARTH_M * F.cos(F.radians("_a"))
-    p = df.join(mean, key).select(key, x.alias("x"), (F.radians(F.col(lat) - F.col("_a")) * EARTH_M).alias("y")).dropna()
-    m = p.groupBy(key).agg(F.avg(F.col("x") * F.col("x")).alias("xx"), F.avg(F.col("y") * F.col("y")).alias("yy"), F.avg(F.col("x") * F.col("y")).alias("xy"))
-    root = F.sqrt(F.pow(F.col("xx") - F.col("yy"), 2) + 4 * F.pow("xy", 2))
-    m = m.select(key, ((F.col("xx") + F.col("yy") + root) / 2).alias("_big"), F.greatest(F.lit(0.0), (F.col("xx") + F.col("yy") - root) / 2).alias("_small"), (F.atan2(2 * F.col("xy"), F.col("xx") - F.col("yy")) / 2).alias("_w"))
-    turned = p.join(m, key).select(key, "_big", "_small", (F.col("x") * F.cos("_w") + F.col("y") * F.sin("_w")).alias("u"), F.abs(F.col("y") * F.cos("_w") - F.col("x") * F.sin("_w")).alias("v"))
-    ratio = F.when(F.first("_small") > 1e-9, F.least(F.lit(999.0), F.sqrt(F.first("_big") / F.first("_small")))).when(F.first("_big") > 1e-9, 999.0).otherwise(0.0)
-    return turned.groupBy(key).agg(F.count("*").alias("n"), F.round(F.max("u") - F.min("u"), 1).alias("length_m"), F.round(F.expr("percentile_disc(0.9) WITHIN GROUP (ORDER BY v)"), 1).alias("across_p90_m"), F.round(ratio, 2).alias("ratio"))
+    known = df.where(F.col(lat).isNotNull() & F.col(lon).isNotNull())
+    mean = known.groupBy(key).agg(F.avg(lat).alias("_a"), F.avg(lon).alias("_o"))
+    east = (F.col(lon) - F.col("_o")) * DEGREE_M * F.cos(F.radians("_a"))
+    placed = known.join(mean, key).select(key, east.alias("_east"), ((F.col(lat) - F.col("_a")) * DEGREE_M).alias("_north"))
+    spread = placed.groupBy(key).agg(F.var_pop("_east").alias("_ve"), F.var_pop("_north").alias("_vn"), F.covar_pop("_east", "_north").alias("_c"))
+    half_sum, half_gap = (F.col("_ve") + F.col("_vn")) / 2, F.hypot((F.col("_ve") - F.col("_vn")) / 2, F.col("_c"))
+    angle = F.atan2(2 * F.col("_c"), F.col("_ve") - F.col("_vn")) / 2
+    axes = spread.select(key, angle.alias("_t"), (half_sum + half_gap).alias("_long"), F.greatest(F.lit(0.0), half_sum - half_gap).alias("_short"))
+    along = F.col("_east") * F.cos("_t") + F.col("_north") * F.sin("_t")
+    across = F.abs(F.col("_north") * F.cos("_t") - F.col("_east") * F.sin("_t"))
+    turned = placed.join(axes, key).select(key, "_long", "_short", along.alias("_u"), across.alias("_w"))
+    ratio = F.when(F.max("_short") > 1e-9, F.least(F.lit(999.0), F.sqrt(F.max("_long") / F.max("_short")))).when(F.max("_long") > 1e-9, 999.0).otherwise(0.0)
+    p90 = F.expr("percentile_disc(0.9) WITHIN GROUP (ORDER BY _w)")
+    return turned.groupBy(key).agg(F.count("*").alias("n"), F.round(F.max("_u") - F.min("_u"), 1).alias("length_m"), F.round(p90, 1).alias("across_p90_m"), F.round(ratio, 2).alias("ratio"))
 
 
 #: Half axis in metres and eccentricity of the WGS84 ellipsoid.

@@ -32,18 +32,6 @@ def u4(spark, sf_dir):
     return over.agg((F.count("*") * 0.25).alias("shared")).crossJoin(one(hot, "base")).crossJoin(one(moved, "shifted"))
 
 
-BITS = "b AS (SELECT user_id, date_trunc('hour', ts)::TIMESTAMP AS hour, bit_or(1 << (minute(ts) // 5)::INT) AS bits FROM events WHERE event_type <> 'error' GROUP BY 1, 2)"
-
-
-@query("d17_quarter_state", f"WITH {BITS}, m AS (SELECT *, list_aggregate([CASE WHEN bits >> k & 1 = 1 THEN '1' ELSE '0' END FOR k IN range(12)], 'string_agg', '') AS bitmap FROM b) SELECT user_id, hour, bitmap, substr(bitmap, 10, 3) = '000' AND bitmap <> '000000000000' AS early, bitmap = '000000000000' AS outage FROM m")
-def d17(spark, sf_dir):
-    slot = F.expr("cast(minute(ts) div 5 as int)")
-    b = table(spark, sf_dir, "events").where("event_type <> 'error'").groupBy("user_id", F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1), slot)).alias("bits"))
-    bitmap = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(11)), lambda k: F.when(F.call_function("shiftright", F.col("bits"), k).bitwiseAND(F.lit(1)) == 1, "1").otherwise("0")), "")
-    zero = "0" * 12
-    return b.withColumn("bitmap", bitmap).select("user_id", "hour", "bitmap", ((F.substring("bitmap", 10, 3) == "000") & (F.col("bitmap") != zero)).alias("early"), (F.col("bitmap") == zero).alias("outage"))
-
-
 @query("d18_triggers", """WITH r AS (SELECT c_nationkey::BIGINT AS cell, count(*) AS roster FROM customer WHERE c_custkey IN (SELECT user_id FROM events) GROUP BY 1),
 t AS (SELECT c_nationkey::BIGINT AS cell, date_trunc('hour', ts)::TIMESTAMP AS hour, count(DISTINCT user_id) AS failing FROM events JOIN customer ON c_custkey = user_id WHERE event_type = 'error' GROUP BY 1, 2),
 g AS (SELECT cell, hour, failing, roster FROM t JOIN r USING (cell) WHERE failing >= ceil(roster * 0.1))
@@ -140,8 +128,3 @@ def g6(spark, sf_dir):
     x = located(spark, sf_dir)
     ring = geo.hulls(x, "c_nationkey")
     return x.join(ring, "c_nationkey").select("c_custkey", geo.inside(F.col("lat"), F.col("lon"), F.col("ring")).alias("inside"))
-
-
-@query("d1_clusters")
-def d1(spark, sf_dir):
-    return geo.clusters(located(spark, sf_dir), "c_nationkey", "c_custkey", scale=1.5, floor=100.0, most=200_000.0)

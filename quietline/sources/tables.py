@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +13,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_path(spark: SparkSession) -> str:
+    """A new path in the folder that driver and executors share; a local session without one gets one of its own."""
+    context = spark.sparkContext
+    root = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if not root:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = tempfile.mkdtemp(prefix="spark-shared-")
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(root)
+    return f"{root}/{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The frame, computed and kept in the shared folder, without its lineage."""
+    shared_path(df.sparkSession)
+    return df.checkpoint()
+
+
 def csv_table(spark: SparkSession, path: str, schema: str, gate_hours: int | None = None, as_of: str | None = None) -> DataFrame:
     """A CSV with a header and a declared schema; rows that don't fit it fail the read.
 
