@@ -28,6 +28,7 @@ Nothing is capped: every pair at the threshold ends in one component. Tokens are
 from __future__ import annotations
 
 import math
+from collections import deque
 
 import numpy as np
 import pyarrow as pa
@@ -39,10 +40,10 @@ from .shared import join_split, kept, scratch, stored, tasks
 from .texthash import shingles, signature, slices
 
 #: Tokens of a partition where they meet, and that a task holds before it sends them on.
-TOKENS_A_PARTITION = 4_000_000
-TOKENS_HELD = 600_000
+TOKENS_A_PARTITION = 1_500_000
+TOKENS_HELD = 400_000
 #: Tokens that a task counts at once to find heavy ones; a token of more than a share of 1 / HEAVY of all tokens is one.
-TOKENS_COUNTED = 4_000_000
+TOKENS_COUNTED = 2_000_000
 HEAVY = 1 << 18
 #: No token is heavy that fewer sets hold.
 LEAST_HEAVY = 64
@@ -220,14 +221,16 @@ def _meet(batches, parts: int):
             by_part.setdefault(b["part"][r].as_py(), []).append([b[c][r].as_py() for c in NAMES[1:]])
     width = _width(parts)
     for p in sorted(by_part):
-        rows = by_part.pop(p)
+        rows = deque(by_part.pop(p))
         of = lambda k: [np.repeat(np.frombuffer(r[k], (np.int64, np.int32)[k]), np.frombuffer(r[2], np.int32)) for r in rows]  # noqa: E731, B023
         node, size = np.concatenate(of(0)), np.concatenate(of(1))
-        raw = np.frombuffer(b"".join(t for *_, t in rows), np.uint8).reshape(-1, width)
-        del rows
-        token = np.zeros((len(raw), 8), np.uint8)
-        token[:, :width] = raw
-        token = token.view("<u8").ravel() + np.uint64(_base(p, parts))
+        token = np.zeros((len(node), 8), np.uint8)
+        at = 0
+        while rows:
+            raw = np.frombuffer(rows.popleft()[3], np.uint8).reshape(-1, width)
+            token[at : at + len(raw), :width], at = raw, at + len(raw)
+        token = token.view("<u8").ravel()
+        token += np.uint64(_base(p, parts))
         order = np.lexsort((node, token))
         token, node, size = token[order], node[order], size[order]
         # A set may come from several tasks.
