@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -59,19 +61,34 @@ def episodes(intervals: DataFrame, within_s: int, device: str = "user_id") -> Da
 def anchored(df: DataFrame, key: str, at: str, ident: str, window_s: int) -> DataFrame:
     """(key, at, id, anchor): rows in groups that a first row opens; a row joins while it is at most `window_s` after it.
 
-    Neither a tumbling nor a session window: each group's border depends on where the one before began. The fold holds the rows of
-    one key.
+    Neither a tumbling nor a session window: each group's border depends on where the one before began. Rows stream through a
+    task in order of key and time, and what it keeps is one anchor, so a key of any size takes one pass.
     """
-    row = F.struct(F.col(at).alias("at"), F.col(ident).alias("id"))
-    kind = f"array<struct<at:{dict(df.dtypes)[at]},id:{dict(df.dtypes)[ident]},anchor:{dict(df.dtypes)[at]}>>"
-    start = F.struct(F.lit(None).cast(dict(df.dtypes)[at]).alias("anchor"), F.array().cast(kind).alias("all"))
-
-    def step(a, x):
-        anchor = F.when(a["anchor"].isNull() | (seconds(x["at"]) - seconds(a["anchor"]) > window_s), x["at"]).otherwise(a["anchor"])
-        return F.struct(anchor.alias("anchor"), F.concat(a["all"], F.array(F.struct(x["at"].alias("at"), x["id"].alias("id"), anchor.alias("anchor")))).alias("all"))
-
-    folded = df.groupBy(key).agg(F.array_sort(F.collect_list(row)).alias("rows")).select(key, F.explode(F.aggregate("rows", start, step, lambda a: a["all"])).alias("r"))
-    return folded.select(key, F.col("r.at").alias(at), F.col("r.id").alias(ident), F.col("r.anchor").alias("anchor"))
+    kinds = dict(df.dtypes)
+    rows = df.select(key, at, ident, F.unix_micros(F.col(at).cast("timestamp")).alias("_us"))
+    ordered = rows.repartition(key).sortWithinPartitions(key, at, ident)
+
+    def fold(batches):
+        last, anchor = object(), None
+        for b in batches:
+            us, keys = b["_us"].to_numpy(), b[key].dictionary_encode()
+            codes, names = keys.indices.to_numpy(zero_copy_only=False), keys.dictionary
+            heads = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]])) if len(codes) else []
+            out = np.empty(len(us), np.int64)
+            for i, j in zip(heads, [*heads[1:], len(us)], strict=True):
+                name = names[codes[i]].as_py()
+                anchor = anchor if name == last else None
+                last = name
+                while i < j:
+                    if anchor is None or us[i] // 1_000_000 - anchor // 1_000_000 > window_s:
+                        anchor = us[i]
+                    # All rows to the end of the window's last second.
+                    k = i + int(np.searchsorted(us[i:j], (anchor // 1_000_000 + window_s + 1) * 1_000_000))
+                    out[i:k], i = anchor, k
+            yield pa.RecordBatch.from_arrays([b[key], b[at], b[ident], pa.array(out)], names=[key, at, ident, "_us"])
+
+    done = ordered.where(F.col(key).isNotNull()).mapInArrow(fold, f"{key} {kinds[key]}, {at} {kinds[at]}, {ident} {kinds[ident]}, _us long")
+    return done.select(key, at, ident, F.timestamp_micros("_us").cast(kinds[at]).alias("anchor"))
 
 
 def spine(keys: DataFrame, start: str, end: str, step: str, name: str) -> DataFrame:

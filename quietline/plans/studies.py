@@ -48,8 +48,9 @@ def d18(spark, sf_dir):
 @query("w14_top_decile", "SELECT o_custkey, total FROM (SELECT *, row_number() OVER (ORDER BY total DESC, o_custkey) AS k, count(*) OVER () AS n FROM (SELECT o_custkey, count(*) AS total FROM orders GROUP BY 1)) WHERE k <= ceil(0.1 * n)")
 def w14(spark, sf_dir):
     t = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count("*").alias("total"))
-    n = t.count()
-    return t.orderBy(F.desc("total"), "o_custkey").limit(-(-n // 10))
+    ranked = scores.running(t, [F.desc("total"), F.col("o_custkey")], {"k": F.lit(1)})
+    n = t.agg(F.count("*").alias("n"))
+    return ranked.crossJoin(F.broadcast(n)).where("k <= ceil(n / 10)").select("o_custkey", "total")
 
 
 LABELS = "l AS (SELECT doc_id, n_chars, quality FROM labels JOIN documents USING (doc_id))"
