@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import attribution, contrasts, hours, live, live_evidence, measures, relational, studies, timeseries  # noqa: F401  they register their queries
+from .plans import attribution, contrasts, feeds, hours, live, live_evidence, measures, relational, studies, timeseries  # noqa: F401  they register their queries
 from .plans.registry import ORACLES, QUERIES
 
 

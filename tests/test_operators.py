@@ -46,8 +46,3 @@ def test_hull_and_inside(spark):
     df = spark.createDataFrame([(2.0, 2.0), (0.0, 2.0), (5.0, 2.0)], "a double, o double")
     r = F.array(*(F.struct(F.lit(float(a)).alias("lat"), F.lit(float(b)).alias("lon")) for a, b in ring))
     assert [x.i for x in df.select(geo.inside(F.col("a"), F.col("o"), r).alias("i")).collect()] == [True, True, False]
-
-
-def test_clusters_by_reach():
-    lat = np.array([0, 0.0005, 0.001, 0.0015, 1.0])
-    assert geo.cluster(lat, np.zeros(5)).tolist() == [0, 0, 0, 0, 1]
