@@ -30,7 +30,7 @@ from .shared import kept, scratch, stored, tasks
 from .texthash import mix, slices, words_and_endings
 
 #: Words with an id of their own, hashed ids, ids of a class, width of the layer, words seen on a side.
-KNOWN, HASHED, CLASS, WIDTH, SIDE = 3072, 1024, 128, 32, 2
+KNOWN, HASHED, CLASS, WIDTH, SIDE = 3072, 1024, 64, 24, 2
 VOCABULARY = KNOWN + HASHED
 CLASSES = VOCABULARY // CLASS
 #: The id of what lies beyond the text's ends; it is never predicted.
@@ -81,6 +81,11 @@ class Network:
             at += x.size
         return Network(*out)
 
+    @property
+    def small(self) -> bool:
+        """Whether no logit can be too large for exp: the hidden layer lies between -1 and 1."""
+        return max(float((np.abs(x).sum(axis=-2) + np.abs(b)).max()) for x, b in ((self.k, self.kb), (self.o, self.ob))) < 60
+
     def hidden(self, context: np.ndarray) -> np.ndarray:
         total = self.e[0][context[:, 0]]
         for place in range(1, 2 * SIDE):
@@ -89,13 +94,13 @@ class Network:
 
     def logs(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Log-probability of each target."""
-        h, group = self.hidden(context), target // CLASS
-        out = _log_of(h @ self.k + self.kb, group)
+        h, group, small = self.hidden(context), target // CLASS, self.small
+        out = _log_of(h @ self.k + self.kb, group, small)
         order, edges = _by_class(group)
         h, place, within = h[order], (target % CLASS)[order], np.empty(len(target), "f4")
         for c, s in enumerate(edges):
             if s.start < s.stop:
-                within[s] = _log_of(h[s] @ self.o[c] + self.ob[c], place[s])
+                within[s] = _log_of(h[s] @ self.o[c] + self.ob[c], place[s], small)
         out[order] += within
         return out.astype("f8")
 
@@ -107,16 +112,18 @@ def _by_class(group: np.ndarray) -> tuple[np.ndarray, list[slice]]:
     return order, [slice(i, j) for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
 
 
-def _log_of(z: np.ndarray, own: np.ndarray) -> np.ndarray:
+def _log_of(z: np.ndarray, own: np.ndarray, small: bool) -> np.ndarray:
     """Logarithm of the softmax of each row at its own column; z is used up."""
-    z -= z.max(axis=1, keepdims=True)
+    if not small:
+        z -= z.max(axis=1, keepdims=True)
     at = z[np.arange(len(own)), own]
     return at - np.log(np.exp(z, out=z).sum(axis=1))
 
 
-def _error(z: np.ndarray, own: np.ndarray, n: np.float32) -> np.ndarray:
+def _error(z: np.ndarray, own: np.ndarray, n: np.float32, small: bool) -> np.ndarray:
     """Gradient of the mean cross-entropy by the logits z, in their place."""
-    z -= z.max(axis=1, keepdims=True)
+    if not small:
+        z -= z.max(axis=1, keepdims=True)
     np.exp(z, out=z)
     z *= n / z.sum(axis=1, keepdims=True)
     z[np.arange(len(own)), own] -= n
@@ -140,12 +147,13 @@ class Trainer:
         order, edges = _by_class(group)
         context, group, place = context[order], group[order], (target % CLASS)[order]
         h = net.hidden(context)
-        z = _error(h @ net.k + net.kb, group, n)
+        small = net.small
+        z = _error(h @ net.k + net.kb, group, n, small)
         back = z @ net.k.T
         go, gob = self.grad
         for c, s in enumerate(edges):
             if s.start < s.stop:
-                y = _error(h[s] @ net.o[c] + net.ob[c], place[s], n)
+                y = _error(h[s] @ net.o[c] + net.ob[c], place[s], n, small)
                 back[s] += y @ net.o[c].T
                 np.matmul(h[s].T, y, out=go[c])
                 y.sum(axis=0, out=gob[c])
