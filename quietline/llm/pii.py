@@ -139,6 +139,7 @@ FEATURES = {
     "value": lambda t, b, a: F.length(_value(t)),
     "value_digits": lambda t, b, a: F.length(digits(_value(t))),
     "mixed_case": lambda t, b, a: _value(t).rlike("[a-z]") & _value(t).rlike("[A-Z]"),
+    "provider": lambda t, b, a: t.rlike("^(?:AKIA|gh[pousr]_|[sr]k_|xox|AIza|eyJ)"),
     "luhn": lambda t, b, a: let(digits(t), lambda d: F.when(F.length(d).between(16, 19), luhn(d)).otherwise(F.lit(False))),
     "mod97": lambda t, b, a: F.when(t.rlike("^[A-Z]{2}[0-9]{2}") & (F.length(t) <= 44), mod97(t)).otherwise(F.lit(False)),
     "issued": lambda t, b, a: t.rlike("^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}$"),
@@ -232,6 +233,8 @@ def labelled() -> list[tuple[str, str, int]]:
     provider = [f"AKIA{some(low.upper() + number, 16)}", f"ghp_{some(any_, 36)}", f"sk-{some(any_, 40)}", f"sk_live_{some(any_, 24)}", f"xoxb-{some(number, 11)}-{some(any_, 20)}", f"AIza{some(any_, 35)}", f"eyJ{some(any_, 20)}.{some(any_, 30)}.{some(any_, 24)}"]
     dull = ["sk-" + "-".join(some(low, 6) for _ in range(4)), "sk-" + some(low, 24)]
     put("prefixed", provider, ("use", "key", "", "with", "set"), ("and", ""), 1)
+    provider += [f"AKIA{some(low.upper(), 15)}{rnd.choice(number)}" for _ in range(3)]
+    put("prefixed", provider[-3:], ("use", "key", "", "with"), ("and", ""), 1)
     put("prefixed", dull, ("use", "", "the", "a", "with", "so"), ("and", ""), 0)
     block = f"-----BEGIN RSA PRIVATE KEY-----\n{some(any_, 64)}\n{some(any_, 64)}\n-----END RSA PRIVATE KEY-----"
     put("block", [block, block.replace("RSA ", "")], ("use", "", "the", "file", "of", "as", "in", "with"), ("and", ""), 1)
