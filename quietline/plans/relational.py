@@ -26,14 +26,22 @@ def a9(spark, sf_dir):
     return identity.consistent(table(spark, sf_dir, "orders"), "o_custkey", "o_orderstatus")
 
 
-@query("j16_one_to_one", "WITH p AS (SELECT DISTINCT l_orderkey AS a, l_suppkey % 400 + l_partkey AS b FROM lineitem) SELECT a, b FROM p WHERE a IN (SELECT a FROM p GROUP BY a HAVING count(*) = 1) AND b IN (SELECT b FROM p GROUP BY b HAVING count(*) = 1)")
+@query(
+    "j16_one_to_one",
+    "WITH p AS (SELECT DISTINCT p_partkey % 1500 AS a, p_partkey * p_size % 3001 AS b FROM part) SELECT a, b FROM p WHERE a IN (SELECT a FROM p GROUP BY a HAVING count(*) = 1) AND b IN (SELECT b FROM p GROUP BY b HAVING count(*) = 1)",
+)
 def j16(spark, sf_dir):
-    return identity.one_to_one(table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("a"), (F.col("l_suppkey") % 400 + F.col("l_partkey")).alias("b")), "a", "b")
+    k = F.col("p_partkey")
+    return identity.one_to_one(table(spark, sf_dir, "part").select((k % 1500).alias("a"), (k * F.col("p_size") % 3001).alias("b")), "a", "b")
 
 
-@query("w3_bridge", "SELECT s_suppkey, s_nationkey::BIGINT AS s_nationkey FROM supplier WHERE s_nationkey IN (SELECT s_nationkey FROM supplier GROUP BY 1 HAVING count(DISTINCT s_suppkey) = 1)")
+@query(
+    "w3_bridge",
+    "WITH p AS (SELECT s_suppkey, (s_nationkey * 8 + s_suppkey % 8)::BIGINT AS account FROM supplier) SELECT * FROM p WHERE account IN (SELECT account FROM p GROUP BY 1 HAVING count(DISTINCT s_suppkey) = 1)",
+)
 def w3(spark, sf_dir):
-    return identity.one_to_one(table(spark, sf_dir, "supplier"), "s_suppkey", "s_nationkey").select("s_suppkey", F.col("s_nationkey").cast("long").alias("s_nationkey"))
+    account = (F.col("s_nationkey") * 8 + F.col("s_suppkey") % 8).cast("long").alias("account")
+    return identity.one_to_one(table(spark, sf_dir, "supplier").select("s_suppkey", account), "s_suppkey", "account")
 
 
 @query("j15_serial_bridge", "SELECT c_custkey, s_suppkey FROM customer JOIN supplier ON regexp_replace(upper(trim(c_name)), '[^0-9]', '', 'g') = regexp_replace(upper(trim(s_name)), '[^0-9]', '', 'g')")
@@ -94,15 +102,17 @@ def semi(spark, sf_dir):
     return table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders").where("o_orderstatus = 'F'"), F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey")
 
 
-@query("j_anti", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("j_anti", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 400000)")
 def anti(spark, sf_dir):
-    return table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    dear = table(spark, sf_dir, "orders").where("o_totalprice > 400000")
+    return table(spark, sf_dir, "customer").join(dear, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
 
 
-@query("p12_tuple_semi", "SELECT n_name FROM nation WHERE (n_nationkey, n_regionkey) IN ((0, 0), (1, 1), (2, 2), (3, 1))")
+@query("p12_tuple_semi", "SELECT c_custkey FROM customer WHERE (c_nationkey, c_custkey % 3) IN ((0, 0), (1, 1), (2, 2), (3, 1))")
 def p12(spark, sf_dir):
-    keys = spark.createDataFrame([(0, 0), (1, 1), (2, 2), (3, 1)], "n_nationkey int, n_regionkey int")
-    return table(spark, sf_dir, "nation").join(F.broadcast(keys), ["n_nationkey", "n_regionkey"], "left_semi").select("n_name")
+    keys = spark.createDataFrame([(0, 0), (1, 1), (2, 2), (3, 1)], "c_nationkey int, part long")
+    c = table(spark, sf_dir, "customer").withColumn("part", F.col("c_custkey") % 3)
+    return c.join(F.broadcast(keys), ["c_nationkey", "part"], "left_semi").select("c_custkey")
 
 
 @query("a1_counts", "SELECT l_returnflag, l_linestatus, count(*) AS n, count(DISTINCT l_orderkey) AS orders, count(DISTINCT CASE WHEN l_quantity > 25 THEN l_orderkey END) AS big_orders, count(*) FILTER (l_discount > 0.05) AS discounted, min(l_extendedprice) AS lo, max(l_extendedprice) AS hi, sum(l_quantity)::BIGINT AS quantity FROM lineitem GROUP BY 1, 2")
