@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import geo
+from ..operators import fibre, geo
 from ..sources.tables import table
 from .registry import query
 
@@ -107,3 +107,12 @@ def g3(spark, sf_dir):
     b = p.select(F.col("device").alias("b"), F.col("lat").alias("la"), F.col("lon").alias("lo"))
     x = p.join(b, F.floor(p.device / 10) * 10 == b.b)
     return x.select("device", F.round(geo.haversine(F.col("lat"), F.col("lon"), F.col("la"), F.col("lo")), 3).alias("d"))
+
+
+@query("d9_fibre_evidence")
+def d9(spark, sf_dir):
+    """Outages are nations; a third of the devices has failed, and most have an address."""
+    d = F.col("device")
+    named = lambda letter, n, c: F.when(d % 5 > 0, F.concat(F.lit(letter), (c % n).cast("string")))
+    x = places(spark, sf_dir).withColumns({"state": F.when(d % 3 == 0, "DOWN").when(d % 31 == 1, "UNKNOWN").otherwise("UP"), "house": named("h", 40, d), "road": named("r", 6, d), "locality": named("l", 5, d)})
+    return fibre.evidence(x.withColumnRenamed("nation", "outage"))
