@@ -33,6 +33,19 @@ def running_bad(hours: DataFrame, bad: Column, device: str = "user_id") -> DataF
     return hours.withColumn("bad_so_far", F.sum(bad.cast("long")).over(w))
 
 
+def bad_hours_so_far(events: DataFrame, failed: Column, device: str = "user_id") -> DataFrame:
+    """Adds `bad_so_far` to each event: hours of the device with a failure, up to and including its own hour as a whole.
+
+    The first failure of an hour stands for it, so one shuffle by device does; hours aren't built and joined back.
+    """
+    w = Window.partitionBy(device)
+    x = events.withColumn("_hour", hour_of("ts"))
+    last = F.max(F.when(failed, F.col("_hour"))).over(w.orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1))
+    x = x.withColumn("_new", (failed & ~F.coalesce(last == F.col("_hour"), F.lit(False))).cast("long"))
+    upto = w.orderBy("_hour").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    return x.withColumn("bad_so_far", F.sum("_new").over(upto)).drop("_hour", "_new")
+
+
 def gaps(successes: DataFrame, end: str, step: str, least_s: int, device: str = "user_id", carry: str | None = None) -> DataFrame:
     """Outages between neighbouring successes at least `least_s` seconds apart, and open ones against `end`.
 

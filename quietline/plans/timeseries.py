@@ -25,10 +25,9 @@ def events_of(spark, sf_dir):
 
 
 def gaps_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = events_of(spark, sf_dir)
-    hours = timeline.running_bad(timeline.device_hours(events), F.col("errors") > 0).select("user_id", "hour", "bad_so_far")
-    ok = events.where("event_type <> 'error'").withColumn("hour", timeline.hour_of("ts")).join(hours, ["user_id", "hour"])
-    return timeline.gaps(ok, END, "1 HOUR", 36_000, carry="bad_so_far")
+    events = events_of(spark, sf_dir).select("user_id", "ts", "event_id", "event_type")
+    marked = timeline.bad_hours_so_far(events, F.col("event_type") == "error")
+    return timeline.gaps(marked.where("event_type <> 'error'"), END, "1 HOUR", 36_000, carry="bad_so_far")
 
 
 FLAGSHIP = f"""
