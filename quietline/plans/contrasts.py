@@ -41,11 +41,14 @@ def d24(spark, sf_dir):
 
 
 @query("m9_signed_ranks", """WITH d AS (SELECT source, n_chars - 1500 AS d FROM labels JOIN documents USING (doc_id) WHERE n_chars <> 1500),
-r AS (SELECT source, d, 2 * rank() OVER (PARTITION BY source ORDER BY abs(d)) + count(*) OVER (PARTITION BY source, abs(d)) - 1 AS r FROM d)
-SELECT source, count(*) AS n, coalesce(sum(r) FILTER (d > 0), 0)::BIGINT AS w_plus2, coalesce(sum(r) FILTER (d < 0), 0)::BIGINT AS w_minus2 FROM r GROUP BY 1""")
+r AS (SELECT source, d, count(*) OVER (PARTITION BY source, abs(d)) AS t, 2 * rank() OVER (PARTITION BY source ORDER BY abs(d)) + count(*) OVER (PARTITION BY source, abs(d)) - 1 AS r FROM d),
+g AS (SELECT source, count(*) AS n, coalesce(sum(r) FILTER (d > 0), 0)::BIGINT AS w_plus2, coalesce(sum(r) FILTER (d < 0), 0)::BIGINT AS w_minus2, sum(t * t - 1) AS ties FROM r GROUP BY 1)
+SELECT source, n, w_plus2, w_minus2, ((w_plus2 - w_minus2) / (w_plus2 + w_minus2)::DOUBLE)::DECIMAL(18,8) AS rank_biserial, ((w_plus2 / 2.0::DOUBLE - n * (n + 1) / 4.0::DOUBLE) / sqrt(n * (n + 1) * (2 * n + 1) / 24.0::DOUBLE - ties / 48.0::DOUBLE))::DECIMAL(18,8) AS z FROM g""")
 def m9(spark, sf_dir):
     x = labelled(spark, sf_dir).withColumn("d", F.col("n_chars") - 1500)
-    return contrasts.signed_ranks(x, "source", "d").select("source", "n", "w_plus2", "w_minus2")
+    rows = contrasts.signed_ranks(x, "source", "d")
+    exact = lambda c: F.col(c).cast("decimal(18,8)").alias(c)
+    return rows.select("source", "n", "w_plus2", "w_minus2", exact("rank_biserial"), exact("z"))
 
 
 @query("m9_t_test", "SELECT source, count(*) AS n, avg(n_chars)::DECIMAL(18,6) AS mean, ((avg(n_chars) - 1500) / stddev_samp(n_chars) * sqrt(count(*)))::DECIMAL(18,6) AS t FROM labels JOIN documents USING (doc_id) GROUP BY 1 HAVING count(*) > 1 AND stddev_samp(n_chars) > 0")
@@ -54,15 +57,17 @@ def m9_t(spark, sf_dir):
     return x.where("t IS NOT NULL").select("source", "n", F.col("mean").cast("decimal(18,6)").alias("mean"), F.col("t").cast("decimal(18,6)").alias("t"))
 
 
-@query("d8_address_groups", """WITH c AS (SELECT c_nationkey, c_custkey, 'h' || c_custkey % 40 AS house, 'r' || c_custkey % 6 AS road, 'l' || c_custkey % 5 AS loc FROM customer),
-p AS (SELECT c_nationkey, 'HOUSE' AS scope, house AS part, road AS context FROM c UNION ALL SELECT c_nationkey, 'HOUSE', house, loc FROM c UNION ALL SELECT c_nationkey, 'GALI', road, loc FROM c),
-s AS (SELECT *, count(*) AS n FROM p GROUP BY ALL HAVING count(*) >= CASE scope WHEN 'HOUSE' THEN 2 ELSE 3 END)
-SELECT c_nationkey, scope, part, context, n FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY scope DESC, n DESC, part, context) AS k FROM s) WHERE k = 1""")
+@query("d8_address_groups", """WITH c AS (SELECT c_nationkey, c_custkey, 'h' || c_custkey % 40 AS house, 'r' || c_custkey % 6 AS road, 'l' || c_custkey % 5 AS loc, 0.5 + (c_custkey % 4) * 0.125::DOUBLE AS score FROM customer),
+p AS (SELECT c_nationkey, 'HOUSE' AS scope, house AS part, road AS context, score FROM c UNION ALL SELECT c_nationkey, 'HOUSE', house, loc, score FROM c UNION ALL SELECT c_nationkey, 'GALI', road, loc, score FROM c),
+s AS (SELECT c_nationkey, scope, part, context, count(*) AS n, sum(score) AS total FROM p GROUP BY ALL HAVING count(*) >= CASE scope WHEN 'HOUSE' THEN 2 ELSE 3 END)
+SELECT c_nationkey, scope, part, context, n, round(least(0.9, total / n), 2) AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY scope DESC, n DESC, total DESC, part, context) AS k FROM s) WHERE k = 1""")
 def d8(spark, sf_dir):
     c = F.col("c_custkey")
-    entity = lambda kind, letter, n: F.struct(F.lit(kind).alias("kind"), F.concat(F.lit(letter), c % n).alias("value"), F.lit(0.75).alias("score"))
-    rows = table(spark, sf_dir, "customer").select("c_nationkey", "c_custkey", F.inline(F.array(entity("house_details", "h", 40), entity("road", "r", 6), entity("locality", "l", 5))))
-    return contrasts.address_groups(rows, "c_nationkey", "c_custkey").drop("confidence")
+    score = 0.5 + (c % 4) * F.lit(0.125)
+    entity = lambda kind, letter, n: F.struct(F.lit(kind).alias("kind"), F.concat(F.lit(letter), c % n).alias("value"), score.alias("score"))
+    kinds = F.inline(F.array(entity("house_details", "h", 40), entity("road", "r", 6), entity("locality", "l", 5)))
+    rows = table(spark, sf_dir, "customer").select("c_nationkey", "c_custkey", kinds)
+    return contrasts.address_groups(rows, "c_nationkey", "c_custkey")
 
 
 @query("g9_profile")
