@@ -317,8 +317,11 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     def overlap(batches):
         for b in batches:
-            inter = [len(np.intersect1d(np.frombuffer(s, "<u8"), np.frombuffer(t, "<u8"), assume_unique=True)) for s, t in zip(b["tx"].to_pylist(), b["ty"].to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b["x"], b["y"], pa.array(inter, pa.int64()), b["nx"], b["ny"]], names=["x", "y", "inter", "nx", "ny"])
+            both = zip(b["tx"].to_pylist(), b["ty"].to_pylist(), strict=True)
+            sets_ = ((np.frombuffer(s, "<u8"), np.frombuffer(t, "<u8")) for s, t in both)
+            inter = [len(np.intersect1d(s, t, assume_unique=True)) for s, t in sets_]
+            columns = [b["x"], b["y"], pa.array(inter, pa.int64()), b["nx"], b["ny"]]
+            yield pa.RecordBatch.from_arrays(columns, names=["x", "y", "inter", "nx", "ny"])
 
     done = fed.mapInArrow(overlap, "x long, y long, inter long, nx long, ny long")
     return done.withColumn("linked", F.col("inter") * 100 >= (F.col("nx") + F.col("ny") - F.col("inter")) * percent)
@@ -331,78 +334,100 @@ def distance(inter, nx, ny):
 def links(sets: DataFrame, percent: int) -> DataFrame:
     """(a, b): links that connect what the links of all pairs connect."""
     far = 1 - percent / 100 + 1e-9  # distance of the threshold, with room for rounding; decisions are by integers
-    posted = sets.where(F.size("post") > 0).select("node", "n", "first", F.posexplode("post").alias("k", "token")).select("token", "node", "n", "first", (F.col("first") + F.col("k")).alias("pos"))
+    posted = sets.where(F.size("post") > 0).select("node", "n", "first", F.posexplode("post").alias("k", "token"))
+    posted = posted.select("token", "node", "n", "first", (F.col("first") + F.col("k")).alias("pos"))
     posted = stored(posted)
     # The centre of a list is its set with the fewest tokens of its own: of a text and its edited copies, that is the text.
-    lists = posted.groupBy("token").agg(F.min(F.struct("first", "node")).alias("m"), F.count("*").alias("c")).where("c > 1").select("token", F.col("m.node").alias("y"))
+    lists = posted.groupBy("token").agg(F.min(F.struct("first", "node")).alias("m"), F.count("*").alias("c"))
+    lists = lists.where("c > 1").select("token", F.col("m.node").alias("y"))
 
     # Round 1: one candidate for each set.
-    met = posted.join(lists, "token").where("node != y").groupBy(F.col("node").alias("x"), "y").agg(F.count("*").alias("c"))
-    best = met.groupBy("x").agg(F.max(F.struct("c", F.bitwise_not("y").alias("y"))).alias("m")).select("x", F.bitwise_not("m.y").alias("y"))
+    met = posted.join(lists, "token").where("node != y")
+    met = met.groupBy(F.col("node").alias("x"), "y").agg(F.count("*").alias("c"))
+    best = met.groupBy("x").agg(F.max(F.struct("c", F.bitwise_not("y").alias("y"))).alias("m"))
+    best = best.select("x", F.bitwise_not("m.y").alias("y"))
     own = sets.select(F.col("node").alias("x"), F.col("first").alias("own"))
     linked = verified(best, sets, percent).where("linked").join(own, "x")
-    first = stored(linked.select("x", "y", distance(F.col("inter"), F.col("nx"), F.col("ny")).alias("d"), (F.col("nx") - F.col("own") - F.col("inter")).alias("e")))
+    apart_by = distance(F.col("inter"), F.col("nx"), F.col("ny")).alias("d")
+    outside = (F.col("nx") - F.col("own") - F.col("inter")).alias("e")
+    first = stored(linked.select("x", "y", apart_by, outside))
     roots = stored(components(first.select(F.col("x").alias("a"), F.col("y").alias("b"))))
 
     # What is left: lists whose sets aren't connected yet.
     # e: tokens that a member shares with anything but its centre.
     member = first.select(F.col("x").alias("node"), F.col("y").alias("fam"), F.col("d").alias("a"), "e")
-    state = sets.select("node", "n", (F.col("n") - F.col("first")).alias("m")).join(member, "node", "left").join(roots, "node", "left").select("node", "n", "m", F.coalesce("fam", "node").alias("fam"), F.coalesce("a", F.lit(0.0)).alias("a"), F.coalesce("e", F.lit(0)).alias("e"), F.coalesce("root", "node").alias("root"))
-    state = stored(state)
+    state = sets.select("node", "n", (F.col("n") - F.col("first")).alias("m")).join(member, "node", "left").join(roots, "node", "left")
+    known = (F.coalesce("fam", "node").alias("fam"), F.coalesce("a", F.lit(0.0)).alias("a"), F.coalesce("e", F.lit(0)).alias("e"))
+    state = stored(state.select("node", "n", "m", *known, F.coalesce("root", "node").alias("root")))
     at = posted.join(state.drop("n", "m"), "node")
-    open_ = at.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("token")
+    open_ = at.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
+    open_ = open_.where("lo != hi").select("token")
     # A family in a list, by blocks of size (in powers of the threshold) and of what follows the position.
     step = float(np.log(100 / percent))
-    block = at.join(open_, "token").withColumn("band", F.floor(F.log("n") / step)).groupBy("token", "fam", "root", "band").agg(F.max(F.col("n") - F.col("pos")).alias("left"), F.max("n").alias("top"), F.min("n").alias("low"))
+    block = at.join(open_, "token").withColumn("band", F.floor(F.log("n") / step)).groupBy("token", "fam", "root", "band")
+    block = block.agg(F.max(F.col("n") - F.col("pos")).alias("left"), F.max("n").alias("top"), F.min("n").alias("low"))
     left, right = block.alias("l"), block.alias("r")
     near = F.col("l.top") * 100 >= F.col("r.low") * percent
     need = (F.col("l.low") + F.col("r.low")) * percent / (100 + percent)
     reach = (F.col("l.left") >= need - 1e-6) & (F.col("r.left") >= need - 1e-6)
     bands = left.withColumn("to", F.explode(F.array(F.col("l.band"), F.col("l.band") + 1))).alias("l")
-    pairs = bands.join(right, (F.col("l.token") == F.col("r.token")) & (F.col("l.to") == F.col("r.band")) & (F.col("l.root") != F.col("r.root"))).where(near & reach)
+    on = (F.col("l.token") == F.col("r.token")) & (F.col("l.to") == F.col("r.band")) & (F.col("l.root") != F.col("r.root"))
+    pairs = bands.join(right, on).where(near & reach)
     pairs = pairs.select(F.least("l.fam", "r.fam").alias("x"), F.greatest("l.fam", "r.fam").alias("y")).distinct()
     pairs = stored(pairs)
     centre = verified(pairs.where("x != y"), sets, percent)
     # A set has itself for a centre, too, so that a family's bounds hold for its centre.
-    family = state.select("fam", "a", "e", "n").unionByName(state.select(F.col("node").alias("fam"), F.lit(0.0).alias("a"), F.lit(0).cast("long").alias("e"), "n"))
+    own = state.select(F.col("node").alias("fam"), F.lit(0.0).alias("a"), F.lit(0).cast("long").alias("e"), "n")
+    family = state.select("fam", "a", "e", "n").unionByName(own)
     family = family.groupBy("fam").agg(F.max("a").alias("r"), F.max("e").alias("e"), F.min("n").alias("low"))
     side = lambda c: family.select(F.col("fam").alias(c), *(F.col(k).alias(k + c) for k in ("r", "e", "low")))
     centre = centre.join(side("x"), "x").join(side("y"), "y")
     # Integers at the threshold decide whether two centres link; the bounds only skip.
-    centre = stored(centre.withColumn("d", distance(F.col("inter"), F.col("nx"), F.col("ny"))).where(f"linked OR (d <= {far} + rx + ry AND {reaches('inter + ex + ey', 'lowx + lowy', percent)})").select("x", "y", "linked", "inter", "d", "rx", "ry", "ex", "ey", "lowx", "lowy"))
-    edges = first.select(F.col("x").alias("a"), F.col("y").alias("b")).unionByName(centre.where("linked").select(F.col("x").alias("a"), F.col("y").alias("b")))
+    centre = centre.withColumn("d", distance(F.col("inter"), F.col("nx"), F.col("ny")))
+    centre = centre.where(f"linked OR (d <= {far} + rx + ry AND {reaches('inter + ex + ey', 'lowx + lowy', percent)})")
+    centre = stored(centre.select("x", "y", "linked", "inter", "d", "rx", "ry", "ex", "ey", "lowx", "lowy"))
+    edge = (F.col("x").alias("a"), F.col("y").alias("b"))
+    edges = first.select(*edge).unionByName(centre.where("linked").select(*edge))
     # Families that are connected by now are done: their members are connected to their centres.
     roots = stored(components(edges))
     of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"o{c}"))
-    apart = centre.where("NOT linked").join(of("x"), "x", "left").join(of("y"), "y", "left").where("coalesce(ox, x) != coalesce(oy, y)")
+    apart = centre.where("NOT linked").join(of("x"), "x", "left").join(of("y"), "y", "left")
+    apart = apart.where("coalesce(ox, x) != coalesce(oy, y)")
     border = stored(apart.drop("linked", "ox", "oy"))
     if border.isEmpty():
         return edges
 
     # Centres against members, then members against members: only what the bounds leave and what isn't connected.
-    now = stored(state.drop("root").join(roots, "node", "left").select("node", "n", "m", "fam", "a", "e", F.coalesce("root", "node").alias("root")))
+    rooted_ = lambda r: stored(state.drop("root").join(r, "node", "left").select("node", "n", "m", "fam", "a", "e", F.coalesce("root", "node").alias("root")))
+    now = rooted_(roots)
     swap = {"x": "y", "y": "x", "rx": "ry", "ry": "rx", "ex": "ey", "ey": "ex", "lowx": "lowy", "lowy": "lowx"}
     turned = border.unionByName(border.select(*(F.col(c).alias(swap.get(c, c)) for c in border.columns)))
-    inside = now.select(F.col("fam").alias("x"), F.col("node").alias("u"), F.col("n").alias("nu"), F.col("m").alias("mu"), "a", "e", "root").where("u != x")
+    inside = now.select(F.col("fam").alias("x"), F.col("node").alias("u"), F.col("n").alias("nu"), F.col("m").alias("mu"), "a", "e", "root")
+    inside = inside.where("u != x")
     ends = now.select(F.col("node").alias("y"), F.col("root").alias("oy"), F.col("m").alias("my"))
     # In the centre a member and y share no more than either shares with it; outside, no more than either has there.
     most = "least(inter, mu - e) + least(e, my - inter) + ey"
     bound = f"root != oy AND a + ry >= d - {far} AND {reaches(most, 'nu + lowy', percent)}"
     ask = stored(turned.join(ends, "y").join(inside, "x").where(bound).select(F.col("u").alias("x"), "y").distinct())
-    asked = stored(verified(ask, sets, percent).select("x", "y", "linked", "inter", distance(F.col("inter"), F.col("nx"), F.col("ny")).alias("d")))
-    edges = stored(edges.unionByName(asked.where("linked").select(F.col("x").alias("a"), F.col("y").alias("b"))))
+    asked = stored(verified(ask, sets, percent).select("x", "y", "linked", "inter", apart_by))
+    edges = stored(edges.unionByName(asked.where("linked").select(*edge)))
 
     roots = stored(components(edges))
-    now = stored(state.drop("root").join(roots, "node", "left").select("node", "n", "m", "fam", "a", "e", F.coalesce("root", "node").alias("root")))
+    now = rooted_(roots)
     one = now.select(F.col("fam").alias("x"), F.col("node").alias("u"), F.col("n").alias("nu"), F.col("e").alias("eu"), F.col("root").alias("ou"))
     # What is known of a member and the other centre: the centre's own overlap if it is the centre, else what was asked.
-    of_centre = turned.select("x", "y", F.col("x").alias("u"), "inter", "d", F.col("inter").alias("between")).join(now.select(F.col("node").alias("u"), F.col("n").alias("nu"), F.col("root").alias("ou")), "u").select("x", "y", "u", "inter", "d", "between", "nu", F.lit(0).cast("long").alias("eu"), "ou")
-    of_member = asked.select(F.col("x").alias("u"), "y", "inter", "d").join(one, "u").join(turned.select("x", "y", F.col("inter").alias("between")), ["x", "y"]).select(of_centre.columns)
-    other = now.select(F.col("fam").alias("y"), F.col("node").alias("v"), F.col("n").alias("nv"), F.col("a").alias("av"), F.col("e").alias("ev"), F.col("root").alias("ov"))
-    bound = f"ou != ov AND u != v AND av >= d - {far} AND {reaches('inter + ev', 'nu + nv', percent)} AND {reaches('between + eu + ev', 'nu + nv', percent)}"
+    sized = now.select(F.col("node").alias("u"), F.col("n").alias("nu"), F.col("root").alias("ou"))
+    of_centre = turned.select("x", "y", F.col("x").alias("u"), "inter", "d", F.col("inter").alias("between")).join(sized, "u")
+    of_centre = of_centre.select("x", "y", "u", "inter", "d", "between", "nu", F.lit(0).cast("long").alias("eu"), "ou")
+    between = turned.select("x", "y", F.col("inter").alias("between"))
+    of_member = asked.select(F.col("x").alias("u"), "y", "inter", "d").join(one, "u").join(between, ["x", "y"]).select(of_centre.columns)
+    names = {"fam": "y", "node": "v", "n": "nv", "a": "av", "e": "ev", "root": "ov"}
+    other = now.select(*(F.col(c).alias(name) for c, name in names.items()))
+    bound = f"ou != ov AND u != v AND av >= d - {far} AND {reaches('inter + ev', 'nu + nv', percent)}"
+    bound += f" AND {reaches('between + eu + ev', 'nu + nv', percent)}"
     two = of_centre.unionByName(of_member).join(other, "y").where(bound)
     two = stored(two.select(F.least("u", "v").alias("x"), F.greatest("u", "v").alias("y")).distinct())
-    return edges.unionByName(verified(two, sets, percent).where("linked").select(F.col("x").alias("a"), F.col("y").alias("b")))
+    return edges.unionByName(verified(two, sets, percent).where("linked").select(*edge))
 
 
 def reaches(overlap: str, sizes: str, percent: int) -> str:
