@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html, linededup, masked_lm, mix, ngram_join, pii, quality, tokens, urls
+from . import decontaminate, html, linededup, masked_lm, mix, ngram_join, phrases, pii, quality, search, sharding, tokens, urls
 
 
 def tokenizer_path() -> str:
@@ -65,6 +65,20 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.find(docs, table(spark, sf_dir, "benchmark"), columns=["doc_id"]))
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mined(table(spark, sf_dir, "documents").select("text", "lang"))
+
+
+def op12_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = search.build(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return search.top(index, table(spark, sf_dir, "benchmark").select("item_id", "text"), "item_id")
+
+
+def op13_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = sharding.laid_out(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), 12)
+    return sharding.digest(sharding.resharded(store, 16, law="bytes"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -72,7 +86,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    every = (op1_ngram_join, op2_token_store, op3_quality, op4_mix, op5_pii, op6_masked_lm, op7_html, op8_urls, op9_line_dedup, op10_decontaminate, pipeline)
+    every = (op1_ngram_join, op2_token_store, op3_quality, op4_mix, op5_pii, op6_masked_lm, op7_html, op8_urls, op9_line_dedup, op10_decontaminate, op11_phrases, op12_search, op13_reshard, pipeline)
     return {f.__name__: f for f in every}
 
 
@@ -145,8 +159,36 @@ FROM d LEFT JOIN p ON p.doc_id = d.doc_id LEFT JOIN t ON t.doc_id = d.doc_id
 """
 
 
+OP11 = r"""
+WITH t AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM t),
+g AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS p FROM (SELECT lang, w, k, unnest(generate_series(1, len(w) - k + 1)) AS i FROM w, (VALUES (1), (2), (3), (4)) v(k))),
+f AS (SELECT lang, k, p, count(*) AS a FROM g GROUP BY lang, k, p),
+c AS (SELECT lang, k, p, a, string_split(p, ' ') AS ws FROM f WHERE k > 1 AND a >= 30),
+u AS (SELECT lang, p, k, a, j, array_to_string(ws[1:j], ' ') AS lp, array_to_string(ws[j + 1:k], ' ') AS rp FROM c, (VALUES (1), (2), (3)) v(j) WHERE j < k),
+s AS (SELECT u.lang, u.p, u.k, u.a, j, x.a AS l, y.a AS r, (2000000::HUGEINT * u.a) // (x.a + y.a) AS score FROM u JOIN f x ON x.lang = u.lang AND x.p = lp JOIN f y ON y.lang = u.lang AND y.p = rp),
+b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, p ORDER BY score, j) AS o FROM s) WHERE o = 1),
+i AS (SELECT lang, array_to_string(ws[j:j + m - 1], ' ') AS p, max(a) AS longer FROM c, (VALUES (1), (2), (3)) v(j), (VALUES (2), (3)) n(m) WHERE m < k AND j + m - 1 <= k GROUP BY ALL),
+n AS (SELECT lang, sum(a)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+o AS (SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.p) AS rank, b.p AS phrase, a, l, r, score::BIGINT AS score FROM b LEFT JOIN i ON i.lang = b.lang AND i.p = b.p WHERE i.p IS NULL OR 100 * longer < 80 * a)
+SELECT o.lang, rank::BIGINT AS rank, phrase, a, l, r, n, score FROM o JOIN n ON n.lang = o.lang WHERE rank <= 2000
+"""
+
+OP12 = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+q AS (SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark),
+q2 AS (SELECT item_id, t, count(*) AS q FROM q GROUP BY ALL),
+s AS (SELECT count(*) AS n_docs, sum(len(w))::BIGINT AS total FROM d WHERE len(w) > 0),
+m AS (SELECT doc_id, 75 + (25 * len(w) * n_docs) // total AS m FROM d, s WHERE len(w) > 0),
+p AS (SELECT doc_id, t, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS t FROM d) GROUP BY ALL),
+i AS (SELECT t, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM p, s GROUP BY t, n_docs),
+r AS (SELECT item_id, doc_id, sum(q * w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score FROM q2 JOIN i USING (t) JOIN p USING (t) JOIN m USING (doc_id) GROUP BY item_id, doc_id)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM r WHERE score > 0) WHERE rank <= 20
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_join": OP1, "op3_quality": OP3, "op9_line_dedup": OP9, "op10_decontaminate": OP10}
+    return {"op1_ngram_join": OP1, "op3_quality": OP3, "op9_line_dedup": OP9, "op10_decontaminate": OP10, "op11_phrases": OP11, "op12_search": OP12}
 
 
 ORACLE_NAMES = tuple(sorted(oracle_sql()))
