@@ -74,7 +74,7 @@ def test_whole(spark, law, shards):
     assert sorted(by) == list(range(shards))
     assert all(sorted(r["slot"] for r in own) == list(range(len(own))) for own in by.values())
     weights = [sum(r["size"] if law == "bytes" else 1 for r in own) for own in by.values()]
-    assert max(weights) - min(weights) <= (1 if law == "rows" else 0.02 * sum(weights) / shards)
+    assert max(weights) - min(weights) <= (1 if law == "rows" else 0.05 * sum(weights) / shards)
     assert {r["law"] for r in got} == {law} and {r["grown_shard"] for r in got} == {None}
     # What moved is what didn't fit, to a document or so a shard.
     weight = "size" if law == "bytes" else "one"
@@ -82,7 +82,7 @@ def test_whole(spark, law, shards):
     capacity = sharding.even(sum(old.values()), shards)
     least = sum(max(0, n - (capacity[s] if s < shards else 0)) for s, n in old.items())
     moved = store.select("hash", "shard", weight).join(new.select("hash", F.col("shard").alias("to")), "hash").where("shard <> to").agg(F.sum(weight)).first()[0]
-    assert least <= moved <= 1.02 * least + 1
+    assert least <= moved <= 1.05 * least
 
 
 def test_files_stay(spark):
