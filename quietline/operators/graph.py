@@ -40,6 +40,8 @@ def _contracted(edges: DataFrame) -> DataFrame:
     def contract(batches):
         held, n = [], 0
         for batch in batches:
+            if not batch.num_rows:
+                continue
             held.append((batch["a"].to_numpy(), batch["b"].to_numpy()))
             n += batch.num_rows
             if n >= LOT:
@@ -58,15 +60,24 @@ def _contracted(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame, store: Callable[[DataFrame], DataFrame] = cut) -> DataFrame:
     """(node, root) from (a, b): root is the smallest node that a node can reach. Nodes without edges aren't there.
 
-    A round contracts the edges of every task, and then sends every node's smallest neighbour along its edges ("star" steps):
-    first larger neighbours are hooked to the smallest one, then smaller ones. Stars of any size are sums over partial
-    aggregates; a hot node's join side can be split. Rounds end when no edge changes; paths shorten by a factor each time, so
-    their number is logarithmic. `store` computes a frame and cuts its lineage.
+    Tasks first contract their own edges, and then what is left in lots of LOT edges. What ends in a single lot is done. Else
+    rounds follow that send every node's smallest neighbour along its edges ("star" steps): first larger neighbours are
+    hooked to the smallest one, then smaller ones. Stars of any size are sums over partial aggregates; a hot node's join side
+    can be split. Each round is contracted like the input. Rounds end when no edge changes; paths shorten by a factor each
+    time, so their number is logarithmic. `store` computes a frame and cuts its lineage.
     """
     both = lambda e: e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    now = store(_contracted(edges.where("a != b").select(F.col("a").cast("long"), F.col("b").cast("long"))).distinct())
-    size = _print(now)
-    while size[0]:
+
+    def contracted(e):
+        """(edges, whether they are the components)."""
+        own = store(_contracted(e))
+        lots = -(-own.count() // LOT)
+        then = store(_contracted(own.repartition(max(1, lots))))
+        return (then if lots < 2 else store(then.distinct())), lots < 2
+
+    now, done = contracted(edges.where("a != b").select(F.col("a").cast("long"), F.col("b").cast("long")))
+    size = None if done else _print(now)
+    while not done:
         # Large star: of every node, hook the larger neighbours to the smallest of the node and its neighbours.
         sided = both(now)
         least = sided.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
@@ -75,11 +86,10 @@ def components(edges: DataFrame, store: Callable[[DataFrame], DataFrame] = cut)
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         hooked = F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b"))))
         small = large.join(low, "a").select(hooked.alias("e")).select("e.a", "e.b").where("a != b")
-        then = store(_contracted(small).distinct())
-        new = _print(then)
-        now, same, size = then, new == size, new
-        if same:
-            break
+        now, done = contracted(small)
+        if not done:
+            new = _print(now)
+            done, size = new == size, new
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 

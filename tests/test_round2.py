@@ -44,7 +44,9 @@ def test_clusters(spark, scale, most):
     assert got == {(k, i): c for k, g in groups.items() for i, c in brute_clusters(g, scale, 100.0, most).items()}
 
 
-def test_components(spark):
+@pytest.mark.parametrize("lot", [500_000, 20])
+def test_components(spark, monkeypatch, lot):
+    monkeypatch.setattr(graph, "LOT", lot)
     rnd = random.Random(2)
     edges = [(i, i + 1) for i in range(60)] + [(rnd.randrange(100, 400), rnd.randrange(100, 400)) for _ in range(200)]
     root = {}
