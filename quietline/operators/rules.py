@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 
 def device_state(age_s: Column, down_s: int = 600) -> Column:
@@ -24,13 +23,6 @@ def cell_states(devices: DataFrame, provider: str, cell: str, affected: str, sha
     return x.withColumn("state", F.when(F.col("down") * 1000 >= F.col("n") * int(share * 1000), "DOWN").otherwise("UP"))
 
 
-def target_cells(states: DataFrame, provider: str, cell: str) -> DataFrame:
-    """One cell a provider: of the DOWN ones (else all) that with the most DOWN providers, then the larger share, then the smaller id."""
-    down = F.count_if(F.col("state") == "DOWN").over(Window.partitionBy(cell))
-    w = Window.partitionBy(provider).orderBy(F.when(F.col("state") == "DOWN", 0).otherwise(1), F.desc("providers_down"), F.desc(F.col("down") / F.col("n")), cell)
-    return states.withColumn("providers_down", down).withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k")
-
-
 def decide(rules: list[tuple[str, Column]], otherwise: str) -> Column:
     """The name of the first rule that holds; a null condition doesn't."""
     out = F.lit(otherwise)
