@@ -6,11 +6,11 @@ counts need; in front stand, for each block, its first and last document and the
 
 A query is answered segment by segment. Lists are put in order of the most that they can add; those whose sum stays below the
 threshold can't make a document a hit alone, so documents come from the other lists (the pivot test of WAND). Of these lists
-only blocks are unpacked whose own maximum and the maxima of the blocks that lie beside them, found by moving over block
-boundaries alone, reach the threshold. Each document in them then gets a bound from the one block of each list that may hold it,
-and the remaining lists are unpacked in blocks that hold a document whose bound reaches the threshold. All of a segment's
-documents take each step together, in numpy. The threshold starts at a bound from block maxima of the whole corpus and rises
-with what a segment finds. A bound that equals the threshold is never skipped, as ties go by doc_id; so results are exact.
+only blocks are unpacked where the maxima of the blocks that lie side by side, summed over all lists by stretches of documents
+without unpacking anything, reach the threshold. Each document in them then gets a bound from the one block of each list that
+may hold it, and the remaining lists are unpacked in blocks that hold a document whose bound reaches the threshold. All of a
+segment's documents take each step together, in numpy. The threshold starts at a bound from block maxima of the whole corpus,
+and rises with what a segment finds, first in the best blocks of the lists that can add most. A bound that equals the threshold is never skipped, as ties go by doc_id; so results are exact.
 
 Terms are told apart by 64-bit hashes.
 """
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import texthash
-from .shared import kept, scratch, stored
+from .shared import kept, scratch, stored, tasks
 
 #: Characters of terms: ASCII letters and digits, and everything beyond ASCII.
 _BREAK = np.ones(256, bool)
@@ -37,6 +37,8 @@ for _lo, _hi in ("09", "AZ", "az"):
 BLOCK = 128
 #: A segment ends with the document that takes its text beyond this, or at this many documents.
 SEGMENT_BYTES, SEGMENT_DOCS = 16 << 20, 1 << 16
+#: Stretches of a segment's documents over which block maxima are summed, and lists whose best blocks are read first.
+STRETCHES, SEEDS = 64, 3
 #: Terms of items that one search takes to the tasks; more items take more searches, one after the other.
 QUERY_TERMS = 200_000
 
@@ -96,7 +98,7 @@ class Postings:
         self.first, self.last, self.most = (self.head[c].astype(np.int64) for c in ("first", "last", "most"))
         self.start = np.concatenate([[0], np.cumsum(self.head["n"], dtype=np.int64)])
         self.open = np.zeros(len(self.head), bool)
-        self.docs = self.tfs = None
+        self.docs = self.tfs = self.stretches = None
 
     def unpack(self, blocks: np.ndarray) -> None:
         blocks = blocks[~self.open[blocks]]
@@ -133,12 +135,14 @@ class Postings:
         inside[inside] = self.first[b[inside]] <= docs[inside]
         return np.where(inside, b, len(self.last))
 
-    def most_between(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-        """The largest impact of blocks that reach into each range of documents."""
-        i, j = np.searchsorted(self.last, lo), np.searchsorted(self.first, hi, side="right")
-        padded = np.append(self.most, 0)
-        out = np.maximum.reduceat(padded, np.stack([i, np.maximum(j, i)], axis=1).ravel())[::2]
-        return np.where(i < j, out, 0)
+    def by_stretch(self, width: int, n: int) -> np.ndarray:
+        """The largest impact of blocks that reach into each of n stretches of `width` documents."""
+        if self.stretches is None:
+            lo = np.arange(n) * width
+            i, j = np.searchsorted(self.last, lo), np.searchsorted(self.first, lo + width)
+            out = np.maximum.reduceat(np.append(self.most, 0), np.stack([i, np.maximum(j, i)], axis=1).ravel())[::2]
+            self.stretches = np.where(i < j, out, 0)
+        return self.stretches
 
     def scores(self, docs: np.ndarray, m: np.ndarray) -> np.ndarray:
         """Impact of the term in each document; blocks that may hold one are unpacked."""
@@ -159,46 +163,57 @@ class Postings:
         return out
 
 
+def _of_blocks(p: Postings, blocks: np.ndarray) -> np.ndarray:
+    """The documents of some blocks of a list."""
+    p.unpack(blocks)
+    n = np.diff(p.start)[blocks]
+    return p.docs[np.repeat(p.start[blocks] - (np.cumsum(n) - n), n) + np.arange(n.sum())] if len(blocks) else np.zeros(0, np.int64)
+
+
 def best(lists: list[tuple[int, Postings]], m: np.ndarray, ids: np.ndarray, k: int, threshold: int) -> tuple[np.ndarray, np.ndarray]:
     """(documents, scores): the k best of a segment by score, then id, of those with a score above 0 and from `threshold` on."""
-    none = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    none = np.zeros(0, np.int64)
+    got, scores, threshold = none, none, max(threshold, 1)
     lists = sorted(((w, p) for w, p in lists if w > 0), key=lambda x: x[0] * int(x[1].most.max()))
-    threshold = max(threshold, 1)
-    sums = np.cumsum([w * int(p.most.max()) for w, p in lists]) if lists else np.zeros(0, np.int64)
-    pivot = int(np.searchsorted(sums, threshold))  # the lists before it don't reach the threshold together
-    if pivot == len(lists):
-        return none
-    found = []
-    for j in range(pivot, len(lists)):
-        w, p = lists[j]
-        bound = w * p.most
-        for i, (v, o) in enumerate(lists):
-            if i != j:
-                bound = bound + v * o.most_between(p.first, p.last)
-        blocks = np.flatnonzero(bound >= threshold)
-        p.unpack(blocks)
-        n = np.diff(p.start)[blocks]
-        found.append(p.docs[np.repeat(p.start[blocks] - (np.cumsum(n) - n), n) + np.arange(n.sum())] if len(blocks) else none[0])
-    docs = np.unique(np.concatenate(found))
-    bound = np.zeros(len(docs), np.int64)
-    for w, p in lists:
-        bound += w * np.append(p.most, 0)[p.block_of(docs)]
-    order = np.argsort(-bound, kind="stable")
-    docs, bound = docs[order], bound[order]
-    got, scores, at, step = none[0], none[1], 0, 4 * k
-    while at < len(docs) and bound[at] >= threshold:
-        end = min(at + step, int(np.searchsorted(-bound, -threshold, side="right")))
-        part = docs[at:end]
-        score = np.zeros(len(part), np.int64)
+    sums = np.cumsum([w * int(p.most.max()) for w, p in lists]) if lists else none
+    if not lists or sums[-1] < threshold:
+        return none, none
+    width = -(-len(m) // STRETCHES)
+    beside = np.array([w for w, _ in lists]) @ np.stack([p.by_stretch(width, STRETCHES) for _, p in lists])
+
+    def score(docs):
+        """Scores documents from the highest bound down, as long as bounds reach the threshold."""
+        nonlocal got, scores, threshold
+        docs = docs[beside[docs // width] >= threshold]
+        bound = np.zeros(len(docs), np.int64)
         for w, p in lists:
-            score += w * p.scores(part, m)
-        got, scores = np.concatenate([got, part]), np.concatenate([scores, score])
-        keep = np.lexsort((ids[got], -scores))
-        keep = keep[scores[keep] >= threshold][:k]
-        got, scores = got[keep], scores[keep]
-        if len(got) == k:
-            threshold = max(threshold, int(scores[-1]))
-        at, step = end, step * 4
+            bound += w * np.append(p.most, 0)[p.block_of(docs)]
+        order = np.argsort(-bound, kind="stable")
+        docs, bound = docs[order], bound[order]
+        at, step = 0, 4 * k
+        while at < len(docs) and bound[at] >= threshold:
+            end = min(at + step, int(np.searchsorted(-bound, -threshold, side="right")))
+            part = docs[at:end]
+            found = np.zeros(len(part), np.int64)
+            for w, p in lists:
+                found += w * p.scores(part, m)
+            got, scores = np.concatenate([got, part]), np.concatenate([scores, found])
+            keep = np.lexsort((ids[got], -scores))
+            keep = keep[scores[keep] >= threshold][:k]
+            got, scores = got[keep], scores[keep]
+            if len(got) == k:
+                threshold = max(threshold, int(scores[-1]))
+            at, step = end, step * 4
+
+    # The best block of the lists that can add most gives a threshold to begin with.
+    first = np.unique(np.concatenate([_of_blocks(p, np.array([int(p.most.argmax())])) for _, p in lists[-SEEDS:]]))
+    score(first)
+    found = []
+    for _, p in lists[int(np.searchsorted(sums, threshold)) :]:  # those before don't reach the threshold together
+        reach = np.maximum.reduceat(np.append(beside, 0), np.stack([p.first // width, p.last // width + 1], axis=1).ravel())[::2]
+        found.append(_of_blocks(p, np.flatnonzero(reach >= threshold)))
+    if found:
+        score(np.setdiff1d(np.concatenate(found), first))
     return got, scores
 
 
@@ -350,5 +365,5 @@ def _searched(index: DataFrame, asked: DataFrame, n_docs: int, k: int) -> DataFr
         return pa.table({"query": pa.array(out[0], pa.int64()), "doc_id": pa.array(out[1], pa.int64()), "score": pa.array(out[2], pa.int64())})
 
     used = lists.unionByName(index.where("term IS NULL").select(*lists.columns))
-    hits = used.select("segment", "term", "head", "body").groupBy("segment").applyInArrow(search, "query long, doc_id long, score long")
+    hits = used.select("segment", "term", "head", "body").repartition(tasks(spark), "segment").groupBy("segment").applyInArrow(search, "query long, doc_id long, score long")
     return hits.join(F.broadcast(asked.select("query", "key").distinct()), "query")
