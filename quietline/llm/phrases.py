@@ -29,7 +29,7 @@ from .shared import stored, tasks
 #: Bits of a bitmap of frequent hashes: 8 MB, whatever the corpus.
 BITS = 26
 #: Entries that a task sums before it hands them on.
-HELD = 1 << 19
+HELD = 1 << 20
 LONGEST = 4
 
 _PIECE = np.zeros(256, bool)
@@ -227,7 +227,7 @@ def grow(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBat
         if last:
             whole(x[:last], n[:last], out)
             x, n = x[last:], n[last:]
-        if len(x) > HELD // 4:  # one prefix of two words: its complete prefixes of three become one row each
+        if len(x) > HELD // 8:  # one prefix of two words: its complete prefixes of three become one row each
             open_ = int(np.flatnonzero(x[:, 2] != x[-1, 2])[-1]) + 1 if (x[:, 2] != x[-1, 2]).any() else 0
             if open_:
                 done = x[:open_], n[:open_]
