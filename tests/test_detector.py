@@ -1,12 +1,14 @@
 """The detector: a stream gives what a batch gives, and outages open and close by the rules."""
 
 import datetime as dt
+import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from quietline.operators import contrasts, geo
 from quietline.plans import live
-from quietline.streaming import detector
+from quietline.streaming import detector, ticks
 
 SF_DIR = "/root/testdata/sf0.001"
 T0 = dt.datetime(2024, 1, 1)
@@ -16,28 +18,243 @@ def at(minutes):
     return T0 + dt.timedelta(minutes=minutes)
 
 
-def test_stream_equals_batch(spark, tmp_path):
+MESSAGES = "device long, provider long, ts timestamp_ntz, up boolean, event_id long"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@pytest.fixture
+def rocks(spark):
+    wanted = {"spark.sql.streaming.stateStore.providerClass": ROCKS, "spark.sql.streaming.noDataMicroBatches.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    yield spark
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def numbered(rows):
+    return [(*r, k) for k, r in enumerate(sorted(rows, key=lambda r: r[2]))]
+
+
+def brute(rows, ticks, cap=21_600, bases=None):
+    """The rules, tick by tick and device by device. rows: (device, provider, minute, up) in order; minutes may be fractions."""
+    log = {}
+    for d, p, t, up in rows:
+        if d not in log or t > log[d][1][-1][0]:
+            log.setdefault(d, (p, []))[1].append((t, up))
+
+    def state(d, now):
+        """(last success, whether the run of now has recovered it, by then)."""
+        last = start = third = None
+        n, seen = 0, None
+        for t, up in log[d][1]:
+            if t > now:
+                break
+            if start is not None and third is not None and max(start + 15, third) < min(t if not up else 1e9, last + 10):
+                seen = (start, max(start + 15, third)) if max(start + 15, third) <= now else seen
+                done.setdefault(d, set()).update([seen] if seen else [])
+            if not up:
+                start, third, n = None, None, 0
+            else:
+                if start is None or t - last >= 10:
+                    start, third, n = t, None, 0
+                n, last = n + 1, t
+                third = t if n == 3 else third
+        if start is not None and third is not None and max(start + 15, third) <= now and max(start + 15, third) < last + 10:
+            done.setdefault(d, set()).add((start, max(start + 15, third)))
+        return last
+
+    done, open_, out = {}, {}, []
+    for now in ticks:
+        last = {d: state(d, now) for d in log}
+        back = {d: [s for s, r in done.get(d, ()) if r <= now] for d in log}
+        for o in [o for o in out if o["closed"] is None]:
+            n = sum(any(s > o["last"][d] for s in back[d]) for d in o["members"])
+            if 10 * n >= 9 * len(o["members"]) or now - o["opened"] >= cap:
+                o["closed"], o["why"] = now, "RECOVERED" if 10 * n >= 9 * len(o["members"]) else "AGE_CAP"
+                for d in o["members"]:
+                    open_.pop(d)
+        for p in sorted({v[0] for v in log.values()}):
+            free = [d for d in sorted(log) if log[d][0] == p and last[d] is not None and 10 <= now - last[d] <= 30 and d not in open_]
+            small = [d for d in free if now - last[d] >= 15]
+            base = sum(log[d][0] == p and last[d] is not None and now - last[d] <= 1440 for d in log) if bases is None else bases
+            members = None
+            if now % 10 == 0 and len(free) >= 26:
+                members = free
+            elif now % 15 == 0 and (len(small) >= 10 or (base and len(small) >= 3 and 4 * len(small) >= base)):
+                members = small
+            if members:
+                out.append({"provider": p, "opened": now, "members": members, "last": {d: last[d] for d in members}, "closed": None, "why": None})
+                open_ |= dict.fromkeys(members, now)
+    return out
+
+
+def batch(spark, rows, end, base="live", cap=detector.CAP_MIN):
+    """Outages by (provider, opened minute): (tier, size, closed minute, why, devices, first failure)."""
+    m = spark.createDataFrame(numbered([(d, p, at(t), up) for d, p, t, up in rows]), MESSAGES)
+    r = detector.device_runs(m, "event_id")
+    q = detector.silent(r, str(at(end)))
+    q = detector.with_base(q, r) if base == "live" else q.withColumn("base", F.lit(base).cast("long"))
+    found = detector.members(q, str(at(end)), cap).cache()
+    minute = lambda t: None if t is None else (t - T0).total_seconds() / 60
+    of = {}
+    for x in found.collect():
+        of.setdefault((x.provider, minute(x.opened)), []).append(x.device)
+    return {(o.provider, minute(o.opened)): (o.tier, o.size, minute(o.closed_at), o.close_reason, sorted(of[o.provider, minute(o.opened)]), minute(o.first_fail_at)) for o in detector.outages(found).collect()}
+
+
+def up_at(devices, minutes, provider=1, up=True):
+    return [(d, provider, m, up) for d in devices for m in minutes]
+
+
+def alive(n, provider=1, first=1000, until=300):
+    """Devices that are well all the time, which make up a base."""
+    return up_at(range(first, first + n), range(0, until, 5), provider)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_brute(spark, seed):
+    r = random.Random(seed)
+    rows = []
+    for d in range(90):
+        t = r.random() * 20
+        while t < 240:
+            gap = r.choice([3, 4, 5, 5, 5, 6, 12, 40]) if d % 3 else 5
+            rows.append((d, d % 2 + 1 if d % 7 else 3, round(t, 2), r.random() < 0.93))
+            t += gap
+        if d < 60:
+            cut = r.choice([50, 52.5, 120])
+            rows = [x for x in rows if x[0] != d or not cut < x[2] < cut + 35]
+    want = {(o["provider"], o["opened"]): (len(o["members"]), o["closed"], o["why"], o["members"], min(o["last"].values()) + 5) for o in brute(sorted(rows, key=lambda x: x[2]), range(0, 241, 5), 100)}
+    got = {k: (v[1], v[2], v[3], v[4], v[5]) for k, v in batch(spark, rows, 240, cap=100).items()}
+    assert set(got) == set(want) and len(want) > 2
+    for k, w in want.items():
+        assert got[k][:4] == w[:4] and abs(got[k][4] - w[4]) < 1e-6
+
+
+def test_detection_state(spark):
+    """AC-1: the clock of failures, eligibility, messages that come again, gaps that break a run."""
+    rows = up_at([1], [0, 5]) + up_at([1], [40]) + up_at([2], [0]) + up_at([2], [5, 10, 15], up=False) + up_at([3], [0]) + [(2, 1, 5, False)]
+    m = spark.createDataFrame(numbered([(d, p, at(t), up) for d, p, t, up in rows]), MESSAGES)
+    runs = detector.device_runs(m, "event_id")
+    got = {(x.device, (x.ts - T0).seconds // 60): x for x in runs.collect()}
+    assert got[1, 40].run_start == at(40) and got[1, 40].run_count == 1 and got[1, 5].run_count == 2
+    assert len([k for k in got if k[0] == 2]) == 4  # the copy is dropped
+    quiet = {(x.device, (x.tick - T0).seconds // 60): (x.big, x.small) for x in detector.silent(runs, str(at(120))).collect()}
+    for d in (2, 3):  # misses and silence keep the same clock
+        assert {t: v for (x, t), v in quiet.items() if x == d} == {10: (True, False), 15: (False, True), 20: (True, False), 30: (True, True)}
+    assert not any(t > 35 for _, t in quiet if _ != 1)  # beyond 30 minutes nobody counts
+
+
+def creation(name):
+    base = alive(470)
+    return {
+        "2.1": (up_at(range(150), [4]), 400, {(1, 20): ("LARGE", 150)}),
+        "2.2": (up_at(range(8), [58]) + up_at(range(100, 130), [63]) + alive(5), 500, {(1, 80): ("MEDIUM", 38)}),
+        "2.3": (up_at(range(11), [15]) + up_at(range(100, 190), [19]) + alive(5), 400, {(1, 30): ("LARGE", 101)}),
+        "2.4": (up_at(range(40), [8]) + up_at(range(100, 111), [29]), 400, {(1, 20): ("MEDIUM", 40), (1, 45): ("SMALL", 11)}),
+        "2.5": (up_at(range(4), [0]), 16, {(1, 15): ("MICRO", 4)}),
+        "2.6": (up_at(range(4), [0]), None, {}),
+        "2.7": (up_at(range(9), [0]), 200, {}),
+        "2.8": (up_at(range(20), [0]) + up_at(range(50, 70), [0], 2), 400, {(1, 15): ("SMALL", 20), (2, 15): ("SMALL", 20)}),
+    }[name] + (base,)
+
+
+@pytest.mark.parametrize("name", ["2.1", "2.2", "2.3", "2.4", "2.5", "2.6", "2.7", "2.8"])
+def test_creation(spark, name):
+    """AC-2. In 2.8 the large check finds 20 for each provider and opens nothing; the small one does at its own tick."""
+    rows, base, want, _ = creation(name)
+    got = batch(spark, rows, 100, base)
+    assert {k: v[:2] for k, v in got.items()} == want
+    if name == "2.1":
+        assert got[1, 20][5] == 9
+    assert name != "2.8" or (1, 10) not in got
+
+
+def test_recovery(spark):
+    """AC-3.1 and 3.2: three successes and fifteen minutes, without a fourth; a failure breaks the run."""
+    rows = up_at([1], [0, 8]) + up_at([1], [8.5], up=False) + up_at([2], [0, 5, 10]) + up_at([3], [0, 5, 10]) + up_at([3], [15], up=False) + up_at([4], [0, 2, 4.99]) + up_at([5], [0, 2, 5])
+    m = spark.createDataFrame(numbered([(d, p, at(t), up) for d, p, t, up in rows]), MESSAGES)
+    got = {x.device: (x.recovered_at - T0).seconds / 60 for x in detector.recoveries(detector.device_runs(m, "event_id")).collect()}
+    assert got == {2: 15}  # 3 fails just then; 4 and 5 are silent for ten minutes before, and just then
+
+
+@pytest.mark.parametrize(("size", "back", "closes"), [(20, 18, True), (20, 17, False), (15, 13, False), (15, 14, True)])
+def test_closing(spark, size, back, closes):
+    """AC-3.3 and 3.4: nine tenths, compared exactly."""
+    rows = up_at(range(size), [0]) + up_at(range(back), [40, 45, 50, 55])
+    (_, n, closed, why, _, _), = batch(spark, rows, 65, 400).values()
+    assert n == size and (closed, why) == ((55, "RECOVERED") if closes else (None, None))
+
+
+def test_age_cap(spark):
+    """AC-3.5."""
+    (_, _, closed, why, _, _), = batch(spark, up_at(range(12), [0]), 21_700, 400).values()
+    assert (closed, why) == (15 + 21_600, "AGE_CAP")
+
+
+def test_fails_again(spark):
+    """AC-3.6: released devices that fail again join a new outage; while that is open, they don't join another."""
+    got = batch(spark, up_at(range(12), [0, 40, 45, 50, 55, 1500]), 1600, 400)
+    assert {k: (v[1], v[2]) for k, v in got.items()} == {(1, 15): (12, 55), (1, 75): (12, None)}
+
+
+def test_pause(spark):
+    """Over 30 of 100 failing devices stop every provider's outages; exactly 30 don't."""
+    for n, stops in ((30, False), (31, True)):
+        rows = up_at(range(n), [3]) + up_at(range(500, 600 - n), range(0, 60, 5), 2)
+        m = spark.createDataFrame(numbered([(d, p, at(t), up) for d, p, t, up in rows]), MESSAGES)
+        r = detector.device_runs(m, "event_id")
+        q, paused = detector.with_base(detector.silent(r, str(at(55))), r), detector.paused_ticks(r)
+        assert {x.tick: (x.failing, x.population, x.paused) for x in paused.collect()}[at(20)] == (n, 100, stops)
+        assert bool(detector.members(q, str(at(55)), paused=paused).count()) != stops
+        assert detector.members(q, str(at(55))).count() == n
+
+
+def test_receipts(spark):
+    """A receipt for each provider and tick, once; what comes too late is skipped."""
+    providers = spark.createDataFrame([(1,), (2,), (1,)], "provider long")
+    ticks = spark.createDataFrame([(at(10), at(10)), (at(15), at(20)), (at(20), at(25.1))], "tick timestamp_ntz, evaluated_at timestamp_ntz")
+    found = spark.createDataFrame([(1, at(10)), (1, at(20))], "provider long, opened timestamp_ntz")
+    got = detector.receipts(providers, ticks, found)
+    assert {(x.provider, x.tick): x.result for x in got.collect()} == {(1, at(10)): "OPENED", (2, at(10)): "NOTHING", (1, at(15)): "NOTHING", (2, at(15)): "NOTHING", (1, at(20)): "STALE", (2, at(20)): "STALE"}
+    assert detector.receipts(providers, ticks, found, got).count() == 0
+    assert detector.keep_new(found, got).count() == 0
+
+
+def test_stream_of_runs(rocks, tmp_path):
+    spark = rocks
     m = live.messages(spark, SF_DIR)
     extra = m.where("event_id % 7 = 0").withColumn("event_id", F.col("event_id") + 50_000)  # late copies
     m = m.unionByName(extra).orderBy("event_id").coalesce(1).cache()
     m.write.option("maxRecordsPerFile", 10_000).parquet(str(tmp_path / "in"))
     s = spark.readStream.schema(m.schema).parquet(str(tmp_path / "in"))
     q = detector.stream_runs(s, "event_id").writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
+    assert q.awaitTermination(120)
     got, want = spark.read.parquet(str(tmp_path / "out")), detector.device_runs(m, "event_id")
     assert got.count() == want.count() > 0
     assert got.exceptAll(want).count() == 0
 
 
-def test_outage(spark):
-    rows = [(d, 1, at(k), True, d * 100 + k) for d in range(4) for k in (0, 1, 2)]  # four devices fall silent after 2 minutes
-    rows += [(d, 1, at(k), True, d * 1000 + k) for d in range(4) for k in (40, 48, 56)]  # and come back
-    rows += [(9, 1, at(k), True, 90_000 + k) for k in range(0, 60, 5)]
-    m = spark.createDataFrame(rows, "device long, provider long, ts timestamp_ntz, up boolean, event_id long")
-    r = detector.device_runs(m, "event_id")
-    got = detector.outages(detector.with_base(detector.silent(r, str(at(60))), r)).collect()
-    assert [(x.opened, x.kind, x.tier, x.size, x.base, x.closed, x.devices) for x in got] == [(at(30), "small", 3, 4, 5, at(56), [0, 1, 2, 3])]
-    assert detector.keep_new(spark.createDataFrame(got), spark.createDataFrame(got)).count() == 0
+def test_stream_of_outages(rocks, tmp_path):
+    """Messages, through both streams in several batches, give what the whole table gives; running a tick again adds nothing."""
+    spark, root = rocks, str(tmp_path)
+    rows = up_at(range(30), [1]) + up_at(range(28), [22, 27, 32]) + up_at(range(50, 60), range(0, 42, 5)) + up_at(range(80, 83), [2], 2) + up_at([83], range(0, 42, 5), 2)
+    m = numbered([(d, p, at(t), up) for d, p, t, up in rows])
+    for k in range(3):  # three files, in order of time
+        part = [x for x in m if k * 15 <= (x[2] - T0).seconds / 60 < (k + 1) * 15]
+        spark.createDataFrame(part, MESSAGES).coalesce(1).write.parquet(f"{root}/in/{k}")
+    s = spark.readStream.schema(MESSAGES).option("maxFilesPerTrigger", 1).parquet(f"{root}/in/*")
+    assert ticks.stream(detector.stream_runs(s, "event_id"), f"{root}/state", f"{root}/c").awaitTermination(300)
+    opened = {(x.provider, (x.opened - T0).seconds // 60): (x.kind, x.size, x.closed_at and (x.closed_at - T0).seconds // 60, x.close_reason) for x in ticks.members(spark, f"{root}/state").collect()}
+    want = {k: (v[1], v[2], v[3]) for k, v in batch(spark, rows, 39.9).items()}
+    assert {k: v[1:] for k, v in opened.items()} == want and len(want) > 1
+    ledger = ticks.read(spark, f"{root}/state", "ledger", ticks.LEDGER)
+    assert ledger.count() == ledger.select("provider", "tick").distinct().count() >= 16
+    before = ticks.members(spark, f"{root}/state").count()
+    ticks.advance(spark.createDataFrame([], detector.RUNS), 99, f"{root}/state")
+    assert (ticks.members(spark, f"{root}/state").count(), ledger.count()) == (before, ticks.read(spark, f"{root}/state", "ledger", ticks.LEDGER).count())
 
 
 def test_shapes(spark):
