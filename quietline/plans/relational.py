@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..operators import identity
+from ..operators import identity, leaves
 from ..sources import tables
 from ..sources.tables import table
 from .registry import query
@@ -247,6 +247,30 @@ def f44(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.explode(F.from_json("props", "map<string,string>")).alias("leaf", "value"))
 
 
+#: An order as a document: objects and arrays within each other.
+TREES = "tr AS (SELECT o_orderkey, to_json({'order': o_orderkey, 'meta': {'status': o_orderstatus, 'more': {'priority': o_orderpriority, 'clerk no': CASE WHEN o_orderkey % 3 > 0 THEN o_custkey END}}, 'lines': lines}) AS j FROM orders JOIN (SELECT l_orderkey, list({'n': l_linenumber, 'part': l_partkey, 'flags': [l_returnflag, l_linestatus]} ORDER BY l_linenumber, l_partkey, l_suppkey) AS lines FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey)"
+
+
+def trees(spark, sf_dir):
+    line = F.struct(F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("part"), F.array("l_returnflag", "l_linestatus").alias("flags"))
+    rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", line.alias("x")))).alias("l"))
+    more = F.struct(F.col("o_orderpriority").alias("priority"), F.when(F.col("o_orderkey") % 3 > 0, F.col("o_custkey")).alias("clerk no"))
+    whole = F.struct(F.col("o_orderkey").alias("order"), F.struct(F.col("o_orderstatus").alias("status"), more.alias("more")).alias("meta"), F.col("l.x").alias("lines"))
+    return table(spark, sf_dir, "orders").join(rows, "o_orderkey").select("o_orderkey", F.to_json(whole, {"ignoreNullFields": "false"}).alias("j"))
+
+
+@query("f44_leaves", f"WITH {TREES} SELECT o_orderkey, t.fullkey AS path, json_extract_string(t.value, '$') AS value FROM tr, json_tree(tr.j) t WHERE t.type NOT IN ('OBJECT', 'ARRAY')")
+def f44_deep(spark, sf_dir):
+    return leaves.leaves(trees(spark, sf_dir), ["o_orderkey"], "j")
+
+
+@query("f43_wildcards", f"""WITH {TREES} SELECT o_orderkey, t.fullkey AS path, json_extract_string(t.value, '$') AS value FROM tr, json_tree(tr.j) t WHERE regexp_full_match(t.fullkey, '\\$\\.lines\\[[0-9]+\\]\\.flags\\[1\\]')
+UNION ALL SELECT o_orderkey, t.fullkey, json_extract_string(t.value, '$') FROM tr, json_tree(tr.j) t WHERE regexp_full_match(t.fullkey, '\\$\\.meta\\.[a-z]+\\."clerk no"')""")
+def f43_wild(spark, sf_dir):
+    x = trees(spark, sf_dir)
+    return leaves.at_path(x, ["o_orderkey"], "j", "$.lines[*].flags[1]").unionByName(leaves.at_path(x, ["o_orderkey"], "j", '$.meta.*["clerk no"]'))
+
+
 @query("f45_leaf_reducers", "SELECT vec_id, list_min(embedding)::DOUBLE AS lo, list_max(embedding)::DOUBLE AS hi, len(list_filter(embedding, lambda x: x > 0))::BIGINT AS positive, list_sort(embedding)[33]::DOUBLE AS middle FROM embeddings")
 def f45(spark, sf_dir):
     e = F.col("embedding")
