@@ -187,13 +187,63 @@ def in_bounds(lat: Column, lon: Column, south: float = 6, north: float = 38, wes
     return F.coalesce(lat.between(south, north) & lon.between(west, east), F.lit(False))
 
 
-def inside_rings(points: DataFrame, rings: DataFrame, ring: str, lat: str = "lat", lon: str = "lon", size: float = 0.02) -> DataFrame:
-    """Points with the columns of each ring that they lie in. Rings are sent to the cells of their bounds, points to their own."""
+#: Degrees of the widest squares, sizes of squares (each half as wide as the one before), and how often one on a border is cut.
+WIDEST, SIZES, CUTS = 40.96, 14, 5
+
+
+def _meets(ring: Column, lat: Column, lon: Column, size: Column) -> Column:
+    """Whether an edge of a ring meets the square that begins at a place: no line along a side or along the edge parts them."""
+    eps = 1e-9
+    south, north, west, east = lat - eps, lat + (size + eps), lon - eps, lon + (size + eps)
+    edges = F.transform(ring, lambda p, k: F.struct(p.alias("a"), F.get(ring, F.pmod(k + 1, F.size(ring))).alias("b")))
+
+    def meets(e):
+        a, b = e["a"], e["b"]
+        beside = (F.greatest(a["lat"], b["lat"]) < south) | (F.least(a["lat"], b["lat"]) > north) | (F.greatest(a["lon"], b["lon"]) < west) | (F.least(a["lon"], b["lon"]) > east)
+        side = lambda y, x: (b["lon"] - a["lon"]) * (y - a["lat"]) - (b["lat"] - a["lat"]) * (x - a["lon"])
+        corners = [side(y, x) for y in (south, north) for x in (west, east)]
+        return ~beside & (F.least(*corners) <= 0) & (F.greatest(*corners) >= 0)
+
+    return F.exists(edges, meets)
+
+
+def covering(rings: DataFrame, ring: str) -> DataFrame:
+    """`rings` with (_level, _x, _y, _inner): squares that cover each ring, and whether they lie in it wholly.
+
+    Squares begin about as wide as the ring. One that no edge meets is in the ring or goes, by its middle; one that an edge
+    meets is cut into four, CUTS times. So a ring of any size has some hundred squares along its border, and only those need
+    its edges. One pass: a square that is settled is handed on as it is.
+    """
     bound = lambda f, c: f(F.transform(ring, lambda p: p[c]))
-    cells = lambda c: F.sequence(F.floor(bound(F.array_min, c) / size), F.floor(bound(F.array_max, c) / size))
-    sent = rings.withColumn("_x", F.explode(cells("lat"))).withColumn("_y", F.explode(cells("lon")))
-    own = points.withColumns({"_x": square(lat, size), "_y": square(lon, size)})
-    return own.join(sent, ["_x", "_y"]).where(inside(F.col(lat), F.col(lon), F.col(ring))).drop("_x", "_y")
+    extent = F.greatest(*(bound(F.array_max, c) - bound(F.array_min, c) for c in ("lat", "lon")), F.lit(1e-9))
+    top = F.greatest(F.lit(0), F.least(F.lit(SIZES - 1), F.floor(F.log2(WIDEST / extent)))).cast("int")
+    size = F.lit(WIDEST) / F.pow(F.lit(2.0), F.col("_level"))
+    span = lambda c: F.explode(F.sequence(F.floor(bound(F.array_min, c) / size), F.floor(bound(F.array_max, c) / size)))
+    own = rings.columns
+    x = rings.where(F.size(ring) > 0).withColumn("_level", top).withColumn("_x", span("lat")).withColumn("_y", span("lon")).withColumn("_inner", F.lit(None).cast("boolean"))
+    four = [F.struct((F.col("_level") + 1).alias("_level"), (F.col("_x") * 2 + i).alias("_x"), (F.col("_y") * 2 + j).alias("_y"), F.lit(None).cast("boolean").alias("_inner")) for i in (0, 1) for j in (0, 1)]
+    lat, lon = F.col("_x") * size, F.col("_y") * size
+    for cut_ in range(CUTS + 1):
+        x = x.withColumn("_edge", F.col("_inner").isNull() & _meets(F.col(ring), lat, lon, size))
+        x = x.where(F.col("_edge") | F.col("_inner").isNotNull() | inside(lat + size / 2, lon + size / 2, F.col(ring)))
+        settle = lambda inner: F.array(F.struct("_level", "_x", "_y", inner.alias("_inner")))
+        last = F.lit(cut_ == CUTS) | (F.col("_level") >= SIZES - 1)
+        nxt = F.when(~F.col("_edge"), settle(F.lit(True))).when(last, settle(F.lit(False))).otherwise(F.array(*four)) if cut_ < CUTS else settle(~F.col("_edge"))
+        # A border square of the smallest size is settled, too.
+        x = x.withColumn("_s", F.explode(F.when(F.col("_inner").isNotNull(), settle(F.col("_inner"))).otherwise(nxt))).select(*own, "_s.*")
+    return x
+
+
+def inside_rings(points: DataFrame, rings: DataFrame, ring: str, lat: str = "lat", lon: str = "lon") -> DataFrame:
+    """Points with the columns of each ring that they lie in, its border included.
+
+    Points meet the squares of the rings' coverings by equality, one at each size. Only those in a square that an edge meets
+    are held against the edges.
+    """
+    levels = F.explode(F.array(*(F.struct(F.lit(k).alias("_level"), square(lat, WIDEST / 2**k).alias("_x"), square(lon, WIDEST / 2**k).alias("_y")) for k in range(SIZES))))
+    own = points.where(F.col(lat).isNotNull() & F.col(lon).isNotNull()).withColumn("_s", levels).select(*points.columns, "_s.*")
+    met = own.join(covering(rings, ring), ["_level", "_x", "_y"])
+    return met.where(F.col("_inner") | inside(F.col(lat), F.col(lon), F.col(ring))).drop("_level", "_x", "_y", "_inner")
 
 
 def circle(lat: float, lon: float, radius_m: float, corners: int = 24, least_m: float = 20.0) -> list[tuple[float, float]]:

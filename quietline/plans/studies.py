@@ -124,8 +124,24 @@ def g4(spark, sf_dir):
     return geo.hulls(located(spark, sf_dir), "c_nationkey").select("c_nationkey", F.size("ring").alias("corners"))
 
 
-@query("g6_inside")
+#: The hull of a nation's customers of one kind: edges that leave all of them on one side.
+HULLS = """lc AS (SELECT c_custkey, c_nationkey, 6 + ((c_custkey * 7919) % 3200) / 100::DOUBLE AS lat, 68 + ((c_custkey * 104729) % 3000) / 100::DOUBLE AS lon FROM customer),
+hp AS (SELECT DISTINCT c_nationkey AS ring, lat, lon FROM lc WHERE c_custkey % 3 = 0),
+he AS (SELECT a.ring, a.lat AS la, a.lon AS lo, b.lat AS ma, b.lon AS mo FROM hp a JOIN hp b ON a.ring = b.ring AND (a.lat <> b.lat OR a.lon <> b.lon) WHERE NOT EXISTS (SELECT 1 FROM hp p WHERE p.ring = a.ring AND (b.lon - a.lon) * (p.lat - a.lat) - (b.lat - a.lat) * (p.lon - a.lon) < -1e-12))"""
+WITHIN = "NOT EXISTS (SELECT 1 FROM he WHERE he.ring = h.ring AND (mo - lo) * (lc.lat - la) - (ma - la) * (lc.lon - lo) < -1e-12)"
+
+
+def rings(spark, sf_dir):
+    x = located(spark, sf_dir).where("c_custkey % 3 = 0").withColumnRenamed("c_nationkey", "nation")
+    return geo.hulls(x, "nation").where("size(ring) > 2")
+
+
+@query("g6_inside", f"WITH {HULLS}, h AS (SELECT ring FROM he GROUP BY ring HAVING count(DISTINCT (la, lo)) > 2) SELECT c_custkey, {WITHIN} AS inside FROM lc JOIN h ON h.ring = lc.c_nationkey")
 def g6(spark, sf_dir):
-    x = located(spark, sf_dir)
-    ring = geo.hulls(x, "c_nationkey")
-    return x.join(ring, "c_nationkey").select("c_custkey", geo.inside(F.col("lat"), F.col("lon"), F.col("ring")).alias("inside"))
+    x = located(spark, sf_dir).join(rings(spark, sf_dir).withColumnRenamed("nation", "c_nationkey"), "c_nationkey")
+    return x.select("c_custkey", geo.inside(F.col("lat"), F.col("lon"), F.col("ring")).alias("inside"))
+
+
+@query("j19_points_in_polygons", f"WITH {HULLS}, h AS (SELECT ring FROM he GROUP BY ring HAVING count(DISTINCT (la, lo)) > 2) SELECT h.ring AS nation, c_custkey FROM lc CROSS JOIN h WHERE {WITHIN}")
+def j19(spark, sf_dir):
+    return geo.inside_rings(located(spark, sf_dir).select("c_custkey", "lat", "lon"), rings(spark, sf_dir), "ring").select("nation", "c_custkey")
