@@ -29,7 +29,7 @@ from .shared import stored, tasks
 #: Bits of a bitmap of frequent hashes: 8 MB, whatever the corpus.
 BITS = 26
 #: Entries that a task sums before it hands them on.
-HELD = 3 << 19
+HELD = 5 << 18
 LONGEST = 4
 
 _PIECE = np.zeros(256, bool)
@@ -61,9 +61,11 @@ def _pairs(keys: np.ndarray, piece: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 def _summed(rows: list[np.ndarray]) -> np.ndarray:
     """Rows of uint64, the last column a count: equal rows become one with the sum of their counts.
 
-    Rows are put in order of a hash, so two rows whose hashes clash may stay apart; the sums after the shuffle are exact.
+    Rows are put in order of a hash, so two rows whose hashes clash may stay apart; the sums after the shuffle are exact. The
+    list is emptied.
     """
     x = np.concatenate(rows)
+    rows.clear()
     if not len(x):
         return x
     h = x[:, 0]
