@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..operators import geo, scores
+from ..operators import bootstrap, geo, scores
 from ..sources.tables import table
 from .registry import query
 
@@ -124,6 +124,36 @@ def g4(spark, sf_dir):
     return geo.hulls(located(spark, sf_dir), "c_nationkey").select("c_nationkey", F.size("ring").alias("corners"))
 
 
+#: Two scores of labelled documents, 40 clusters, and the weights of 20 replicates, each as the bootstrap draws them.
+_MOD = 2_147_483_647
+_CUTS = "[" + ", ".join(repr(float(v)) for v in bootstrap._POISSON) + "]::DOUBLE[]"
+PAIRED = f"""x AS (SELECT doc_id % 40 AS c, quality::DOUBLE AS y, (n_chars % 97) / 97::DOUBLE AS s0, (doc_id * 31 % 101) / 101::DOUBLE AS s1 FROM labels JOIN documents USING (doc_id)),
+q1 AS (SELECT c, r, (c * 48271 + r * 1103515245 % {_MOD} + 12345) % {_MOD} AS v FROM (SELECT DISTINCT c FROM x), range(21) t(r)),
+q2 AS (SELECT c, r, v * v % {_MOD} * v % {_MOD} AS v FROM q1), q3 AS (SELECT c, r, (v + v * 69621 % {_MOD} + r * 40692) % {_MOD} AS v FROM q2),
+q4 AS (SELECT c, r, v * v % {_MOD} * v % {_MOD} AS v FROM q3),
+w AS (SELECT c, r AS replicate, CASE WHEN r = 0 THEN 1 ELSE len(list_filter({_CUTS}, lambda k: k <= v / {_MOD}::DOUBLE)) END::DOUBLE AS w FROM q4),
+a AS (SELECT replicate, m, s, sum(w * y) AS h, sum(w) AS n FROM (SELECT c, y, unnest([0, 1]) AS m, unnest([s0, s1]) AS s FROM x) JOIN w USING (c) GROUP BY 1, 2, 3),
+b AS (SELECT *, sum(h) OVER (PARTITION BY replicate, m ORDER BY s DESC) AS tp, sum(n) OVER (PARTITION BY replicate, m ORDER BY s DESC) AS k, sum(h) OVER (PARTITION BY replicate, m) AS p FROM a),
+ap AS (SELECT replicate, m, sum(CASE WHEN k > 0 THEN h * tp / k ELSE 0 END) / max(p) AS ap FROM b GROUP BY 1, 2),
+br AS (SELECT replicate, sum(w * (s1 - y) ** 2) / sum(w) - sum(w * (s0 - y) ** 2) / sum(w) AS d_brier FROM x JOIN w USING (c) GROUP BY 1),
+dl AS (SELECT replicate, max(CASE WHEN m = 1 THEN ap END) - max(CASE WHEN m = 0 THEN ap END) AS d_ap, any_value(d_brier) AS d_brier FROM ap JOIN br USING (replicate) GROUP BY 1)"""
+
+
+def deltas(spark, sf_dir):
+    x = labelled(spark, sf_dir).select((F.col("doc_id") % 40).alias("c"), F.col("quality").alias("y"), (F.col("n_chars") % 97 / 97).alias("s0"), (F.col("doc_id") * 31 % 101 / 101).alias("s1"))
+    return bootstrap.paired(x, "c", "y", "s0", "s1", 20)
+
+
+@query("m6_paired_deltas", f"WITH {PAIRED} SELECT replicate, d_ap::DECIMAL(18,8) AS d_ap, d_brier::DECIMAL(18,8) AS d_brier FROM dl")
+def m6_deltas(spark, sf_dir):
+    return deltas(spark, sf_dir).select("replicate", *(F.col(c).cast("decimal(18,8)").alias(c) for c in ("d_ap", "d_brier")))
+
+
+@query("m6_interval", f"WITH {PAIRED} SELECT metric, max(CASE WHEN replicate = 0 THEN d END)::DECIMAL(18,8) AS estimate, quantile_cont(CASE WHEN replicate > 0 THEN d END, 0.025)::DECIMAL(18,8) AS low, quantile_cont(CASE WHEN replicate > 0 THEN d END, 0.975)::DECIMAL(18,8) AS high FROM (SELECT replicate, unnest(['d_ap', 'd_brier']) AS metric, unnest([d_ap, d_brier]) AS d FROM dl) GROUP BY 1")
+def m6_range(spark, sf_dir):
+    return bootstrap.interval(deltas(spark, sf_dir)).select("metric", *(F.col(c).cast("decimal(18,8)").alias(c) for c in ("estimate", "low", "high")))
+
+
 #: The hull of a nation's customers of one kind: edges that leave all of them on one side.
 HULLS = """lc AS (SELECT c_custkey, c_nationkey, 6 + ((c_custkey * 7919) % 3200) / 100::DOUBLE AS lat, 68 + ((c_custkey * 104729) % 3000) / 100::DOUBLE AS lon FROM customer),
 hp AS (SELECT DISTINCT c_nationkey AS ring, lat, lon FROM lc WHERE c_custkey % 3 = 0),
