@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .scores import rank_ties
+from .scores import rank_ties, running
 
 
 def paired_windows(episodes: DataFrame, informs: DataFrame, key: str, start: str, stop: str, at: str, least: int = 3) -> DataFrame:
@@ -80,6 +80,86 @@ def t_tests(df: DataFrame, by: str, value: str, mean: float = 0.0) -> DataFrame:
     return _with_p(g, lambda r: student_p(r["t"], r["n"] - 1) if r["t"] is not None else None)
 
 
+#: Coefficients of a published rational approximation of the normal quantile (relative error 1.2e-9).
+_A = (-39.69683028665376, 220.9460984245205, -275.9285104469687, 138.3577518672690, -30.66479806614716, 2.506628277459239)
+_B = (-54.47609879822406, 161.5858368580409, -155.6989798598866, 66.80131188771972, -13.28068155288572, 1.0)
+_C = (-0.007784894002430293, -0.3223964580411365, -2.400758277161838, -2.549732539343734, 4.374664141464968, 2.938163982698783)
+_D = (0.007784695709041462, 0.3224671290700398, 2.445134137142996, 3.754408661907416, 1.0)
+#: Polynomials in 1 / sqrt(n), lowest power first, of the two outer weights of Shapiro and Wilk's test.
+_LAST, _LAST_BUT_ONE = (0.221157, -0.147981, -2.071190, 4.434685, -2.706056), (0.042981, -0.293762, -1.752461, 5.682633, -3.582633)
+
+
+def _poly(c, x: Column) -> Column:
+    """A polynomial, highest power first."""
+    out = F.lit(float(c[0]))
+    for k in c[1:]:
+        out = out * x + F.lit(float(k))
+    return out
+
+
+def normal_quantile(p: Column) -> Column:
+    low = F.sqrt(-2 * F.log(F.least(p, 1 - p)))
+    tail = _poly(_C, low) / _poly(_D, low)
+    q = p - 0.5
+    return F.when(F.abs(q) <= 0.47575, q * _poly(_A, q * q) / _poly(_B, q * q)).when(q < 0, tail).otherwise(-tail)
+
+
+def shapiro(df: DataFrame, by: str, value: str, ident: str) -> DataFrame:
+    """(by, n, w, p): Shapiro and Wilk's test of normality by Royston's approximation, for groups of 3 rows or more that vary.
+
+    Ranks come from ranges of (by, value), less the rows of the groups before, so no group is in one task. The weights are
+    expected normal order statistics, of which the outer two on each side are replaced; so the statistic is made of sums over
+    ranks and of the two smallest and largest values.
+    """
+    rows = df.select(by, F.col(value).cast("double").alias("x"), ident).dropna()
+    rows = rows.where(~F.isnan("x"))
+    ranked = running(rows, [F.col(by), F.col("x"), F.col(ident)], {"k": F.lit(1)})
+    g = ranked.groupBy(by).agg(F.min("k").alias("_first"), F.count("*").alias("n"), F.avg("x").alias("mean"))
+    i = F.col("k") - F.col("_first") + 1
+    x = join_groups(ranked, g, by).withColumn("i", i).withColumn("m", normal_quantile((F.col("i") - 0.375) / (F.col("n") + 0.25)))
+    end = lambda j: F.max(F.when(F.col("i") == j, F.col("x")))
+    n = F.col("n")
+    s = x.where("n >= 3").groupBy(by, "n").agg(
+        F.sum(F.col("m") * F.col("x")).alias("mx"), F.sum(F.col("m") * F.col("m")).alias("mm"), F.sum((F.col("x") - F.col("mean")) ** 2).alias("ss"),
+        (end(n) - end(F.lit(1))).alias("outer"), (end(n - 1) - end(F.lit(2))).alias("inner"), F.max("m").alias("m1"), F.max(F.when(F.col("i") == n - 1, F.col("m"))).alias("m2"),
+    ).where("ss > 0")
+    u = 1 / F.sqrt(n)
+    root = F.sqrt("mm")
+    s = s.withColumn("a1", F.when(n == 3, math.sqrt(0.5)).otherwise(F.col("m1") / root + _poly((*reversed(_LAST), 0), u)))
+    s = s.withColumn("a2", F.when(n > 5, F.col("m2") / root + _poly((*reversed(_LAST_BUT_ONE), 0), u)))
+    few = (F.col("mm") - 2 * F.col("m1") ** 2) / (1 - 2 * F.col("a1") ** 2)
+    many = (F.col("mm") - 2 * F.col("m1") ** 2 - 2 * F.col("m2") ** 2) / (1 - 2 * F.col("a1") ** 2 - 2 * F.col("a2") ** 2)
+    middle = F.when(n > 5, (F.col("mx") - F.col("m1") * F.col("outer") - F.col("m2") * F.col("inner")) / F.sqrt(many) + F.col("a2") * F.col("inner"))
+    middle = middle.when(n > 3, (F.col("mx") - F.col("m1") * F.col("outer")) / F.sqrt(few)).otherwise(0.0)
+    s = s.withColumn("w", F.least(F.lit(1.0), (middle + F.col("a1") * F.col("outer")) ** 2 / F.col("ss")))
+
+    def p(r):
+        n, w = r["n"], r["w"]
+        if n == 3:
+            return max(0.0, 6 / math.pi * (math.asin(math.sqrt(w)) - math.asin(math.sqrt(0.75))))
+        if w >= 1:
+            return 1.0
+        y, k = math.log(1 - w), math.log(n)
+        if n <= 11:
+            gamma = -2.273 + 0.459 * n
+            if y >= gamma:
+                return 0.0
+            y, mean, sd = -math.log(gamma - y), 0.5440 - 0.39978 * n + 0.025054 * n**2 - 0.0006714 * n**3, math.exp(1.3822 - 0.77857 * n + 0.062767 * n**2 - 0.0020322 * n**3)
+        else:
+            mean, sd = -1.5861 - 0.31082 * k - 0.083751 * k**2 + 0.0038915 * k**3, math.exp(-0.4803 - 0.082676 * k + 0.0030302 * k**2)
+        return 0.5 * math.erfc((y - mean) / sd / math.sqrt(2))
+
+    return _with_p(s.select(by, "n", "w"), p)
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, by: str) -> DataFrame:
+    """Rows with the columns of their group; groups that hold more than a 4,096th of all rows are broadcast, so none is gathered."""
+    total = groups.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    border = max(1, total // 4096)
+    hot, rest = groups.where(F.col("n") > border), groups.where(F.col("n") <= border)
+    return rows.join(F.broadcast(hot), by).unionByName(rows.join(rest, by))
+
+
 def _with_p(g: DataFrame, p) -> DataFrame:
     """Adds p to rows that are one a group by now."""
     schema = T.StructType([*g.schema.fields, T.StructField("p", T.DoubleType())])

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import attribution, rules
 from ..operators.timeline import seconds
+from ..sources import feeds, tables
 from ..sources.tables import table
 from .registry import query
 
@@ -125,6 +126,28 @@ def d13(spark, sf_dir):
     return attribution.attributed(*batch(spark, sf_dir), window_s=21_600).where("target_cell IS NOT NULL").select("outage", "target_cell", "failed", "eligible")
 
 
+@query("k1_four_outputs", f"""{BATCH} SELECT 'cell_states' AS name, count(*) AS rows, sum(hash_free)::BIGINT AS total FROM (SELECT failed + eligible AS hash_free FROM st) UNION ALL SELECT 'events', count(DISTINCT e), count(*) FROM r
+UNION ALL SELECT 'evidence', count(*), sum(down_csp + eligible_csp + failed + eligible + compared + affected_cells + eligible_cells)::BIGINT FROM an UNION ALL SELECT 'attributions', count(*), count(*) FILTER (cause = 'CSP_SIDE') FROM an""")
+def k1(spark, sf_dir):
+    """The four tables of a run, published as one version and read back; a row and a sum for each."""
+    fleet, outages, members = batch(spark, sf_dir)
+    found = tables.cut(attribution.attributed(fleet, outages, members, window_s=21_600))
+    events = attribution.event_groups(outages, 21_600)
+    states = attribution.cell_states(fleet, members.join(events.select("outage", "event"), "outage").join(fleet, "device"))
+    four = {
+        "cell_states": states, "events": events.groupBy("event").agg(F.min("trigger").alias("start"), F.max("trigger").alias("stop"), F.count("*").alias("outages")),
+        "evidence": found.drop("cause", "extent", "confidence"), "attributions": found.select("outage", "cause", "extent", "confidence"),
+    }
+    root = tables.shared_path(spark)
+    feeds.publish(four, root, 1)
+    total = {"cell_states": "failed + eligible", "events": "outages", "evidence": "down_csp + eligible_csp + failed + eligible + compared + affected_cells + eligible_cells", "attributions": "CAST(cause = 'CSP_SIDE' AS BIGINT)"}
+    out = None
+    for name, df in feeds.newest_of(spark, root).items():
+        one = df.agg(F.lit(name).alias("name"), F.count("*").alias("rows"), F.sum(F.expr(total[name])).cast("long").alias("total"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query("d12_event_groups", f"WITH RECURSIVE {FLEET}, {OUTAGES} SELECT outage, csp, trig AS trigger, 'AE' || lpad(e::VARCHAR, 6, '0') AS event FROM r")
 def d12(spark, sf_dir):
     return attribution.event_groups(batch(spark, sf_dir)[1], 21_600)

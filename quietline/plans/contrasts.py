@@ -51,6 +51,27 @@ def m9(spark, sf_dir):
     return rows.select("source", "n", "w_plus2", "w_minus2", exact("rank_biserial"), exact("z"))
 
 
+def _horner(c, x: str) -> str:
+    out = repr(float(c[0])) + "::DOUBLE"
+    for k in c[1:]:
+        out = f"({out} * {x} + {float(k)!r}::DOUBLE)"
+    return out
+
+
+QUANTILE = f"CASE WHEN abs(p - 0.5) <= 0.47575 THEN (p - 0.5) * {_horner(contrasts._A, '((p - 0.5) * (p - 0.5))')} / {_horner(contrasts._B, '((p - 0.5) * (p - 0.5))')} ELSE sign(0.5 - p) * {_horner(contrasts._C, 'sqrt(-2 * ln(least(p, 1 - p)))')} / {_horner(contrasts._D, 'sqrt(-2 * ln(least(p, 1 - p)))')} END"
+
+
+@query("m9_shapiro", f"""WITH x AS (SELECT source, n_chars::DOUBLE AS x, row_number() OVER (PARTITION BY source ORDER BY n_chars, doc_id) AS i, count(*) OVER (PARTITION BY source) AS n FROM labels JOIN documents USING (doc_id) WHERE source IS NOT NULL),
+m AS (SELECT source, x, i, n, {QUANTILE} AS m FROM (SELECT *, (i - 0.375::DOUBLE) / (n + 0.25::DOUBLE) AS p FROM x)),
+e AS (SELECT source, n, sqrt(sum(m * m)) AS root, sum(m * m) AS mm, max(m) AS m1, max(CASE WHEN i = n - 1 THEN m END) AS m2 FROM m GROUP BY 1, 2 HAVING n > 5 AND max(x) > min(x)),
+a AS (SELECT *, m1 / root + {_horner((*reversed(contrasts._LAST), 0), '(1 / sqrt(n))')} AS a1, m2 / root + {_horner((*reversed(contrasts._LAST_BUT_ONE), 0), '(1 / sqrt(n))')} AS a2 FROM e),
+f AS (SELECT *, sqrt((mm - 2 * m1 * m1 - 2 * m2 * m2) / (1 - 2 * a1 * a1 - 2 * a2 * a2)) AS phi FROM a)
+SELECT source, n, (pow(sum(x * CASE WHEN i = 1 THEN -a1 WHEN i = 2 THEN -a2 WHEN i = m.n THEN a1 WHEN i = m.n - 1 THEN a2 ELSE m / phi END), 2) / (var_pop(x) * m.n))::DECIMAL(18,8) AS w FROM m JOIN f USING (source, n) GROUP BY source, n""")
+def m9_w(spark, sf_dir):
+    x = contrasts.shapiro(labelled(spark, sf_dir).where("source IS NOT NULL"), "source", "n_chars", "doc_id")
+    return x.where("n > 5").select("source", "n", F.col("w").cast("decimal(18,8)").alias("w"))
+
+
 @query("m9_t_test", "SELECT source, count(*) AS n, avg(n_chars)::DECIMAL(18,6) AS mean, ((avg(n_chars) - 1500) / stddev_samp(n_chars) * sqrt(count(*)))::DECIMAL(18,6) AS t FROM labels JOIN documents USING (doc_id) GROUP BY 1 HAVING count(*) > 1 AND stddev_samp(n_chars) > 0")
 def m9_t(spark, sf_dir):
     x = contrasts.t_tests(labelled(spark, sf_dir), "source", "n_chars", 1500.0)

@@ -116,13 +116,12 @@ def k3(spark, sf_dir):
     return good.agg(F.count("*").alias("n"), F.min("p.c_custkey").alias("first_id"), F.sum("p.c_nationkey").alias("total"))
 
 
-@query("k4_f48_device_payload", "WITH b AS (SELECT user_id, sum(DISTINCT 1::HUGEINT << day(ts)::INT) AS bits FROM events WHERE ts < TIMESTAMP '2024-01-25' GROUP BY 1) SELECT user_id, row_number() OVER (ORDER BY user_id) - 1 AS idx, to_base64(unhex(lpad(hex(bits & 255), 2, '0') || lpad(hex((bits >> 8) & 255), 2, '0') || lpad(hex((bits >> 16) & 255), 2, '0') || lpad(hex((bits >> 24) & 255), 2, '0'))) AS bitmap FROM b")
+@query("k4_f48_device_payload", "WITH b AS (SELECT user_id, sum(DISTINCT 1::HUGEINT << day(ts)::INT) AS bits FROM events GROUP BY 1) SELECT user_id, row_number() OVER (ORDER BY user_id) - 1 AS idx, to_base64(unhex(lpad(hex(bits & 255), 2, '0') || lpad(hex((bits >> 8) & 255), 2, '0') || lpad(hex((bits >> 16) & 255), 2, '0') || lpad(hex((bits >> 24) & 255), 2, '0'))) AS bitmap FROM b")
 def k4(spark, sf_dir):
     """Days of a month as a bitmap, in Base64; devices are told by their place in the order of ids, which comes from ranges."""
     from ..operators.scores import running
 
-    e = table(spark, sf_dir, "events").where("ts < timestamp_ntz'2024-01-25'")
-    bits = e.groupBy("user_id").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.day("ts"))).alias("bits"))
+    bits = table(spark, sf_dir, "events").groupBy("user_id").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.day("ts"))).alias("bits"))
     x = running(bits, [F.col("user_id")], {"k": F.lit(1)})
     return x.select("user_id", (F.col("k") - 1).cast("long").alias("idx"), feeds.bitmap64(F.array("bits"), 4).alias("bitmap"))
 

@@ -53,7 +53,7 @@ def m11(spark, sf_dir):
 @query("m2_forest")
 def m2(spark, sf_dir):
     x = predicted(spark, sf_dir).withColumn("label", F.col("quality").cast("double"))
-    return scores.forest(["p", "q"], "label", trees=20).fit(x).transform(x).select("doc_id", "prediction")
+    return scores.forest(["p", "q"], "label").fit(x).transform(x).select("doc_id", "prediction")
 
 
 @query("w13_centred", "SELECT doc_id, (n_chars - avg(n_chars) OVER (PARTITION BY source))::DECIMAL(18,6) AS centred FROM documents")

@@ -105,6 +105,34 @@ def newest(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.parquet(f"{root}/versions/{last}")
 
 
+def publish(frames: dict[str, DataFrame], root: str, version: int) -> None:
+    """Write several tables as one version. One entry of the ledger, last, makes all of them visible at once.
+
+    What an attempt that failed has left of a version isn't in the ledger and gives way. A version in the ledger stays.
+    """
+    spark = next(iter(frames.values())).sparkSession
+    if published(spark, root).where(F.col("version") >= version).count():
+        raise ValueError(f"version {version} or a later one is published")
+    for name, df in frames.items():
+        df.write.mode("overwrite").parquet(f"{root}/versions/{version}/{name}")
+    entry = spark.createDataFrame([(version, sorted(frames))], "version long, tables array<string>")
+    entry.coalesce(1).write.mode("append").parquet(f"{root}/ledger")
+
+
+def published(spark: SparkSession, root: str) -> DataFrame:
+    """The ledger: (version, tables)."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/ledger")
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return spark.createDataFrame([], "version long, tables array<string>")
+    return spark.read.schema("version long, tables array<string>").parquet(f"{root}/ledger")
+
+
+def newest_of(spark: SparkSession, root: str) -> dict[str, DataFrame]:
+    """The tables of the newest published version, all of the same one; empty before the first."""
+    last = published(spark, root).orderBy(F.desc("version")).first()
+    return {} if last is None else {t: spark.read.parquet(f"{root}/versions/{last['version']}/{t}") for t in last["tables"]}
+
+
 def texts(spark: SparkSession, path: str, pattern: str, group: int = 1) -> DataFrame:
     """(path, found): every match of a pattern in whole text files."""
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.explode(F.regexp_extract_all("value", F.lit(pattern), F.lit(group))).alias("found"))
