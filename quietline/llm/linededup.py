@@ -24,9 +24,18 @@ from .shared import SPACE, join_split, kept, scratch, stored
 MIN_WORDS = 50
 
 
-def sequence(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(doc_id, line, h, words) for lines with words; lines count from 0, and differ by more than white space at their ends."""
-    lines = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("line", "x"))
+def numbered(docs: DataFrame) -> DataFrame:
+    """(doc struct, key): every row with its doc_id and a number, stored, so that rows which share a doc_id stay apart.
+
+    The key is null where doc_id is.
+    """
+    key = F.when(F.col("doc_id").isNotNull(), F.struct(F.col("doc_id").cast("long").alias("id"), F.monotonically_increasing_id().alias("row")))
+    return stored(docs.select(F.struct(*(F.col(c) for c in docs.columns)).alias("doc"), key.alias("key")))
+
+
+def sequence(rows: DataFrame, text: str = "text") -> DataFrame:
+    """(doc_id, line, h, g, words) for lines with words; doc_id is a row's key, lines count from 0 and differ by more than white space at their ends."""
+    lines = rows.where(F.col("key").isNotNull()).select(F.col("key").alias("doc_id"), F.posexplode(F.split(F.coalesce(F.col("doc")[text], F.lit("")), "\n")).alias("line", "x"))
     bare = F.regexp_replace("x", f"^[{SPACE}]+|[{SPACE}]+$", "")
     return lines.select("doc_id", "line", bare.alias("x")).where("x != ''").select("doc_id", "line", F.xxhash64("x").alias("h"), F.xxhash64(F.lit(11), "x").alias("g"), F.size(F.split("x", f"[{SPACE}]+")).alias("words"))
 
@@ -34,7 +43,8 @@ def sequence(docs: DataFrame, text: str = "text") -> DataFrame:
 def windows(lines: DataFrame, min_words: int, ends: bool = True) -> DataFrame:
     """(doc_id, line, last, fingerprint, place, content): complete windows, by the line they begin with and, with `ends`, by the line they end with.
 
-    A run of lines by its end that is as short as can be from its first line, too, is there once. content: hash of the window's lines, from running sums of hashes weighted by their place, so that it needs no list.
+    A run of lines by its end that is as short as can be from its first line, too, is there once. content, content2: two hashes of the
+    window's lines in order.
     """
     w = Window.partitionBy("doc_id").orderBy("line")
     before = F.coalesce(F.sum("words").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long")
@@ -54,13 +64,13 @@ def windows(lines: DataFrame, min_words: int, ends: bool = True) -> DataFrame:
     return found.select("doc_id", F.explode("runs").alias("r")).where("r IS NOT NULL").select("doc_id", "r.*")
 
 
-def repeats(docs: DataFrame, min_words: int = MIN_WORDS, text: str = "text", ends: bool = True) -> DataFrame:
-    """(doc_id, start, end, first_doc, first_line): windows of lines that are to go, end inclusive, and where they stay.
+def repeats(rows: DataFrame, min_words: int = MIN_WORDS, text: str = "text", ends: bool = True) -> DataFrame:
+    """(doc_id, start, end, first_doc, first_line): windows of lines that are to go, end inclusive, and where they stay; by key.
 
     Fingerprints and contents that very many windows have are joined apart, so no task gathers the windows of one.
     """
-    with scratch(docs.sparkSession):
-        found = stored(windows(sequence(docs, text), min_words, ends))
+    with scratch(rows.sparkSession):
+        found = stored(windows(sequence(rows, text), min_words, ends))
         # A fingerprint is a place; windows that share it count once.
         place = F.struct("doc_id", "place")
         places = found.groupBy("fingerprint").agg(F.min(place).alias("lo"), F.max(place).alias("hi"), F.count("*").alias("c"))
@@ -78,12 +88,12 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS, text: str = "text", end
     return later.where("start <= end")
 
 
-def removed(docs: DataFrame, min_words: int = MIN_WORDS, text: str = "text", ends: bool = True) -> DataFrame:
-    """(doc_id, runs): for each document that loses lines its runs, array<struct<start,end>>, disjoint and in order.
+def removed(rows: DataFrame, min_words: int = MIN_WORDS, text: str = "text", ends: bool = True) -> DataFrame:
+    """(doc_id, runs): for each row of `numbered` that loses lines, by key, its runs, array<struct<start,end>>, disjoint and in order.
 
     Rows of one document are gathered by their runs, after windows that follow each other have been merged.
     """
-    r = repeats(docs, min_words, text, ends).groupBy("doc_id", "start").agg(F.max("end").alias("end"))
+    r = repeats(rows, min_words, text, ends).groupBy("doc_id", "start").agg(F.max("end").alias("end"))
     w = Window.partitionBy("doc_id").orderBy("start")
     open_ = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
     r = r.withColumn("new", F.when(F.coalesce(F.col("start") > open_ + 1, F.lit(True)), 1).otherwise(0)).withColumn("run", F.sum("new").over(w))
@@ -94,12 +104,12 @@ def removed(docs: DataFrame, min_words: int = MIN_WORDS, text: str = "text", end
 def deduplicated(docs: DataFrame, min_words: int = MIN_WORDS, text: str = "text", ends: bool = True) -> DataFrame:
     """`docs` without the lines that repeat earlier ones, and with `runs`, those that went (empty if none).
 
-    Null texts stay null. Rows with a null doc_id are left alone. Rows that share a doc_id count as one text after another in
-    which equal line numbers meet, so doc_id should be unique. A column named runs gives way.
+    Null texts stay null. Rows with a null doc_id are left alone. Rows that share a doc_id are texts of their own, in the order
+    in which they are read: of equal rows the first keeps its lines. A column named runs gives way.
     """
-    gone = removed(docs, min_words, text, ends).alias("r")
-    d = docs.drop("runs").alias("d")
-    x = d.join(gone, F.col("d.doc_id").cast("long") == F.col("r.doc_id"), "left").select("d.*", F.coalesce("runs", F.array().cast("array<struct<start:int,end:int>>")).alias("runs"))
+    rows = numbered(docs.drop("runs"))
+    gone = removed(rows, min_words, text, ends).withColumnRenamed("doc_id", "key")
+    x = rows.join(gone, "key", "left").select("doc.*", F.coalesce("runs", F.array().cast("array<struct<start:int,end:int>>")).alias("runs"))
     one = F.array(F.split(F.col(text), "\n"))
     bounds = F.concat(F.array(F.lit(-1)), F.transform("runs", lambda r: r["end"]))
     keep = F.transform(one, lambda ls: F.flatten(F.transform(bounds, lambda e, k: F.slice(ls, e + 2, F.coalesce(F.get(F.col("runs"), k)["start"], F.size(ls)) - e - 1))))
