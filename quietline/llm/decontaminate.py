@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import keep_until_clear, kept, scratch, shared_dir, stored
+from .shared import drop, keep_until_clear, kept, scratch, shared_dir, stored
 from .texthash import slices, words
 
 #: Words: runs of ASCII letters and digits and of everything above ASCII. A-Z alone is lower-cased.
@@ -185,19 +185,29 @@ def matched(docs: DataFrame, items: DataFrame, size: int = 10, text: str = "text
     rows = docs.select(whole.alias("doc"), F.col(text).cast("string").alias("text"))
     with scratch(spark):
         windows = stored(item_windows(items, size))
-        index = stored(indexed(rows, windows))
+        index = kept(indexed(rows, windows))
         total = index.count()
         blocks = max(1, -(-total // block_windows))
         # Windows are distinct, so more blocks divide any of them.
         block = lambda n: F.pmod(F.xxhash64(F.lit(3), "window"), F.lit(n))
         while total and max(r["count"] for r in index.groupBy(block(blocks)).count().collect()) > block_windows:
             blocks *= 2
-        shared = [spark.sparkContext.broadcast(Index(index.where(block(blocks) == k).toArrow())) for k in range(blocks)]
         of = kept(windows.select("item", F.xxhash64("w").alias("window")))
     none = [F.array().cast(SPANS).alias("spans"), F.array().cast("array<long>").alias("windows")]
     rows = rows.select("doc", "text", F.lit(0).cast("long").alias("n_words"), *none)
-    for one in shared:
+    before = None
+    for k in range(blocks):
+        one = spark.sparkContext.broadcast(Index(index.where(block(blocks) == k).toArrow()))
         rows = found_in(rows, one, "text")
+        if k + 1 < blocks:
+            # A block's pass ends before the next block is sent, so driver and executors hold one, however many there are.
+            path = keep_until_clear(shared_dir(spark))
+            rows.write.parquet(path)
+            one.destroy()
+            rows = spark.read.schema(rows.schema).parquet(path)
+            if before:
+                drop(spark, before)
+            before = path
     return rows, of
 
 
@@ -242,6 +252,6 @@ def digest(found: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """`docs` without the rows that hold a window of the benchmark; nothing is stored or shuffled."""
+    """`docs` without the rows that hold a window of the benchmark; nothing is shuffled, and stored only if there are several blocks."""
     rows, _ = matched(docs, items, **options)
     return rows.where(F.size("spans") == 0).select(*(F.col("doc")[c].alias(c) for c in docs.columns))

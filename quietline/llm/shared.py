@@ -82,6 +82,11 @@ def keep_until_clear(path: str) -> str:
     return path
 
 
+def drop(spark: SparkSession, path: str) -> None:
+    """Delete one folder of the shared ones now."""
+    _delete(spark, [path])
+
+
 def _delete(spark: SparkSession, paths: list[str]) -> None:
     jvm = spark._jvm
     for p in paths:

@@ -61,3 +61,26 @@ def test_clashing_columns_and_empty_tables(spark):
     assert d.find(docs.where("doc_id < 0"), items).count() == 0
     assert {r.n_words for r in d.find(docs, items.where("item_id < 0")).collect()} == {3, 1}
     assert d.clean(extra, items).columns == extra.columns
+
+
+def test_one_block_at_a_time(spark, monkeypatch):
+    """However many blocks a benchmark has, one is sent at a time, and results don't change."""
+    docs = [(i, " ".join(f"w{(i * 7 + k) % 90}" for k in range(40))) for i in range(30)]
+    items = [(j, " ".join(f"w{(j * 5 + k) % 90}" for k in range(15))) for j in range(20)]
+    want = sorted(map(str, d.find(*tables(spark, docs, items)).collect()))
+    live, most, context = set(), [0], spark.sparkContext
+    send = type(context).broadcast
+
+    def broadcast(self, value):
+        b = send(self, value)
+        if not isinstance(value, d.Index):
+            return b
+        live.add(id(b))
+        most[0] = max(most[0], len(live))
+        destroy = b.destroy
+        b.destroy = lambda *a, **k: (live.discard(id(b)), destroy(*a, **k))
+        return b
+
+    monkeypatch.setattr(type(context), "broadcast", broadcast)
+    sent = d.find(*tables(spark, docs, items), block_windows=20)
+    assert sorted(map(str, sent.collect())) == want and most[0] == 1
