@@ -78,6 +78,12 @@ def _summed(rows: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def _batches(x: np.ndarray, names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Rows in batches that are small enough to be many at once on their way."""
+    for k in range(0, len(x), 1 << 15):
+        yield _batch(x[k : k + (1 << 15)], names)
+
+
 def _batch(x: np.ndarray, names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x[:, j]).view(np.int64)) for j in range(len(names))], names)
 
@@ -96,10 +102,10 @@ def _counted(batches: Iterator[pa.RecordBatch], rows_of, names: list[str]) -> It
                 held = [_summed(held)]
                 n = len(held[0])
                 if n > HELD // 2:
-                    yield _batch(held[0], names)
+                    yield from _batches(held[0], names)
                     held, n = [], 0
     if held:
-        yield _batch(_summed(held), names)
+        yield from _batches(_summed(held), names)
 
 
 def _has(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
