@@ -99,9 +99,10 @@ def s13(spark, sf_dir):
     return feeds.texts(spark, path, "([A-Z][a-z]{2,})").groupBy("found").agg(F.count("*").alias("n"))
 
 
-@query("s16_rings")
+@query("s16_rings", "SELECT c_nationkey, c_custkey, (20 + c_nationkey * 0.1::DOUBLE + 0.001::DOUBLE * sin(t))::DECIMAL(18,9) AS lat, (77 + 0.001::DOUBLE * cos(t))::DECIMAL(18,9) AS lon FROM (SELECT c_nationkey, c_custkey, (row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1) * 2 * pi() / count(*) OVER (PARTITION BY c_nationkey) AS t FROM customer)")
 def s16(spark, sf_dir):
-    return feeds.rings(spark, 3, 24)
+    x = feeds.rings(table(spark, sf_dir, "customer"), "c_nationkey", "c_custkey")
+    return x.select("c_nationkey", "c_custkey", *(F.col(c).cast("decimal(18,9)").alias(c) for c in ("lat", "lon")))
 
 
 @query("k3_geojson", "SELECT count(*) AS n, min(c_custkey) AS first_id, sum(c_nationkey)::BIGINT AS total FROM customer")

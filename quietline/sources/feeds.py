@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def chunks(events: DataFrame, ids: DataFrame, ident: str, start: str, end: str, days: int = 7, at: str = "ts") -> list[DataFrame]:
@@ -138,8 +139,9 @@ def texts(spark: SparkSession, path: str, pattern: str, group: int = 1) -> DataF
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.explode(F.regexp_extract_all("value", F.lit(pattern), F.lit(group))).alias("found"))
 
 
-def rings(spark: SparkSession, groups: int, points: int, lat: float = 20.0, lon: float = 77.0, radius: float = 0.001) -> DataFrame:
-    """(ring, device, lat, lon): a fixture of points on circles, the same each time."""
-    angle = F.col("k") * (2 * 3.141592653589793 / points)
-    x = spark.range(groups).withColumnRenamed("id", "ring").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
-    return x.select("ring", (F.col("ring") * points + F.col("k")).alias("device"), (lat + F.col("ring") * 0.1 + radius * F.sin(angle)).alias("lat"), (lon + radius * F.cos(angle)).alias("lon"))
+def rings(devices: DataFrame, key: str, ident: str, lat: float = 20.0, lon: float = 77.0, radius: float = 0.001) -> DataFrame:
+    """(key, ident, lat, lon): a fixture that puts the devices of each whole-numbered key on a circle of its own, evenly, in order of ident."""
+    place = F.row_number().over(Window.partitionBy(key).orderBy(ident)) - 1
+    angle = place * (2 * 3.141592653589793 / F.count("*").over(Window.partitionBy(key)))
+    x = devices.select(key, ident, angle.alias("_t"))
+    return x.select(key, ident, (lat + F.col(key) * 0.1 + radius * F.sin("_t")).alias("lat"), (lon + radius * F.cos("_t")).alias("lon"))
