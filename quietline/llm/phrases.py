@@ -29,7 +29,7 @@ from .shared import stored, tasks
 #: Bits of a bitmap of frequent hashes: 8 MB, whatever the corpus.
 BITS = 26
 #: Entries that a task sums before it hands them on.
-HELD = 1 << 20
+HELD = 1 << 19
 LONGEST = 4
 
 _PIECE = np.zeros(256, bool)
