@@ -31,11 +31,15 @@ BACK = """bk AS (SELECT device, run_start, last_p AS provider, greatest(run_star
   WHERE third IS NOT NULL AND greatest(run_start + INTERVAL 15 MINUTE, third) < least(last + INTERVAL 10 MINUTE, coalesce(fails, last + INTERVAL 1 DAY)))"""
 
 
-@query("x1_x2_x8_device_runs", f"WITH {RUNS} SELECT device, provider, ts, up, last_up_at, run_start, run_count FROM c")
 def runs(spark, sf_dir):
     return detector.device_runs(messages(spark, sf_dir), "event_id")
 
 
+@query("x1_x2_x8_device_runs", f"WITH {RUNS} SELECT device, provider, ts, up, last_up_at, run_start, run_count, coalesce(up AND run_count >= 3 AND ts - run_start >= INTERVAL 15 MINUTE, false) AS recovered FROM c")
+def recovered_runs(spark, sf_dir):
+    return runs(spark, sf_dir).withColumn("recovered", detector.recovered())
+
+
 @query("x8_recoveries", f"WITH {RUNS}, {BACK} SELECT device, provider, run_start, recovered_at FROM bk")
 def back(spark, sf_dir):
     return detector.recoveries(runs(spark, sf_dir))

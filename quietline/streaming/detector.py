@@ -56,6 +56,12 @@ def device_runs(messages: DataFrame, arrival: str) -> DataFrame:
     return x.select("device", "provider", "ts", "up", "last_up_at", "run_start", "run_count")
 
 
+def recovered() -> Column:
+    """Whether a message of RUNS finds its device recovered: a success of a run that holds 3 and is 15 minutes old."""
+    old = _us("ts") - _us("run_start") >= RECOVERED_S * 1_000_000
+    return F.coalesce(F.col("up") & (F.col("run_count") >= RECOVERED_N) & old, F.lit(False))
+
+
 class Runs(StatefulProcessor):
     """Folds a device's messages over four values of state, which expire when nothing is heard of it for STATE_DAYS."""
 
