@@ -42,9 +42,12 @@ def optics(least: str, mean: str, most: str) -> Column:
 
 
 def with_misses(roster: DataFrame, hours: DataFrame, start: str, end: str, device: str = "device") -> DataFrame:
-    """Every device of the roster in every hour from start to end: an absent hour is twelve misses, and not a bad one."""
+    """Every device of the roster in every hour from start to end: an absent hour is twelve misses, and not a bad one.
+
+    Both sides grow with the fleet, but are planned by the size of the files that they are made of, so the join is named.
+    """
     every = F.sequence(F.lit(start).cast("timestamp_ntz"), F.lit(end).cast("timestamp_ntz"), F.expr("INTERVAL 1 HOUR"))
-    x = roster.withColumn("hour", F.explode(every)).join(hours.select(device, "hour", "bitmap", "bad"), [device, "hour"], "left")
+    x = roster.withColumn("hour", F.explode(every)).join(hours.select(device, "hour", "bitmap", "bad").hint("merge"), [device, "hour"], "left")
     return x.withColumns({"bitmap": F.coalesce("bitmap", F.lit(MISSED)), "bad": F.coalesce("bad", F.lit(0))})
 
 
