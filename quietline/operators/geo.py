@@ -238,11 +238,11 @@ def inside_rings(points: DataFrame, rings: DataFrame, ring: str, lat: str = "lat
     """Points with the columns of each ring that they lie in, its border included.
 
     Points meet the squares of the rings' coverings by equality, one at each size. Only those in a square that an edge meets
-    are held against the edges.
+    are held against the edges. Neither side is sent whole, however small the files that it is made of.
     """
     levels = F.explode(F.array(*(F.struct(F.lit(k).alias("_level"), square(lat, WIDEST / 2**k).alias("_x"), square(lon, WIDEST / 2**k).alias("_y")) for k in range(SIZES))))
     own = points.where(F.col(lat).isNotNull() & F.col(lon).isNotNull()).withColumn("_s", levels).select(*points.columns, "_s.*")
-    met = own.join(covering(rings, ring), ["_level", "_x", "_y"])
+    met = own.join(covering(rings, ring).hint("merge"), ["_level", "_x", "_y"])
     return met.where(F.col("_inner") | inside(F.col(lat), F.col(lon), F.col(ring))).drop("_level", "_x", "_y", "_inner")
 
 
