@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.tables import cut
 from .graph import components
 
 EARTH_M = 6_371_000.0
@@ -87,40 +88,127 @@ def hulls(df: DataFrame, key: str, lat: str = "lat", lon: str = "lon") -> DataFr
 DEGREE_M = EARTH_M * math.pi / 180
 
 
-def near_pairs(points: DataFrame, key: str, ident: str, lat: str, lon: str, within_m: float) -> DataFrame:
-    """(key, a, b, d): ordered pairs of a key's points at most `within_m` apart.
+def _step(band: Column, side_m: float) -> Column:
+    """Degrees of longitude that are `side_m` wide where a band of latitude is widest, so narrower elsewhere in it."""
+    high = F.when(band >= 0, band).otherwise(-1 - band) * (side_m / DEGREE_M)
+    return F.lit(side_m / DEGREE_M) / F.greatest(F.lit(0.01), F.cos(F.radians(high)))
 
-    Points lie in cells that are at least as wide, so a point meets those of nine cells only, by equality.
+
+def _squares(side_m: float, lat: str, lon: str) -> dict[str, Column]:
+    """The square of a place: a band of latitude (_x) and a stretch of it (_y), neither wider than `side_m`."""
+    band = F.floor(F.col(lat) / F.lit(side_m / DEGREE_M))
+    return {"_x": band, "_y": F.floor(F.col(lon) / _step(band, side_m))}
+
+
+def _sent(df: DataFrame, side_m: float, within_m: float, south: str, north: str, west: str, east: str) -> DataFrame:
+    """`df` once for each square (_x, _y) that may hold a place at most `within_m` from the rectangle of a row."""
+    reach = within_m / DEGREE_M * 1.001
+    far = F.greatest(F.abs(south), F.abs(north)) + F.lit(reach)
+    wide = F.lit(reach) / F.greatest(F.lit(0.01), F.cos(F.radians(far)))
+    band = lambda c: F.floor(c / F.lit(side_m / DEGREE_M))
+    x = df.withColumn("_wide", wide).withColumn("_x", F.explode(F.sequence(band(F.col(south) - reach), band(F.col(north) + reach))))
+    step = _step(F.col("_x"), side_m)
+    return x.withColumn("_y", F.explode(F.sequence(F.floor((F.col(west) - F.col("_wide")) / step), F.floor((F.col(east) + F.col("_wide")) / step)))).drop("_wide")
+
+
+def _apart(high: Column, lat: Column, lon: Column) -> Column:
+    """Metres between places so many degrees apart, at a latitude."""
+    return F.lit(2 * EARTH_M) * F.asin(F.sqrt(F.least(F.lit(1.0), F.pow(F.sin(F.radians(lat) / 2), 2) + F.pow(F.cos(F.radians(high)) * F.sin(F.radians(lon) / 2), 2))))
+
+
+def _most_apart() -> Column:
+    """At least the distance of any place of a row's rectangle from any of its other one (names with `o`)."""
+    low = F.when((F.least("s", "os") <= 0) & (F.greatest("n", "on") >= 0), F.lit(0.0)).otherwise(F.least(F.abs("s"), F.abs("n"), F.abs("os"), F.abs("on")))
+    return _apart(low, F.greatest("n", "on") - F.least("s", "os"), F.greatest("e", "oe") - F.least("w", "ow")) * (1 + 1e-9)
+
+
+def _least_apart() -> Column:
+    """At most the distance of any place of a row's rectangle from any of its other one (names with `o`)."""
+    gap = lambda lo, hi, olo, ohi: F.greatest(F.lit(0.0), F.col(lo) - F.col(ohi), F.col(olo) - F.col(hi))
+    high = F.greatest(F.abs("s"), F.abs("n"), F.abs("os"), F.abs("on"))
+    return _apart(high, gap("s", "n", "os", "on"), gap("w", "e", "ow", "oe")) * (1 - 1e-9)
+
+
+def _met(some: DataFrame, points: DataFrame, key: str, ident: str, lat: str, lon: str, side_m: float, within_m: float) -> DataFrame:
+    """(all of some, b, _b, d): the other points of its key at most `within_m` from a point (a, _lat, _lon)."""
+    other = points.select(key, F.col(ident).alias("b"), F.col("node").alias("_b"), F.col(lat).alias("_la"), F.col(lon).alias("_lo")).withColumns(_squares(side_m, "_la", "_lo"))
+    x = _sent(some, side_m, within_m, "_lat", "_lat", "_lon", "_lon").join(other.hint("merge"), [key, "_x", "_y"]).where("a != b").drop("_x", "_y")
+    return x.withColumn("d", haversine(F.col("_lat"), F.col("_lon"), F.col("_la"), F.col("_lo"))).where(F.col("d") <= within_m).drop("_la", "_lo")
+
+
+def _far_reaching(points: DataFrame, cells: DataFrame, key: str, ident: str, lat: str, lon: str, scale: float, floor: float, most: float) -> DataFrame:
+    """(key, a, _lat, _lon, node, reach) of the points that reach further than `floor`.
+
+    A square holds no two points more than floor / scale apart, so with four points in it none of them reaches further. The
+    others look for their third neighbour around them, then those that have none there twice as far away, and so on; the more
+    they look at, the fewer they are.
     """
-    widest = points.groupBy(key).agg(F.max(F.abs(lat)).alias("_far"))
-    p = points.join(widest, key)
-    step = F.lit(within_m / DEGREE_M) / F.greatest(F.lit(0.01), F.cos(F.radians(F.col("_far") + within_m / DEGREE_M)))
-    p = p.select(key, F.col(ident).alias("a"), F.col(lat).alias("la"), F.col(lon).alias("lo"), F.floor(F.col(lat) / (within_m / DEGREE_M)).alias("x"), F.floor(F.col(lon) / step).alias("y"))
-    around = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
-    sent = p.withColumn("s", F.explode(around)).select(key, F.col("a").alias("b"), F.col("la").alias("lb"), F.col("lo").alias("mo"), (F.col("x") + F.col("s.i")).alias("x"), (F.col("y") + F.col("s.j")).alias("y"))
-    met = p.join(sent, [key, "x", "y"]).where("a != b")
-    return met.select(key, "a", "b", haversine(F.col("la"), F.col("lo"), F.col("lb"), F.col("mo")).alias("d")).where(F.col("d") <= within_m)
+    total = cells.groupBy(key).agg(F.least(F.lit(3), F.sum("size") - 1).alias("_k"))
+    thin = points.join(cells.where("size < 4").select("node").hint("merge"), "node").join(total, key)
+    left = thin.select(key, F.col(ident).alias("a"), F.col(lat).alias("_lat"), F.col(lon).alias("_lon"), "node", "_k")
+    step = floor / scale
+    near = _met(left, points, key, ident, lat, lon, step, step).groupBy(key, "a").agg(F.count("*").alias("_n"))
+    left = cut(left.join(near.hint("merge"), [key, "a"], "left").where("coalesce(_n, 0) < _k").drop("_n"))
+    found = []
+    while step < most / scale and not left.isEmpty():
+        step = min(2 * step, most / scale)
+        by = Window.partitionBy(key, "a").orderBy("d")
+        ranked = _met(left, points, key, ident, lat, lon, step, step).select(key, "a", "_k", "d").withColumn("_i", F.row_number().over(by)).where("_i <= 3")
+        third = ranked.where("_i = _k").select(key, "a", F.greatest(F.lit(floor), F.least(F.lit(most), F.col("d") * scale)).alias("reach"))
+        seen = cut(left.join(third.hint("merge"), [key, "a"], "left"))
+        found.append(seen.where("reach IS NOT NULL"))
+        left = seen.where("reach IS NULL").drop("reach")
+    out = left.withColumn("reach", F.lit(float(most)))
+    for x in found:
+        out = out.unionByName(x)
+    return out.where(F.col("reach") > floor)
 
 
 def clusters(df: DataFrame, key: str, ident: str, lat: str = "lat", lon: str = "lon", scale: float = 1.5, floor: float = 100.0, most: float = 1000.0) -> DataFrame:
     """(key, ident, cluster): variable-density clusters of a key's points, named by their smallest ident.
 
     A point reaches as far as its third neighbour (of few points: the last) times `scale`, from `floor` to `most` metres; two
-    points are joined if either reaches the other. Points further apart than `most` can't be joined, and a third neighbour
-    beyond most / scale means a reach of `most`, so only near points are compared.
+    points are joined if either reaches the other. All points of a small square are within `floor` of each other, so squares
+    are joined, not points: squares side by side at once, then points that reach further with what they reach (few around any
+    place, as all have at most two neighbours nearby), then, by their points, squares of different groups within `floor`. So
+    dense places cost no more than their squares, but for two heaps that lie just about `floor` apart and aren't joined
+    otherwise: the places at their borders are compared in pairs.
     """
+    side = min(floor / 2, floor / scale) / math.sqrt(2) * 0.999
     points = df.select(key, ident, F.col(lat).cast("double").alias(lat), F.col(lon).cast("double").alias(lon)).dropna()
-    n = points.groupBy(key).agg(F.count("*").alias("_n"))
-    pairs = near_pairs(points, key, ident, lat, lon, most * max(1.0, 1 / scale)).join(n, key)
-    order = Window.partitionBy(key, "a")
-    ranked = pairs.withColumn("_k", F.row_number().over(order.orderBy("d", "b")))
-    third = F.max(F.when(F.col("_k") == F.least(F.lit(3), F.col("_n") - 1), F.col("d"))).over(order)
-    reach = F.coalesce(F.greatest(F.lit(floor), F.least(F.lit(most), third * scale)), F.lit(most))
-    node = lambda c: F.xxhash64(key, c).alias(c)
-    roots = components(ranked.withColumn("_r", reach).where("d <= _r").select(node("a"), node("b")))
-    # A root is a number; a cluster has the name of its smallest member.
-    found = points.select(key, ident, F.xxhash64(key, ident).alias("node")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    return found.select(key, ident, F.min(ident).over(Window.partitionBy(key, "root")).alias("cluster"))
+    points = cut(points.withColumns(_squares(side, lat, lon)).select(key, ident, lat, lon, F.xxhash64(key, "_x", "_y").alias("node"), "_x", "_y"))
+    bounds = F.min(lat).alias("s"), F.max(lat).alias("n"), F.min(lon).alias("w"), F.max(lon).alias("e")
+    cells = cut(points.groupBy(key, "_x", "_y", "node").agg(F.count("*").alias("size"), F.min(ident).alias("first"), *bounds))
+
+    def beside(some, every, within_m):
+        """Cells of `some` and of `every` in squares at most `within_m` apart."""
+        own = _sent(some.drop("_x", "_y", "size", "first"), side, within_m, "s", "n", "w", "e")
+        return own.join(every.drop("size", "first").withColumnsRenamed({c: f"o{c}" for c in every.columns if c not in (key, "_x", "_y")}).hint("merge"), [key, "_x", "_y"]).where("node != onode")
+
+    edge = lambda x, a, b: x.select(F.col(a).alias("a"), F.col(b).alias("b"))
+    edges = edge(beside(cells, cells, side).where(_most_apart() <= floor), "node", "onode")
+    far = cut(_far_reaching(points, cells, key, ident, lat, lon, scale, floor, most))
+    size = 2 * floor
+    while not far.isEmpty():
+        now, far = far.where(F.col("reach") <= size), far.where(F.col("reach") > size)
+        edges = edges.unionByName(edge(_met(now, points, key, ident, lat, lon, size, size).where("d <= reach AND node != _b"), "node", "_b"))
+        size *= 2
+    roots = components(edges).withColumnRenamed("root", "group")
+    cells = cut(cells.join(roots.hint("merge"), "node", "left").withColumn("group", F.coalesce("group", "node")))
+    # What is left is within `floor` of another group; the largest group of a key needn't look for the others.
+    groups = cells.groupBy(key, "group").agg(F.count("*").alias("_n"))
+    largest = groups.groupBy(key).agg(F.max(F.struct("_n", "group"))["group"].alias("_largest"), F.count("*").alias("_groups"))
+    small = cells.join(largest.where("_groups > 1"), key).where("group != _largest").drop("_largest", "_groups")
+    pairs = cut(beside(small, cells, floor).where("group != ogroup").where(_least_apart() <= floor))
+    if not pairs.isEmpty():
+        places = points.select("node", F.col(lat).alias("_la"), F.col(lon).alias("_lo")).distinct()
+        own = pairs.join(places.hint("merge"), "node").withColumns({"s": F.col("_la"), "n": F.col("_la"), "w": F.col("_lo"), "e": F.col("_lo")}).where(_least_apart() <= floor).drop("_la", "_lo")
+        other = places.withColumnRenamed("node", "onode")
+        near = own.join(other.hint("merge"), "onode").where(haversine(F.col("s"), F.col("w"), F.col("_la"), F.col("_lo")) <= floor)
+        roots = components(edge(near, "group", "ogroup")).withColumnRenamed("node", "group")
+        cells = cells.join(roots, "group", "left").withColumn("group", F.coalesce("root", "group"))
+    names = cells.groupBy(key, "group").agg(F.min("first").alias("cluster"))
+    return points.select(key, ident, "node").join(cells.select(key, "group", "node").join(names, [key, "group"]).select("node", "cluster").hint("merge"), "node").select(key, ident, "cluster")
 
 
 #: Shares of a group within its radii.
