@@ -29,22 +29,37 @@ def _exploded(df: DataFrame, keys: list[str]) -> DataFrame:
     return x.select(*keys, F.concat("path", _spelt(F.col("key"), F.col("pos"))).alias("path"), F.col("value").alias("v"))
 
 
+#: Levels that a round opens.
+LEVELS = 4
+
+
+def _opened(df: DataFrame, keys: list[str]) -> DataFrame:
+    """`df` (keys, path, v) with the fields or elements of `v` in its place, or as it is if it has none; `_p` says which."""
+    x = df.lateralJoin(df.sparkSession.tvf.variant_explode_outer(F.col("v").outer()))
+    path = F.when(F.col("pos").isNull(), F.col("path")).otherwise(F.concat("path", _spelt(F.col("key"), F.col("pos"))))
+    return x.select(*keys, path.alias("path"), F.coalesce("value", "v").alias("v"), F.col("pos").isNotNull().alias("_p"))
+
+
 def leaves(df: DataFrame, keys: list[str], text: str) -> DataFrame:
     """(keys, path, value): every value of a document that is no object and no array; a null has no value.
 
-    Containers are opened in rounds, each a level down, until none is left; so depth costs rounds and size costs none. What is
-    no JSON, empty documents and empty containers have no leaves. Paths are those that SQL/JSON writes.
+    Containers are opened in rounds, each LEVELS levels down, until none is left; so depth costs rounds and size costs none.
+    What is no JSON, empty documents and empty containers have no leaves. Paths are those that SQL/JSON writes.
     """
     left = df.select(*keys, F.lit("$").alias("path"), F.try_parse_json(text).alias("v")).where("v IS NOT NULL")
     out = None
     while True:
-        marked = cut(left.withColumn("_c", _is_container(F.col("v"))))
-        flat = marked.where("NOT _c").select(*keys, "path", F.try_variant_get("v", "$", "string").alias("value"))
+        for _ in range(LEVELS):
+            left = _opened(left, keys)
+        # A container that the last step found nothing in is empty.
+        marked = left.withColumn("_c", _is_container(F.col("v"))).where("_p OR NOT _c")
+        value = F.when(~F.col("_c"), F.try_variant_get("v", "$", "string"))
+        marked = cut(marked.select(*keys, "path", value.alias("value"), F.when(F.col("_c"), F.col("v")).alias("v"), "_c"))
+        flat = marked.where("NOT _c").select(*keys, "path", "value")
         out = flat if out is None else out.unionByName(flat)
-        open_ = marked.where("_c").drop("_c")
-        if open_.isEmpty():
+        left = marked.where("_c").select(*keys, "path", "v")
+        if left.isEmpty():
             return out
-        left = _exploded(open_, keys)
 
 
 def at_path(df: DataFrame, keys: list[str], text: str, path: str) -> DataFrame:
