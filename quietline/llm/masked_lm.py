@@ -86,23 +86,31 @@ class Network:
         """Whether no logit can be too large for exp: the hidden layer lies between -1 and 1."""
         return max(float((np.abs(x).sum(axis=-2) + np.abs(b)).max()) for x, b in ((self.k, self.kb), (self.o, self.ob))) < 60
 
+    def joined(self) -> tuple[np.ndarray, np.ndarray]:
+        """k and o, each with its bias as one row more: what a last column of ones in the hidden layer meets."""
+        return np.concatenate([self.k, self.kb[None]]), np.concatenate([self.o, self.ob[:, None]], axis=1)
+
     def hidden(self, context: np.ndarray) -> np.ndarray:
-        total = self.e[0][context[:, 0]]
+        """The hidden layer, and a column of ones."""
+        total = np.take(self.e[0], context[:, 0], axis=0)
         for place in range(1, 2 * SIDE):
-            total += self.e[place][context[:, place]]
-        return np.tanh(total + self.b)
+            total += np.take(self.e[place], context[:, place], axis=0)
+        total += self.b
+        out = np.ones((len(context), WIDTH + 1), "f4")
+        np.tanh(total, out=out[:, :WIDTH])
+        return out
 
     def logs(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Log-probability of each target."""
-        h, group, small = self.hidden(context), target // CLASS, self.small
-        out = _log_of(h @ self.k + self.kb, group, small)
+        k, o = self.joined()
+        group, small = target // CLASS, self.small
         order, edges = _by_class(group)
-        h, place, within = h[order], (target % CLASS)[order], np.empty(len(target), "f4")
-        for c, s in enumerate(edges):
-            if s.start < s.stop:
-                within[s] = _log_of(h[s] @ self.o[c] + self.ob[c], place[s], small)
-        out[order] += within
-        return out.astype("f8")
+        h = self.hidden(context[order])
+        logs = _log_of(h @ k, group[order], small)
+        logs += _log_of(_within(h, o, edges), (target % CLASS)[order], small)
+        out = np.empty(len(target))
+        out[order] = logs
+        return out
 
 
 def _by_class(group: np.ndarray) -> tuple[np.ndarray, list[slice]]:
@@ -112,12 +120,25 @@ def _by_class(group: np.ndarray) -> tuple[np.ndarray, list[slice]]:
     return order, [slice(i, j) for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
 
 
+def _within(h: np.ndarray, o: np.ndarray, edges: list[slice]) -> np.ndarray:
+    """Logits of the ids of each row's class, for rows in order of class."""
+    z = np.empty((len(h), CLASS), "f4")
+    for c, s in enumerate(edges):
+        if s.start < s.stop:
+            np.matmul(h[s], o[c], out=z[s])
+    return z
+
+
+#: A product with it is the sum of a row of logits, and faster.
+_ONES = np.ones(CLASS, "f4")
+
+
 def _log_of(z: np.ndarray, own: np.ndarray, small: bool) -> np.ndarray:
     """Logarithm of the softmax of each row at its own column; z is used up."""
     if not small:
         z -= z.max(axis=1, keepdims=True)
     at = z[np.arange(len(own)), own]
-    return at - np.log(np.exp(z, out=z).sum(axis=1))
+    return at - np.log(np.exp(z, out=z) @ _ONES)
 
 
 def _error(z: np.ndarray, own: np.ndarray, n: np.float32, small: bool) -> np.ndarray:
@@ -125,7 +146,7 @@ def _error(z: np.ndarray, own: np.ndarray, n: np.float32, small: bool) -> np.nda
     if not small:
         z -= z.max(axis=1, keepdims=True)
     np.exp(z, out=z)
-    z *= n / z.sum(axis=1, keepdims=True)
+    z *= (n / (z @ _ONES))[:, None]
     z[np.arange(len(own)), own] -= n
     return z
 
@@ -134,43 +155,75 @@ class Trainer:
     """Gradient steps on the cross-entropy, each parameter's rate by the sum of its squared gradients."""
 
     def __init__(self, net: Network):
-        self.net = net
-        self.seen = [np.full(x.shape[:2] if k == 0 else x.shape, 1e-3, "f4") for k, x in enumerate(net.parts)]
-        self.grad = np.zeros_like(net.o), np.zeros_like(net.ob)
+        # Output weights and biases are held as one, and the network has views of them.
+        self.k, self.o = net.joined()
+        self.e = np.concatenate(list(net.e))
+        self.net = Network(self.e.reshape(net.e.shape), net.b.copy(), self.k[:-1], self.k[-1], self.o[:, :-1], self.o[:, -1])
+        self.seen = [np.full(n, 1e-3, "f4") for n in (len(self.e), net.b.shape, self.k.shape, self.o.shape)]
+        self.grad = np.zeros_like(self.o)
 
     def _move(self, x: np.ndarray, seen: np.ndarray, g: np.ndarray) -> None:
+        """Moves x by the gradient g, which is used up."""
         seen += g * g
-        x -= RATE * g / np.sqrt(seen)
+        g /= np.sqrt(seen)
+        g *= RATE
+        x -= g
 
     def learn(self, context: np.ndarray, target: np.ndarray) -> None:
-        net, n, group = self.net, np.float32(1 / len(target)), target // CLASS
+        net, n, group, grad = self.net, np.float32(1 / len(target)), target // CLASS, self.grad
         order, edges = _by_class(group)
-        context, group, place = context[order], group[order], (target % CLASS)[order]
+        context, small = context[order], net.small
         h = net.hidden(context)
-        small = net.small
-        z = _error(h @ net.k + net.kb, group, n, small)
-        back = z @ net.k.T
-        go, gob = self.grad
+        z = _error(h @ self.k, group[order], n, small)
+        y = _error(_within(h, self.o, edges), (target % CLASS)[order], n, small)
+        back, own = z @ net.k.T, np.empty((len(target), WIDTH), "f4")
         for c, s in enumerate(edges):
             if s.start < s.stop:
-                y = _error(h[s] @ net.o[c] + net.ob[c], place[s], n, small)
-                back[s] += y @ net.o[c].T
-                np.matmul(h[s].T, y, out=go[c])
-                y.sum(axis=0, out=gob[c])
+                np.matmul(y[s], net.o[c].T, out=own[s])
+                np.matmul(h[s].T, y[s], out=grad[c])
             else:
-                go[c], gob[c] = 0, 0
-        for x, seen, g in ((net.k, self.seen[2], h.T @ z), (net.kb, self.seen[3], z.sum(axis=0)), (net.o, self.seen[4], go), (net.ob, self.seen[5], gob)):
-            self._move(x, seen, g)
+                grad[c] = 0
+        back += own
+        self._move(self.k, self.seen[2], h.T @ z)
+        self._move(self.o, self.seen[3], grad)
+        h = h[:, :-1]
         back *= 1 - h * h
         self._move(net.b, self.seen[1], back.sum(axis=0))
-        for k in range(2 * SIDE):
-            by = np.argsort(context[:, k].astype("u2"), kind="stable")
-            ids = context[by, k]
-            heads = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
-            g, own = np.add.reduceat(back[by], heads), ids[heads]
-            # One rate for the row of an id.
-            self.seen[0][k, own] += (g * g).mean(axis=1)
-            net.e[k][own] -= RATE * g / np.sqrt(self.seen[0][k, own])[:, None]
+        # Rows of e: those of all places at once, each place's after the others'.
+        ids = (context + np.arange(2 * SIDE, dtype=np.int32) * (VOCABULARY + 1)).astype("u2").ravel()
+        by = np.argsort(ids, kind="stable")
+        ids = ids[by]
+        heads = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+        g, own = np.add.reduceat(np.take(back, by // (2 * SIDE), axis=0), heads), ids[heads].astype(np.int64)
+        # One rate for the row of an id.
+        seen = self.seen[0][own] + (g * g) @ np.full(WIDTH, 1 / WIDTH, "f4")
+        self.seen[0][own] = seen
+        g *= (RATE / np.sqrt(seen))[:, None]
+        self.e[own] -= g
+
+
+class Places:
+    """Places of hashes in an ascending array of different ones, found by their first bits: few begin alike."""
+
+    def __init__(self, ordered: np.ndarray):
+        self.ordered = ordered
+        bits = max(1, min(21, len(ordered).bit_length() + 2))
+        self.shift = np.uint64(64 - bits)
+        self.starts = np.searchsorted(ordered, np.arange(1 << bits, dtype=np.uint64) << self.shift).astype(np.int32)
+        self.most = int(np.diff(np.append(self.starts, len(ordered))).max())
+
+    def of(self, h: np.ndarray) -> np.ndarray:
+        """The place of each hash; -1 for those that aren't there."""
+        out = np.full(len(h), -1, np.int32)
+        if len(self.ordered):
+            at = self.starts[(h >> self.shift).view(np.int64)]
+            left = np.arange(len(h))
+            for _ in range(self.most):
+                here = self.ordered[np.minimum(at, len(self.ordered) - 1)]
+                out[left[here == h]] = at[here == h]
+                on = here < h
+                h, at, left = h[on], at[on] + 1, left[on]
+        return out
 
 
 class Vocabulary:
@@ -178,28 +231,21 @@ class Vocabulary:
 
     def __init__(self, known: np.ndarray):
         self.order = np.argsort(known)
-        self.known = known[self.order]
+        self.places = Places(known[self.order])
 
     def ids(self, h: np.ndarray, ending: np.ndarray) -> np.ndarray:
         hashed = (KNOWN + (ending % np.uint64(HASHED))).astype(np.int32)
-        at = _find(self.known, h)
-        return np.where(at >= 0, self.order[at], hashed).astype(np.int32) if len(self.known) else hashed
-
+        at = self.places.of(h)
+        return np.where(at >= 0, self.order[at], hashed).astype(np.int32) if len(self.order) else hashed
 
-def _find(ordered: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """Places of hashes in an ascending array; -1 for those that aren't there."""
-    if not len(ordered):
-        return np.full(len(h), -1)
-    at = np.minimum(np.searchsorted(ordered, h), len(ordered) - 1)
-    return np.where(ordered[at] == h, at, -1)
 
-
-def contexts(ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """[word, place]: the ids to the left and right of every word; EDGE beyond its text."""
+def contexts(ids: np.ndarray, counts: np.ndarray, pick: np.ndarray | None = None) -> np.ndarray:
+    """[word, place]: the ids to the left and right of every word, or of those picked; EDGE beyond its text."""
     shift = np.repeat(np.arange(len(counts)), counts) * SIDE + SIDE
     padded = np.full(len(ids) + (len(counts) + 1) * SIDE, EDGE, np.int32)
     at = np.arange(len(ids)) + shift
     padded[at] = ids
+    at = at if pick is None else at[pick]
     return np.stack([padded[at + d] for d in (*range(-SIDE, 0), *range(1, SIDE + 1))], axis=1)
 
 
@@ -209,13 +255,19 @@ def turns(key: np.ndarray, counts: np.ndarray, rounds: int) -> np.ndarray:
     return mix(np.repeat(key, counts) ^ mix(place.astype(np.uint64))) % np.uint64(max(1, rounds))
 
 
+def _hashed(batch: pa.RecordBatch, text: str) -> tuple[np.ndarray, ...]:
+    """`words_and_endings` of a batch, in parts that stay in a processor's cache."""
+    parts = [words_and_endings(part[text]) for part in slices(batch, text, 1 << 18)]
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
 def counted(docs: DataFrame, text: str = "text") -> DataFrame:
     """(h, ending, n): how often each word occurs in all documents, by its hash, and its hashed id from 0."""
 
     def count(batches):
         for b in batches:
             for part in slices(b, text, 8 << 20):
-                every, ending, _ = words_and_endings(part[text])
+                every, ending, _ = _hashed(part, text)
                 h, at, n = np.unique(every, return_index=True, return_counts=True)
                 own = (ending[at] % np.uint64(HASHED)).astype(np.int32)
                 columns = [pa.array(h.view(np.int64)), pa.array(own), pa.array(n.astype(np.int64))]
@@ -265,7 +317,7 @@ def coded(docs: DataFrame, known: np.ndarray, text: str = "text") -> DataFrame:
         vocabulary = Vocabulary(shared.value)
         for b in batches:
             for part in slices(b, text):
-                h, ending, counts = words_and_endings(part[text])
+                h, ending, counts = _hashed(part, text)
                 ids = vocabulary.ids(h, ending).astype("<u2")
                 at = np.concatenate([[0], np.cumsum(counts)])
                 raw = [ids[i:j].tobytes() for i, j in zip(at[:-1], at[1:], strict=True) if i < j]
@@ -325,7 +377,7 @@ def trained(docs: DataFrame, known: np.ndarray, counts: np.ndarray, total: int,
                     sizes = np.array([len(r) // 2 for r in raw[i : i + 256]], np.int64)
                     ids = np.frombuffer(b"".join(raw[i : i + 256]), "<u2").astype(np.int32)
                     pick = np.flatnonzero(turns(key[i : i + 256].view(np.uint64), sizes, rounds) == turn)
-                    held.append((contexts(ids, sizes)[pick], ids[pick]))
+                    held.append((contexts(ids, sizes, pick), ids[pick]))
                     seen, waiting = seen + len(ids), waiting + len(pick)
                     if waiting >= STEP:
                         step()
@@ -379,18 +431,18 @@ def scored(docs: DataFrame, rounds: int = ROUNDS, text: str = "text", model: Mod
 
     def apply(batches):
         flat, known, buckets, table, times = shared.value
-        net, vocabulary = Network.of(flat), Vocabulary(known)
+        net, vocabulary, listed = Network.of(flat), Vocabulary(known), Places(table)
         whole = np.log(np.maximum(buckets, 1))
         for b in batches:
             for part in slices(b, "text"):
-                h, ending, counts = words_and_endings(part["text"])
+                h, ending, counts = _hashed(part, "text")
                 ids = vocabulary.ids(h, ending)
                 context = contexts(ids, counts)
                 lots = [net.logs(context[k : k + 16384], ids[k : k + 16384]) for k in range(0, len(ids), 16384)]
                 logs = np.concatenate(lots or [np.zeros(0)])
                 # Words without an id of their own: their count over that of the hashed id.
                 rare = np.flatnonzero(ids >= KNOWN)
-                at = _find(table, h[rare])
+                at = listed.of(h[rare])
                 logs[rare] -= whole[ids[rare] - KNOWN]
                 logs[rare[at >= 0]] += np.log(times[at[at >= 0]])
                 # Those that aren't in the table either, each once a text, with how often it is there.

@@ -69,12 +69,13 @@ def words(texts: pa.Array, lower: bool = True, separators: np.ndarray = _SPACE)
 def words_and_endings(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hash of every word, hash of its last three bytes, number of words of each text)."""
     raw, starts, ends, bounds = _marks(texts, _SPACE)
+    raw = _LOWER[raw] if lower else raw
     tail = np.zeros(len(starts), np.uint64)
     for k in (3, 2, 1):
         at = ends - k
-        byte = (_LOWER[raw] if lower else raw)[np.maximum(at, 0)].astype(np.uint64) if len(raw) else tail
+        byte = raw[np.maximum(at, 0)].astype(np.uint64) if len(raw) else tail
         tail = tail * np.uint64(256) + np.where(at >= starts, byte, np.uint64(0))
-    return _hashes(raw, starts, ends, lower), mix(tail + np.uint64(1)), np.diff(np.searchsorted(starts, bounds))
+    return _hashes(raw, starts, ends, False), mix(tail + np.uint64(1)), np.diff(np.searchsorted(starts, bounds))
 
 
 def _hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool) -> np.ndarray:

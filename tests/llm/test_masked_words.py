@@ -75,3 +75,37 @@ def test_clashing_columns_and_no_rows(spark, corpus):
     got = m.scored(extra, rounds=1)
     assert got.columns == ["doc_id", "row", "doc", "more", "_text", "n_words", "log_likelihood", "mean_log"] and got.count() == 40
     assert m.scored(corpus.where("doc_id > 9999"), rounds=1).count() == 0
+
+
+def test_places_of_hashes():
+    r = np.random.default_rng(3)
+    every = r.integers(0, 1 << 64, 5000, np.uint64)
+    ends = np.array([0, 1, (1 << 64) - 1], np.uint64)
+    asked = np.concatenate([every, ends])
+    for some in (every[:0], every[:1], ends, every[:3000], every[:3000] >> np.uint64(40)):
+        some = np.unique(some)
+        want = [int(np.flatnonzero(some == h)[0]) if h in some else -1 for h in asked]
+        assert m.Places(some).of(asked).tolist() == want
+
+
+def test_contexts_of_some_words():
+    ids, counts = np.arange(20, dtype=np.int32), np.array([0, 1, 7, 12])
+    pick = np.array([0, 1, 7, 8, 19])
+    assert (m.contexts(ids, counts, pick) == m.contexts(ids, counts)[pick]).all()
+
+
+def test_gradient_steps():
+    """A step moves each parameter by the gradient of the mean cross-entropy over the root of its square."""
+    r = np.random.default_rng(4)
+    context, target = r.integers(0, m.VOCABULARY + 1, (40, 2 * m.SIDE)).astype(np.int32), r.integers(0, m.VOCABULARY, 40).astype(np.int32)
+    net = m.Network.start(r.random(m.VOCABULARY))
+    trainer = m.Trainer(net)
+    trainer.learn(context, target)
+    for name, at in (("k", (3, 5)), ("kb", (7,)), ("o", (int(target[0]) // m.CLASS, 2, int(target[0]) % m.CLASS)), ("ob", (int(target[1]) // m.CLASS, 9)), ("b", (4,))):
+        x = [m.Network.of(net.flat()) for _ in range(2)]
+        getattr(x[0], name)[at] += 0.01
+        getattr(x[1], name)[at] -= 0.01
+        gradient = (x[1].logs(context, target).mean() - x[0].logs(context, target).mean()) / 0.02
+        moved = getattr(trainer.net, name)[at] - getattr(net, name)[at]
+        assert abs(moved + m.RATE * gradient / math.sqrt(1e-3 + gradient**2)) < 5e-4
+    assert np.abs(m.Trainer(net).net.flat() - net.flat()).max() == 0
