@@ -131,16 +131,20 @@ class Encoder:
         lists = pc.split_pattern(texts.filter(pa.array(~odd)), " ")
         bounds = lists.offsets.to_numpy().astype(np.int64)
         words = lists.flatten()
+        bounds -= bounds[0]
         first = np.zeros(len(words), bool)
-        first[bounds[:-1] - bounds[0]] = True
+        first[bounds[:-1]] = True
         heads, rest = words.filter(pa.array(first)).dictionary_encode(), words.filter(pa.array(~first)).dictionary_encode()
+        codes = np.empty(len(words), np.int32)
+        del lists, words  # what isn't read again goes before the ids are laid out
         ids, sizes = self.pieces(rest.dictionary)
         led = self.whole(heads.dictionary.to_pylist())
-        codes = np.empty(len(words), np.int64)
         codes[~first] = rest.indices.to_numpy()
         codes[first] = len(sizes) + heads.indices.to_numpy()
-        flat, sizes = _gather(np.concatenate([ids, *led]), np.concatenate([sizes, np.array([len(x) for x in led], np.int64)]), codes)
-        at = np.concatenate([[0], np.cumsum(sizes)])[bounds - bounds[0]]
+        del heads, rest, first
+        flat, sizes = _gather(np.concatenate([ids, *led]), np.concatenate([sizes, np.array([len(x) for x in led], np.int64)]).astype(np.int32), codes)
+        del ids, codes
+        at = np.append(0, np.cumsum(sizes))[bounds]
         of_plain = iter(zip(at[:-1], at[1:], strict=True))
         of_odd = iter(self.whole(texts.filter(pa.array(odd)).to_pylist()))
         end = np.array([self.end_id], dtype="<u4")
@@ -148,13 +152,21 @@ class Encoder:
         return np.concatenate([x for e in each for x in (e, end)] or [end[:0]]), np.array([len(e) + 1 for e in each], np.int64)
 
 
-def _gather(pool: np.ndarray, size: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The runs of the pool that the codes name, joined, and the size of each; run k has size[k] ids and follows run k - 1."""
+def _gather(pool: np.ndarray, size: np.ndarray, codes: np.ndarray, most: int = 1 << 16) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of the pool that the codes name, joined, and the size of each; run k has size[k] ids and follows run k - 1.
+
+    The places of `most` codes are worked out at a time, as they take several times the memory of the ids themselves.
+    """
     at = np.cumsum(size) - size
     sizes = size[codes]
-    ends = np.cumsum(sizes)
-    take = np.arange(ends[-1] if len(ends) else 0) + np.repeat(at[codes] - (ends - sizes), sizes)
-    return pool[take], sizes
+    out, done = np.empty(int(sizes.sum()), pool.dtype), 0
+    for k in range(0, len(codes), most):
+        own = sizes[k : k + most]
+        ends = np.cumsum(own)
+        take = np.arange(ends[-1]) + np.repeat(at[codes[k : k + most]] - (ends - own), own)
+        out[done : done + len(take)] = pool[take]
+        done += len(take)
+    return out, sizes
 
 
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, shards: int | None = None, block_ids: int = BLOCK_IDS, text: str = "text") -> None:
@@ -174,6 +186,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, shards: i
             bits = width(encoder.vocabulary)
             shard = b["shard"][0].as_py()
             ids, sizes = encoder.encode(b["text"])
+            pa.default_memory_pool().release_unused()  # else the worker keeps what the texts' words took
             at = np.concatenate([[0], np.cumsum(sizes)])
             names, k = b["doc_id"].to_pylist(), 0
             while k < len(names):
