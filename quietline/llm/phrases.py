@@ -52,10 +52,10 @@ def _words(batch: pa.RecordBatch):
     return raw, starts, ends, keys, piece, text
 
 
-def _pairs(keys: np.ndarray, piece: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of each word with the next, whether both lie in one piece), one shorter than the words."""
+def _pair(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """The hash of each word with the one after it."""
     with np.errstate(over="ignore"):
-        return texthash.mix(keys[:-1] * texthash.MULTIPLIER + keys[1:]), piece[:-1] == piece[1:]
+        return texthash.mix(first * texthash.MULTIPLIER + second)
 
 
 def _summed(rows: list[np.ndarray]) -> np.ndarray:
@@ -146,38 +146,50 @@ def words(docs: DataFrame) -> DataFrame:
 
 
 def frequent_pairs(docs: DataFrame, word_bits, least: int) -> DataFrame:
-    """(pair): hashes of two adjacent frequent words that occur `least` times or more."""
+    """(k1, k2, a): two adjacent frequent words that occur `least` times or more."""
 
     def rows(part):
         _, _, _, keys, piece, _ = _words(part)
-        pairs, near = _pairs(keys, piece) if len(keys) > 1 else (_NONE, np.zeros(0, bool))
         ok = _has(word_bits.value, keys)
-        pairs = pairs[near & ok[:-1] & ok[1:]]
-        return np.stack([pairs, np.ones(len(pairs), np.uint64)], axis=1)
+        at = np.flatnonzero((piece[:-1] == piece[1:]) & ok[:-1] & ok[1:])
+        return np.stack([keys[at], keys[at + 1], np.ones(len(at), np.uint64)], axis=1)
 
-    partial = docs.mapInArrow(lambda batches: _counted(batches, rows, ["pair", "n"]), "pair long, n long")
-    return partial.groupBy("pair").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("pair")
+    partial = docs.mapInArrow(lambda batches: _counted(batches, rows, ["k1", "k2", "n"]), "k1 long, k2 long, n long")
+    return partial.groupBy("k1", "k2").agg(F.sum("n").alias("a")).where(F.col("a") >= least)
+
+
+def pair_hashes(pairs: DataFrame) -> DataFrame:
+    """(pair): the hash of each pair that `projected` looks up."""
+
+    def hashed(batches):
+        for b in batches:
+            k1, k2 = (b[c].to_numpy(zero_copy_only=False).view(np.uint64) for c in ("k1", "k2"))
+            yield pa.RecordBatch.from_arrays([pa.array(_pair(k1, k2).view(np.int64))], ["pair"])
+
+    return pairs.select("k1", "k2").mapInArrow(hashed, "pair long")
 
 
 CONTEXT = [f"k{i}" for i in range(1, LONGEST + 1)]
 
 
 def projected(docs: DataFrame, word_bits, pair_bits) -> DataFrame:
-    """(k1 .. k4, n): each occurrence of a frequent pair with its right context, which ends before the first rare pair; 0 is no word."""
+    """(k1 .. k4, n): each occurrence of a frequent pair with its right context, which ends before the first rare pair; 0 is no word.
+
+    Contexts of two words are left out: their pairs are counted already, and nothing grows from them.
+    """
 
     def rows(part):
         _, _, _, keys, piece, _ = _words(part)
-        if len(keys) < 2:
+        if len(keys) < 3:
             return np.zeros((0, LONGEST + 1), np.uint64)
-        pairs, near = _pairs(keys, piece)
         ok = _has(word_bits.value, keys)
-        go = near & ok[:-1] & ok[1:] & _has(pair_bits.value, pairs)
-        at = np.flatnonzero(go)
+        go = (piece[:-1] == piece[1:]) & ok[:-1] & ok[1:] & _has(pair_bits.value, _pair(keys[:-1], keys[1:]))
+        at = np.flatnonzero(go[:-1] & go[1:])
         out = np.zeros((len(at), LONGEST + 1), np.uint64)
-        out[:, 0], out[:, 1], out[:, -1] = keys[at], keys[at + 1], 1
+        out[:, 0], out[:, 1], out[:, 2], out[:, -1] = keys[at], keys[at + 1], keys[at + 2], 1
         on = np.ones(len(at), bool)
         padded = np.concatenate([go, np.zeros(LONGEST, bool)])
-        for j in range(2, LONGEST):
+        for j in range(3, LONGEST):
             on &= padded[at + j - 1]
             out[on, j] = keys[at[on] + j]
         return out
@@ -264,10 +276,13 @@ def counted(docs: DataFrame, least: int = 30) -> tuple[DataFrame, DataFrame]:
     vocabulary = stored(words(docs))
     broadcasts = [spark.sparkContext.broadcast(bitmap(spark, vocabulary.where(F.col("n") >= least), "key"))]
     pairs = stored(frequent_pairs(docs, broadcasts[0], least))
-    broadcasts.append(spark.sparkContext.broadcast(bitmap(spark, pairs, "pair")))
+    broadcasts.append(spark.sparkContext.broadcast(bitmap(spark, pair_hashes(pairs), "pair")))
     contexts = projected(docs, *broadcasts)
     by_prefix = contexts.repartition(tasks(spark), "k1", "k2").sortWithinPartitions(*CONTEXT)
-    phrases = stored(by_prefix.mapInArrow(lambda b: grow(b, least), ", ".join(f"{c} long" for c in [*CONTEXT, "a"])))
+    grown = by_prefix.mapInArrow(lambda b: grow(b, least), ", ".join(f"{c} long" for c in [*CONTEXT, "a"]))
+    none = [F.lit(0).cast("long").alias(c) for c in CONTEXT[2:]]
+    # What the contexts say of a pair is only the part that goes on.
+    phrases = stored(grown.where("k3 <> 0").unionByName(pairs.select("k1", "k2", *none, "a")))
     for b in broadcasts:
         b.destroy()
     return vocabulary, phrases

@@ -85,3 +85,16 @@ def test_grow_in_batches(monkeypatch, size):
         monkeypatch.setattr(phrases, "HELD", held)
         got = [tuple(v.values()) for b in phrases.grow(iter(batches), 6) for v in b.to_pylist()]
         assert sorted(got) == want
+
+
+def test_contexts_go_on(spark):
+    """Pairs are counted once: no context of two words alone leaves the tasks, and those that do hold every longer phrase."""
+    rows = [("a b, a b c. a b c d e! b c", "en")] * 3 + [("x y", "en"), ("z", "en"), ("", "en")]
+    docs = spark.createDataFrame(rows, "text string, lang string").select("text", phrases.F.lit(7).cast("long").alias("lang_key"))
+    every = spark.sparkContext.broadcast(np.full(1 << (phrases.BITS - 3), 255, np.uint8))
+    got = phrases.projected(docs, every, every).collect()
+    assert all(r["k3"] for r in got)
+    assert sorted((sum(r[c] != 0 for c in phrases.CONTEXT), r["n"]) for r in got) == [(3, 3), (3, 3), (4, 3), (4, 3)]
+    pairs = phrases.frequent_pairs(docs, every, 3)
+    assert sorted(r["a"] for r in pairs.collect()) == [3, 3, 9, 9]
+    assert mined(spark, rows) == plain(rows, LEAST, 2000)
