@@ -102,7 +102,8 @@ def laid_out(docs: DataFrame, shards: int, by: str = "source") -> DataFrame:
 
 def _write(rows: DataFrame, path: str) -> None:
     order = ["shard", "class", "hash"]
-    rows.repartitionByRange(tasks(rows.sparkSession), *order).sortWithinPartitions(*order).write.parquet(path)
+    # The finer the files, the fewer rows that stay are written anew.
+    rows.repartitionByRange(2 * tasks(rows.sparkSession), *order).sortWithinPartitions(*order).write.parquet(path)
 
 
 def _lookup(shard: Column, cuts: list[tuple[int, int, int, int]]) -> Column:
@@ -194,9 +195,9 @@ def resharded(store: DataFrame, shards: int, law: str = "bytes", cost=None) -> D
     if law not in LAWS:
         raise ValueError(f"no law {law}")
     new = plan(store, shards, law, cost)
-    # Spark writes no two files of one name; paths are spelt in several ways.
-    left = store.where(new != F.col("shard")).select(F.col("_metadata.file_name").alias("file")).distinct()
-    names = {r["file"] for r in left.collect()}
+    # Spark writes no two files of one name; paths are spelt in several ways. A union of files, as this returns, has no _metadata.
+    left = store.where(new != F.col("shard")).select(F.input_file_name().alias("file")).distinct()
+    names = {unquote(r["file"].rsplit("/", 1)[1]) for r in left.collect()}
     every = {unquote(f.rsplit("/", 1)[1]): f for f in store.inputFiles()}
     files = sorted(f for n, f in every.items() if n in names)
     kept_files = sorted(f for n, f in every.items() if n not in names)

@@ -118,3 +118,12 @@ def test_unknown_law(spark):
 
 def test_even():
     assert all(max(e) - min(e) <= 1 and sum(e) == t for t, e in ((t, sharding.even(t, 7)) for t in itertools.chain(range(20), [10**15])))
+
+
+def test_resharded_again(spark):
+    """A store of kept and new files is resharded like any other, and no row is lost."""
+    data = [(i, "x" * (i % 300), "abc"[i % 3]) for i in range(3000)]
+    first = sharding.resharded(sharding.laid_out(spark.createDataFrame(data, SCHEMA), 12), 6)
+    again = sharding.digest(sharding.resharded(first, 9, "rows")).collect()
+    assert sorted(r["doc_id"] for r in again) == list(range(3000))
+    assert {r["shard"] for r in again} == set(range(9)) and {r["law"] for r in again} == {"rows"}
